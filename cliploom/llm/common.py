@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker takes in hand at once.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
+#: Limits of an Arrow batch that goes to a Python worker.
+BATCH_BYTES, BATCH_ROWS = 4_000_000, 2_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,15 +65,15 @@ def id_remainder(column: str, divisor: int):
 def slices(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """The batches in slices of about CHUNK_CHARS characters, each with its texts (null: empty)."""
     for batch in batches:
-        texts = [t or "" for t in batch.column(text).to_pylist()]
-        begin = size = 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= CHUNK_CHARS:
-                yield batch.slice(begin, i + 1 - begin), texts[begin : i + 1]
-                begin, size = i + 1, 0
-        if begin < len(texts):
-            yield batch.slice(begin), texts[begin:]
+        column = batch.column(text)
+        begin, size = 0, 0
+        texts: list[str] = []
+        for i in range(len(column)):
+            texts.append(column[i].as_py() or "")
+            size += len(texts[-1])
+            if size >= CHUNK_CHARS or i + 1 == len(column):
+                yield batch.slice(begin, i + 1 - begin), texts
+                begin, size, texts = i + 1, 0, []
 
 
 def with_columns(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -80,12 +82,17 @@ def with_columns(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.Reco
     return pa.RecordBatch.from_arrays([batch.column(n) for n in kept] + list(columns.values()), names=kept + list(columns))
 
 
-def map_arrow(df: DataFrame, columns: list[str], f: Callable, added: str) -> DataFrame:
-    """mapInArrow over these columns; the result has them and those of the DDL string added."""
+def map_arrow(df: DataFrame, columns: list[str], f: Callable, added: str, without: Iterable[str] = ()) -> DataFrame:
+    """mapInArrow over these columns; the result has them, but for `without`, and those of the DDL string added.
+
+    Arrow batches are held to BATCH_BYTES, so that workers hold little text at once.
+    """
     from pyspark.sql.types import StructType
 
     more = StructType.fromDDL(added)
-    kept = [x for x in df.select(*columns).schema.fields if x.name not in more.names]
+    kept = [x for x in df.select(*columns).schema.fields if x.name not in (*more.names, *without)]
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return df.select(*columns).mapInArrow(f, StructType(kept + more.fields))
 
 
@@ -103,7 +110,7 @@ class PieceCache:
     max_pieces the cache starts anew, which bounds memory and changes no result.
     """
 
-    def __init__(self, encode_new: Callable[[list[str]], list], max_pieces: int = 300_000):
+    def __init__(self, encode_new: Callable[[list[str]], list], max_pieces: int = 200_000):
         self.encode_new, self.max_pieces = encode_new, max_pieces
         self._clear()
 

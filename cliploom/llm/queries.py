@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["op01_bpe"]
+MODULES = ["op01_bpe", "op08_packing"]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
