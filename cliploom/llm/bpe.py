@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -77,19 +78,22 @@ class Vocabulary:
         tokens = sorted(self.ranks.items(), key=lambda x: x[1])
         size = tokens[-1][1] + 1
         self.count = np.full(size, -1, np.int64)
+        rank = np.array([r for _, r in tokens])
+        self.count[rank] = [len(t) for t, _ in tokens]
         self.start = np.zeros(size, np.int64)
-        at = 0
-        for token, rank in tokens:
-            self.start[rank], self.count[rank] = at, len(token)
-            at += len(token)
+        self.start[rank] = np.cumsum(self.count[rank]) - self.count[rank]
         self.flat = np.frombuffer(b"".join(t for t, _ in tokens), np.uint8)
-        pairs = [
-            (self.ranks[t[:i]], self.ranks[t[i:]], r)
-            for t, r in tokens
-            for i in range(1, len(t))
-            if t[:i] in self.ranks and t[i:] in self.ranks
-        ]
-        self.pairs = PairTable(*np.array(pairs or np.zeros((0, 3)), np.int32).reshape(-1, 3).T)
+
+    @functools.cached_property
+    def pairs(self) -> PairTable:
+        left, right, merged = array("i"), array("i"), array("i")
+        for token, rank in self.ranks.items():
+            for i in range(1, len(token)):
+                if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None:
+                    left.append(a)
+                    right.append(b)
+                    merged.append(rank)
+        return PairTable(*(np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (left, right, merged)))
 
     def encode_pieces(self, pieces: list[str]) -> list:
         """Ids of each piece. A piece that is itself a token is that token."""
