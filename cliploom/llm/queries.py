@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["op01_bpe", "op08_packing"]
+MODULES = ["op01_bpe", "op02_neardup", "op08_packing", "op09_linededup", "op10_warc"]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
