@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -120,23 +121,28 @@ class PieceCache:
         self.start = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
 
+    def _add(self, pieces: list) -> None:
+        made = [np.asarray(x, np.int32) for x in self.encode_new(pieces)]
+        self.index.update(zip(pieces, range(len(self.index), len(self.index) + len(pieces)), strict=True))
+        count = np.array([len(x) for x in made], np.int64)
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.flat = np.concatenate([self.flat, *made])
+
     def ids(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the lists of pieces, and the number of ids of each list."""
-        new = set().union(*lists).difference(self.index) if lists else set()
-        if len(self.index) + len(new) > self.max_pieces:
-            self._clear()
-            new = set().union(*lists)
-        if new:
-            pieces = sorted(new)
-            made = [np.asarray(x, np.int32) for x in self.encode_new(pieces)]
-            self.index.update(zip(pieces, range(len(self.index), len(self.index) + len(pieces)), strict=True))
-            count = np.array([len(x) for x in made], np.int64)
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
-            self.count = np.concatenate([self.count, count])
-            self.flat = np.concatenate([self.flat, *made])
+        words = list(itertools.chain.from_iterable(lists))
+        at = np.fromiter(map(self.index.get, words, itertools.repeat(-1)), np.int64, len(words))
+        missing = np.nonzero(at < 0)[0]
+        if len(missing):
+            new = {words[i] for i in missing}
+            if len(self.index) + len(new) > self.max_pieces:
+                self._clear()
+                new = set(words)
+                missing = np.arange(len(words))
+            self._add(sorted(new))
+            at[missing] = np.fromiter((self.index[words[i]] for i in missing), np.int64, len(missing))
         sizes = np.array([len(x) for x in lists], np.int64)
-        index, total = self.index, int(sizes.sum())
-        at = np.fromiter((index[p] for x in lists for p in x), np.int64, total)
         count = self.count[at]
         ends = np.concatenate([[0], np.cumsum(count)])
         edge = np.concatenate([[0], np.cumsum(sizes)])

@@ -21,6 +21,7 @@ import functools
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,30 +84,67 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
     return windows, offsets
 
 
-@functools.lru_cache(maxsize=2)
-def _cache(path: str) -> PieceCache:
-    from tokenizers import Tokenizer
+#: A word of letters, perhaps with punctuation behind it; each of the two parts is one piece of the tokenizer.
+SIMPLE = regex.compile(r"(\p{L}+)([.,!?;:%&#*$|]*)")
+
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+class WordEncoder:
+    """Ids of lower-case words, for a tokenizer that ends each piece with </w>.
+
+    Parts of simple words are encoded many in one text, which is cut at the ends
+    of pieces; where that gives more pieces than parts, each is encoded alone.
+    """
 
-    def encode(words: list[bytes]) -> list:
-        out = []
-        for i in range(0, len(words), 20_000):
-            part = [w.decode("utf-8", "replace") for w in words[i : i + 20_000]]
-            out += [x.ids for x in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+    def __init__(self, path: str, most: int = 300_000):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.most, self.known = most, {}
+
+    def alone(self, words: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def parts(self, words: list[str], each: int = 1000) -> list[list[int]]:
+        out: list = []
+        for i in range(0, len(words), each):
+            own = words[i : i + each]
+            (ids,) = self.alone([" ".join(own)])
+            cuts = np.nonzero(self.ends[ids])[0] + 1
+            if len(cuts) == len(own) and cuts[-1] == len(ids):
+                out += [ids[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+            else:
+                out += self.alone(own)
         return out
 
-    return PieceCache(encode)
+    def __call__(self, words: list[bytes]) -> list[list[int]]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        split = [m.groups() if (m := SIMPLE.fullmatch(t)) else None for t in texts]
+        new = sorted({p for x in split if x for p in x if p and p not in self.known})
+        if len(self.known) + len(new) > self.most:
+            self.known.clear()
+            new = sorted({p for x in split if x for p in x if p})
+        self.known.update(zip(new, self.parts(new), strict=True))
+        rest = iter(self.alone([t for t, x in zip(texts, split, strict=True) if not x]))
+        known = self.known
+        return [(known[x[0]] + known[x[1]] if x[1] else known[x[0]]) if x else next(rest) for x in split]
+
+
+@functools.lru_cache(maxsize=2)
+def _cache(path: str) -> PieceCache:
+    return PieceCache(WordEncoder(path), 400_000)
 
 
 def token_ids(texts: list[str], path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the texts, each followed by end_id, and their numbers.
 
-    For a tokenizer that drops white space and never joins across it, words
-    between ASCII white space are encoded once each.
+    For a tokenizer that drops white space, never joins across it, and lowers
+    letters: words between ASCII white space are encoded once each.
     """
-    flat, sizes = _cache(path).ids([t.encode("utf-8", "replace").split() for t in texts])
+    flat, sizes = _cache(path).ids([t.encode("utf-8", "replace").lower().split() for t in texts])
     return np.insert(flat, np.cumsum(sizes), end_id), sizes + 1
 
 

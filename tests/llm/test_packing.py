@@ -90,3 +90,10 @@ def test_repeated_rows_and_empty_table(spark):
     got = pack_documents(df).collect()
     assert len(got) == 4 and len({(r.sequence_id, r.offset) for r in got}) == 4
     assert pack_documents(df.limit(0)).count() == 0
+
+
+def test_words_encoded_together_and_alone():
+    words = ["the", "thorion,", "İstanbul", "über!!", "don't", "a1b", "é", "éx", "x.,", "日本語。", "...", "it's,", "가", "ΑΣ", "KK"] * 3
+    ids, sizes = packing.token_ids(words, PATH, 2)
+    got = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert got == plain_ids(words)
