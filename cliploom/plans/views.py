@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.functions.draws import draw, draw_sql
+from cliploom.functions.draws import draw, draw_sql, order_sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,3 +111,8 @@ atc as (
 
 def with_sql(*views: str, select: str) -> str:
     return "with " + ",".join(views) + "\n" + select
+
+
+def order(purpose: str, *columns: str) -> str:
+    """SQL of the hash that replaces a seeded shuffle."""
+    return order_sql(f"'{purpose}'", *columns)
