@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cliploom.plans import q_splits, q_text  # noqa: F401
+from cliploom.plans import q_joins, q_splits, q_text  # noqa: F401
 from cliploom.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "WER-3"
