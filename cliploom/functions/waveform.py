@@ -1,0 +1,118 @@
+"""Measures and transforms of waveforms: vectorized over array columns, samples dropped right after."""
+
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+
+def rms_db(c: Column) -> Column:
+    power = F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) / F.size(c)
+    return 10 * F.log10(F.greatest(power, F.lit(1e-12)))
+
+
+def peak(c: Column) -> Column:
+    return F.array_max(F.transform(c, lambda x: F.abs(x.cast("double"))))
+
+
+def clip_share(c: Column, level: float = 0.999) -> Column:
+    return F.size(F.filter(c, lambda x: F.abs(x.cast("double")) >= level)) / F.size(c)
+
+
+@F.pandas_udf(StringType())
+def audio_hash(samples: pd.Series) -> pd.Series:
+    """SHA-256 of the samples as little-endian 32-bit floats."""
+    return samples.map(lambda x: hashlib.sha256(np.asarray(x, "<f4").tobytes()).hexdigest())
+
+
+def clip_qc(df: DataFrame, samples: str = "samples", rate: str = "sr") -> DataFrame:
+    """df with seconds, rms, peak, clipped and reason: the first failing check, null for a good clip."""
+    x = F.col(samples)
+    df = df.withColumns({"seconds": F.size(x) / F.col(rate), "rms": rms_db(x), "peak": peak(x), "clipped": clip_share(x)})
+    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    reason = (
+        F.when(x.isNull() | (F.size(x) == 0) | bad, "nonfinite")
+        .when(F.col("clipped") > 0.01, "clipping")
+        .when(F.col("rms") < -60, "silence")
+        .when(~F.col("seconds").between(0.5, 30), "duration")
+        .when(~F.col("rms").between(-40, -8), "level")
+    )
+    return df.withColumn("reason", reason)
+
+
+def frames(x: np.ndarray, frame: int, hop: int) -> np.ndarray:
+    n = 1 + max(0, (len(x) - frame) // hop)
+    x = np.pad(x, (0, max(0, frame - len(x))))
+    return np.lib.stride_tricks.sliding_window_view(x, frame)[::hop][:n]
+
+
+def frame_db(frame: int, hop: int):
+    """A pandas function from samples to the energy of frames in dB."""
+
+    @F.pandas_udf("array<double>")
+    def run(samples: pd.Series) -> pd.Series:
+        return samples.map(lambda x: 10 * np.log10(np.maximum((frames(np.asarray(x, float), frame, hop) ** 2).mean(1), 1e-12)))
+
+    return run
+
+
+def repeat_score(frame: int, hop: int, least: int):
+    """A pandas function from samples to the peak autocorrelation of loudness, at lags from least to half of the frames."""
+
+    def one(x) -> float:
+        e = np.log10(np.maximum((frames(np.asarray(x, float), frame, hop) ** 2).mean(1), 1e-12))
+        e = e - e.mean()
+        best = 0.0
+        for lag in range(least, len(e) // 2 + 1):
+            a, b = e[:-lag], e[lag:]
+            norm = np.sqrt((a * a).sum() * (b * b).sum())
+            best = max(best, float((a * b).sum() / norm) if norm > 0 else 0.0)
+        return best
+
+    @F.pandas_udf("double")
+    def run(samples: pd.Series) -> pd.Series:
+        return samples.map(one)
+
+    return run
+
+
+def domain_filter(df: DataFrame, low: float, high: float, samples: str = "samples", rate: str = "sr") -> DataFrame:
+    """Clips of a length between the bounds that are not silent, scaled to a peak of 0.9."""
+    x = F.col(samples)
+    df = df.withColumn("__p", peak(x)).where((F.size(x) / F.col(rate)).between(low, high) & (F.col("__p") >= 1e-4))
+    return df.withColumn(samples, F.transform(x, lambda v: (v.cast("double") * 0.9 / F.col("__p")))).drop("__p")
+
+
+def compare_pairs(df: DataFrame, source: str, output: str) -> DataFrame:
+    """df with problem of the output clip against its source: empty, length, clipping, level; null if none."""
+    a, b = F.col(source), F.col(output)
+    why = F.when(F.size(b) == 0, "empty").when(F.size(a) != F.size(b), "length").when(clip_share(b) > 0.01, "clipping").when(F.abs(rms_db(b) - rms_db(a)) > 6, "level")
+    return df.withColumn("problem", why)
+
+
+def to_mono_rate(x: np.ndarray, rate: int, target: int = 16_000, taps: int = 32) -> np.ndarray:
+    """Windowed-sinc resampling of mono samples."""
+    if rate == target or not len(x):
+        return np.asarray(x, np.float32)
+    at = np.arange(int(len(x) * target / rate)) * rate / target
+    cut = min(1.0, target / rate)
+    base = np.floor(at).astype(int)[:, None] + np.arange(-taps, taps + 1)
+    t = at[:, None] - base
+    kernel = cut * np.sinc(cut * t) * np.where(np.abs(t) <= taps, 0.5 + 0.5 * np.cos(np.pi * t / taps), 0)
+    inside = (base >= 0) & (base < len(x))
+    return (kernel * np.where(inside, np.asarray(x, float)[np.clip(base, 0, len(x) - 1)], 0)).sum(1).astype(np.float32)
+
+
+def speech_mask(db: np.ndarray) -> np.ndarray:
+    """Frames of speech: over the strong level, or over the weak one in a run that holds a strong frame; all of a flat clip."""
+    low, high = np.percentile(db, [20, 90])
+    if high - low < 6:
+        return np.ones(len(db), bool)
+    strong, weak = db >= low + 0.6 * (high - low), db >= low + 0.35 * (high - low)
+    run = np.cumsum(np.diff(weak.astype(int), prepend=0) != 0)
+    return weak & np.isin(run, np.unique(run[strong]))

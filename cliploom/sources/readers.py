@@ -11,7 +11,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 ENTITY = "struct<type:string,value:string,spoken:string,critical:boolean>"
 MANIFEST = f"audio string, text string, text_display string, role string, kind string, category string, duration double, entities array<{ENTITY}>, gen string, lineage string, gate string, row_idx long"
@@ -96,7 +95,7 @@ def read_split(df: DataFrame, name: str, registry: dict[str, tuple[int, int | No
     return df.where(own if stop is None else own & (F.col(index) < stop))
 
 
-CLIP = StructType.fromDDL("path string, sr int, samples array<float>, problem string")
+CLIP = "path string, sr int, samples array<float>, problem string"
 
 
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
