@@ -38,9 +38,10 @@ def _first(df: DataFrame, names: tuple[str, ...], what: str) -> Column:
 
 def read_labeled_corpus(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
     """audio, text and (if any row has one) source; aliases count, empty text stays, a missing value fails."""
-    df = spark.read.option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "\\N").csv(path) if kind == "csv" else spark.read.json(path)
+    df = spark.read.option("header", True).option("escape", '"').csv(path) if kind == "csv" else spark.read.json(path)
     need = lambda c, what: F.coalesce(c, F.raise_error(F.lit(f"a row has no {what}")).cast("string"))
     audio, text = _first(df, AUDIO, "audio"), _first(df, TEXT, "text")
+    text = F.coalesce(text, F.lit("")) if kind == "csv" else text  # an empty cell is empty text
     has_source = "source" in df.columns and not df.where("source is not null and source <> ''").isEmpty()
     return df.select(need(audio, "audio").alias("audio"), need(text, "text").alias("text"), *(["source"] if has_source else []))
 
