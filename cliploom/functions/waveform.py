@@ -116,3 +116,120 @@ def speech_mask(db: np.ndarray) -> np.ndarray:
     strong, weak = db >= low + 0.6 * (high - low), db >= low + 0.35 * (high - low)
     run = np.cumsum(np.diff(weak.astype(int), prepend=0) != 0)
     return weak & np.isin(run, np.unique(run[strong]))
+
+
+def spectrum(x: np.ndarray, size: int) -> np.ndarray:
+    """Mean power of windowed frames (half of a frame apart) by frequency."""
+    f = frames(np.asarray(x, float), size, max(1, size // 2)) * np.hanning(size)
+    return (np.abs(np.fft.rfft(f, axis=1)) ** 2).mean(0)
+
+
+def edges_hz(power: np.ndarray, rate: int, low: float = 0.02, high: float = 0.98) -> tuple[float, float]:
+    """Frequencies below which the shares low and high of the power lie."""
+    total = np.cumsum(power)
+    hz = np.linspace(0, rate / 2, len(power))
+    return tuple(float(hz[min(len(hz) - 1, np.searchsorted(total, s * total[-1]))]) for s in (low, high))
+
+
+def clip_stats(frame: int, bands: int = 32):
+    """A pandas function from samples and rate to duration, level, peak, spectral edges, frame SNR and a long-term spectrum in bands."""
+
+    def one(x, rate: int) -> dict:
+        x = np.asarray(x, float)
+        db = 10 * np.log10(np.maximum((frames(x, frame, max(1, frame // 2)) ** 2).mean(1), 1e-12))
+        power = spectrum(x, frame)
+        low, high = edges_hz(power, rate)
+        parts = [p.mean() if len(p) else 0.0 for p in np.array_split(power, bands)]
+        return {
+            "duration": len(x) / rate,
+            "rms_db": float(10 * np.log10(max((x**2).mean(), 1e-12))),
+            "peak_db": float(20 * np.log10(max(np.abs(x).max(), 1e-6))),
+            "low_hz": low,
+            "edge_hz": high,
+            "snr_db": float(np.percentile(db, 90) - np.percentile(db, 15)),
+            "ltas_db": (10 * np.log10(np.maximum(parts, 1e-12))).tolist(),
+        }
+
+    @F.pandas_udf("duration double, rms_db double, peak_db double, low_hz double, edge_hz double, snr_db double, ltas_db array<double>")
+    def run(samples: pd.Series, rate: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(x, int(r)) for x, r in zip(samples, rate, strict=True)])
+
+    return run
+
+
+def trimmed(x: np.ndarray, frame: int, reach_db: float = 35.0, level_db: float = -26.0) -> np.ndarray:
+    """From the first to the last frame within reach of the loudest, at a level, with a peak of at most 0.99."""
+    x = np.asarray(x, float)
+    db = 10 * np.log10(np.maximum((frames(x, frame, frame) ** 2).mean(1), 1e-12))
+    keep = np.nonzero(db >= db.max() - reach_db)[0]
+    x = x[keep[0] * frame : (keep[-1] + 1) * frame]
+    gain = 10 ** (level_db / 20) / max(np.sqrt((x**2).mean()), 1e-9)
+    return x * min(gain, 0.99 / max(np.abs(x).max(), 1e-9))
+
+
+def quiet_window(x: np.ndarray, size: int) -> tuple[int, float] | None:
+    """Start and level of the quietest window, if its level is 0.02 to 0.35 of the clip's."""
+    x = np.asarray(x, float)
+    if len(x) < size:
+        return None
+    total = np.concatenate([[0.0], np.cumsum(x**2)])
+    power = (total[size:] - total[:-size]) / size
+    i = int(power.argmin())
+    share = np.sqrt(max(power[i], 0.0)) / max(np.sqrt((x**2).mean()), 1e-12)
+    return (i, float(share)) if 0.02 <= share <= 0.35 else None
+
+
+def padded(x: np.ndarray, block: int = 1024) -> np.ndarray:
+    """x with its end reflected up to a multiple of the block."""
+    short = -len(x) % block
+    return np.pad(np.asarray(x, float), (0, short), mode="reflect") if short and len(x) > 1 else np.pad(np.asarray(x, float), (0, short))
+
+
+def noise_spans(x: np.ndarray, rate: int, frame: int, hop: int, least: float, pad: float = 0.02) -> list[tuple[int, int]]:
+    """Spans without speech of at least so many seconds, speech padded by pad on both sides."""
+    mask = speech_mask(10 * np.log10(np.maximum((frames(np.asarray(x, float), frame, hop) ** 2).mean(1), 1e-12)))
+    if mask.all():
+        return []
+    speech = np.zeros(len(x), bool)
+    for i in np.nonzero(mask)[0]:
+        speech[max(0, i * hop - int(pad * rate)) : i * hop + frame + int(pad * rate)] = True
+    edge = np.flatnonzero(np.diff(np.concatenate([[1], speech.astype(int), [1]])))
+    return [(int(a), int(b)) for a, b in zip(edge[::2], edge[1::2], strict=True) if (b - a) >= least * rate]
+
+
+def noise_segments(df: DataFrame, key: str, samples: str, rate: str, frame: int, hop: int, least: float) -> DataFrame:
+    """key, start, stop, rms_db, centroid_hz, squelch_gated: a row for each span without speech."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for k, x, r in zip(pdf[key], pdf[samples], pdf[rate], strict=True):
+                x = np.asarray(x, float)
+                for a, b in noise_spans(x, int(r), frame, hop, least):
+                    power = spectrum(x[a:b], min(frame, b - a))
+                    level = float(10 * np.log10(max((x[a:b] ** 2).mean(), 1e-12)))
+                    hz = np.linspace(0, r / 2, len(power))
+                    rows.append((k, a, b, level, float((hz * power).sum() / max(power.sum(), 1e-12)), level < -60))
+            yield pd.DataFrame(rows, columns=[key, "start", "stop", "rms_db", "centroid_hz", "squelch_gated"]).astype({"start": "int64", "stop": "int64"})
+
+    kind = dict(df.dtypes)[key]
+    return df.select(key, samples, rate).mapInPandas(run, f"{key} {kind}, start long, stop long, rms_db double, centroid_hz double, squelch_gated boolean")
+
+
+def measure_snr(x: np.ndarray, frame: int, hop: int, low: float = 0.0, high: float = 60.0) -> float:
+    """Level of speech less the median level of pauses, in dB, held between the bounds; the high one without pauses."""
+    db = 10 * np.log10(np.maximum((frames(np.asarray(x, float), frame, hop) ** 2).mean(1), 1e-12))
+    mask = speech_mask(db)
+    if mask.all() or not mask.any():
+        return high
+    return float(np.clip(10 * np.log10((10 ** (db[mask] / 10)).mean()) - np.median(db[~mask]), low, high))
+
+
+def per_clip(f, kind: str):
+    """A pandas function that applies f to each array of samples; null for null."""
+
+    @F.pandas_udf(kind)
+    def run(samples: pd.Series) -> pd.Series:
+        return samples.map(lambda x: None if x is None else f(np.asarray(x, float)))
+
+    return run

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cliploom.plans import q_gate, q_joins, q_more, q_splits, q_stats, q_text  # noqa: F401
+from cliploom.plans import q_gate, q_joins, q_more, q_sources, q_splits, q_stats, q_text  # noqa: F401
 from cliploom.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "WER-3"
