@@ -117,3 +117,52 @@ def select_candidate(evals: DataFrame) -> DataFrame:
     own = ok.join(F.broadcast(best), F.col("step") == F.col("best")).select("fold", "best", F.col("value").alias("best_value"))
     d = ok.join(own, "fold").withColumn("d", F.col("value") - F.col("best_value")).groupBy("step").agg(F.avg("d").alias("diff"), (F.stddev_samp("d") / F.sqrt(F.count(F.lit(1)))).alias("se"))
     return d.where("diff <= coalesce(se, 0) or diff = 0").orderBy("step").limit(1).select("step", "diff")
+
+
+def separability_probe(df: DataFrame, vector: str, in_a: str, key: str, folds: int = 5, seed: str = "probe") -> DataFrame:
+    """accuracy (balanced, over held-out folds), verdict, and null (of a split of one set in half, which nothing should tell apart)."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.functions import array_to_vector
+
+    def balanced(rows: DataFrame) -> DataFrame:
+        fold = F.pmod(F.conv(F.substring(order_key(seed, F.col(key)), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
+        own = rows.select(F.col("label").cast("double").alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("raw"), fold.alias("fold")).persist()
+        parts = None
+        for i in range(folds):
+            train, test = own.where(F.col("fold") != i), own.where(F.col("fold") == i)
+            scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
+            got = LogisticRegression(maxIter=50, regParam=0.01).fit(scaler.transform(train)).transform(scaler.transform(test)).select("label", "prediction")
+            parts = got if parts is None else parts.unionByName(got)
+        by_class = parts.groupBy("label").agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("hit"))
+        return by_class.agg(F.avg("hit").alias("accuracy"))
+
+    real = balanced(df.withColumn("label", F.col(in_a).cast("int")))
+    half = F.pmod(F.conv(F.substring(order_key(seed, F.lit("half"), F.col(key)), 1, 8), 16, 10).cast("long"), F.lit(2))
+    null = balanced(df.where(F.col(in_a)).withColumn("label", half)).withColumnRenamed("accuracy", "null")
+    verdict = F.when(F.col("accuracy") > 0.65, "separable").when(F.col("accuracy") > 0.55, "unclear").otherwise("alike")
+    return real.crossJoin(null).withColumn("verdict", verdict)
+
+
+def cohort_ltas(df: DataFrame, samples: str, cohort: str, frame: int, points: int = 16) -> DataFrame:
+    """cohort, place, db: each clip's power spectrum over its power, averaged, in dB of the peak, at evenly spaced points."""
+    from cliploom.functions.waveform import spectrum
+
+    @F.pandas_udf("array<double>")
+    def shares(x: pd.Series) -> pd.Series:
+        def one(v) -> list:
+            p = spectrum(v, frame)
+            return (p / max(p.sum(), 1e-12)).tolist()
+
+        return x.map(one)
+
+    mean = df.select(cohort, F.posexplode(shares(samples)).alias("place", "p")).groupBy(cohort, "place").agg(F.avg("p").alias("p"))
+
+    def at_points(pdf: pd.DataFrame) -> pd.DataFrame:  # a row for each frequency of one cohort
+        pdf = pdf.sort_values("place")
+        db = 10 * np.log10(np.maximum(pdf["p"].to_numpy() / pdf["p"].max(), 1e-12))
+        at = np.linspace(0, len(db) - 1, points)
+        return pd.DataFrame({cohort: pdf[cohort].iloc[0], "place": np.arange(points), "db": np.interp(at, np.arange(len(db)), db)})
+
+    kind = dict(df.dtypes)[cohort]
+    return mean.groupBy(cohort).applyInPandas(at_points, f"{cohort} {kind}, place int, db double")

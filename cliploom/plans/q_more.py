@@ -153,3 +153,15 @@ def udf2(spark, sf_dir):
     e = V.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     v = C.embed_with(e, lambda x: x[:4], "vec_id", "embedding")
     return v.select("vec_id", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total"))
+
+
+@query("FID-7", None)
+def fid7(spark, sf_dir):
+    e = V.table(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("label") < 5).alias("in_a"))
+    return D.separability_probe(e, "embedding", "in_a", "vec_id", folds=3)
+
+
+@query("FID-4", None)
+def fid4(spark, sf_dir):
+    e = V.table(spark, sf_dir, "embeddings").select(F.col("embedding").alias("samples"), (F.col("label") % 2).alias("cohort"))
+    return D.cohort_ltas(e, "samples", "cohort", 32)

@@ -274,25 +274,29 @@ def str3(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@query("STR-1", None)
+@query("STR-1", """with g as (select 'ST' || user_id % 6 as station, ts, lag(ts) over (partition by user_id % 6 order by ts) as before from events),
+s as (select station, ts, sum(case when before is null or ts - before > interval 15 minutes then 1 else 0 end) over (partition by station order by ts rows unbounded preceding) as b from g),
+w as (select station, min(ts) as a, max(ts) + interval 15 minutes as b, count(*) as n from s group by station, s.b)
+select station, strftime(a, '%Y-%m-%d %H:%M:%S') as start, strftime(b, '%Y-%m-%d %H:%M:%S') as "end", n from w where b <= (select max(ts) - interval 1 hour from events)""")
 def str1(spark, sf_dir):
     e = arriving(spark, sf_dir).select("ts", F.concat(F.lit("ST"), (F.col("user_id") % 6).cast("string")).alias("station"))
     path = place(spark, "stream")
     M.run_available(M.stream_capture_blocks(e), path, path + "-state")
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).select("station", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("start", "end")), "n")
 
 
-@query("STR-4", None)
+@query("STR-4", """select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, case when value < 20 then 'short' when value > 150 then 'long' else 'kept' end as reason, count(*) as n from events
+  where date_trunc('day', ts) + interval 1 day <= (select max(ts) - interval 1 hour from events) group by 1, 2""")
 def str4(spark, sf_dir):
     e = arriving(spark, sf_dir).select("ts", F.expr("case when value < 20 then 'short' when value > 150 then 'long' else 'kept' end").alias("reason"))
     path = place(spark, "stream")
     M.run_available(M.stream_qc_tally(e), path, path + "-state")
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "reason", "n")
 
 
-@query("STR-2", None)
+@query("STR-2", "select distinct md5(user_id::varchar) as audio_hash from events")
 def str2(spark, sf_dir):
     e = arriving(spark, sf_dir).select("ts", F.md5(F.col("user_id").cast("string")).alias("audio_hash"))
     path = place(spark, "stream")
     M.run_available(M.stream_dedup(e), path, path + "-state")
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).select("audio_hash")
