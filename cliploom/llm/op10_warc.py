@@ -22,7 +22,7 @@ def digest_of(payload):
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
     read = warc.read_archives(spark, archives)
-    id_of = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).cast("long")
+    id_of = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).try_cast("long")
     return read.select(
         id_of("record_id").alias("page_id"),
         "payload_bytes",

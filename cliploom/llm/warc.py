@@ -14,7 +14,7 @@ and the longest record.
 
 Files are reached by pyarrow's filesystems, in tasks only. Defined results: a
 null or empty payload is a record of no bytes; equal payloads with equal keys
-(repeated rows) are one response each; an empty table writes no archive; a range
+(repeated rows) are one response each; a row without a key is a response; an empty table writes no archive; a range
 without a record start gives no rows; a truncated or damaged member raises
 ValueError at its owner.
 """
@@ -227,7 +227,7 @@ def read_archives(spark: SparkSession, archives: DataFrame, range_bytes: int = 4
                                 None if revisit else body,
                             )
                         )
-                        if sum(len(x[-1] or b"") for x in rows[-1:]) > BLOCK or len(rows) >= 200:
+                        if len(rows[-1][-1] or b"") > BLOCK or len(rows) >= 200:
                             yield batch_of(rows)
                             rows = []
                 if rows:

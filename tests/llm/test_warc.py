@@ -55,6 +55,12 @@ def test_members_are_plain_gzip_and_magic_inside_is_no_record():
         list(warc.records_of(io.BytesIO(data[:-10]), 0, len(data)))
 
 
+def test_null_ids(spark, tmp_path):
+    spark.createDataFrame([(None, None, "x"), (1, None, "x")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = op10_warc(spark, str(tmp_path)).collect()
+    assert sorted((r.page_id or 0, r.record_type) for r in rows) == [(0, "response"), (1, "response")]
+
+
 def test_empty_table_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "u", "x")] * 3, "page_id long, url string, html string")
     rows = warc.read_archives(spark, warc.write_archives(df, scratch(spark, "warc"))).collect()
