@@ -75,10 +75,12 @@ def near_classes(docs: DataFrame, classes: DataFrame, text: str) -> DataFrame:
     """h1, h2 of the classes that are near copies of an earlier one."""
     half = classes.where("halves is not null").select("h1", "h2", "place", "n", F.explode("halves").alias("half"))
     shared = half.groupBy("half").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("half")
-    candidates = written(half.join(shared, "half", "left_semi").groupBy("h1", "h2").agg(F.min("place").alias("place")), "candidates")
-    numbers = candidates.groupBy(F.col("place.doc").alias("__doc")).agg(F.collect_set("place").alias("places"))
-    found = docs.join(numbers, "__doc").select(F.explode("places").alias("place"), F.split(text, "\n").alias("lines"))
-    found = found.select("place", words_of(F.element_at("lines", F.col("place.number") + 1)).alias("words")).dropDuplicates(["place"])
+    candidates = half.join(shared, "half", "left_semi").groupBy("h1", "h2").agg(F.min("place").alias("place"))
+    # numbers that grow in the order of place, and are fixed by the table
+    candidates = written(candidates.orderBy("place").withColumn("line", F.monotonically_increasing_id()), "candidates")
+    numbers = candidates.groupBy(F.col("place.doc").alias("__doc")).agg(F.collect_set(F.struct("place.number", "line")).alias("own"))
+    found = docs.join(numbers, "__doc").select(F.explode("own").alias("x"), F.split(text, "\n").alias("lines"))
+    found = found.select("x.line", words_of(F.element_at("lines", F.col("x.number") + 1)).alias("words")).dropDuplicates(["line"])
     lines = written(found.withColumn("codes", F.transform("words", lambda w: F.xxhash64(w))), "lines")
 
     n = F.size("codes")
@@ -87,22 +89,23 @@ def near_classes(docs: DataFrame, classes: DataFrame, text: str) -> DataFrame:
         lambda i: F.struct(i.alias("at"), F.xxhash64(n - 1, F.concat(F.slice("codes", F.lit(1), i - 1), F.slice("codes", i + 1, n))).alias("key")),
     )
     itself = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(n, F.col("codes")).alias("key")))
-    variants = lines.select("place", F.explode(F.concat(itself, without)).alias("v")).select("place", "v.at", "v.key")
+    variants = lines.select("line", F.explode(F.concat(itself, without)).alias("v")).select("line", "v.at", "v.key")
+    variants = written(variants, "variants")
     shared = variants.groupBy("key").agg(
         F.count(F.lit(1)).alias("many"),
-        F.min(F.when(F.col("at") == 0, F.col("place"))).alias("whole"),
-        F.min(F.when(F.col("at") > 0, F.col("place"))).alias("cut"),
+        F.min(F.when(F.col("at") == 0, F.col("line"))).alias("whole"),
+        F.min(F.when(F.col("at") > 0, F.col("line"))).alias("cut"),
     )
     shared = written(shared.where("many > 1"), "shared")
-    variants = written(variants.join(shared.select("key"), "key", "left_semi"), "variants")
-    same = variants.where("at > 0").groupBy("key", "at").agg(F.min("place").alias("witness"))
-    one = variants.join(same, ["key", "at"]).select("place", "witness")
-    two = variants.join(shared, "key").select("place", F.when(F.col("at") == 0, F.col("cut")).otherwise(F.col("whole")).alias("witness"))
-    pairs = one.unionByName(two).where("witness < place").distinct()
-    a = lines.select("place", F.col("words").alias("a"))
-    b = lines.select(F.col("place").alias("witness"), F.col("words").alias("b"))
-    near = pairs.join(a, "place").join(b, "witness").where(edit_within_one(F.col("a"), F.col("b"))).select("place").distinct()
-    return candidates.join(near, "place", "left_semi").select("h1", "h2")
+    variants = written(variants.join(shared, "key"), "variants")
+    same = variants.where("at > 0").groupBy("key", "at").agg(F.min("line").alias("witness"))
+    one = variants.join(same, ["key", "at"]).select("line", "witness")
+    two = variants.select("line", F.when(F.col("at") == 0, F.col("cut")).otherwise(F.col("whole")).alias("witness"))
+    pairs = one.unionByName(two).where("witness < line").distinct()
+    a = lines.select("line", F.col("words").alias("a"))
+    b = lines.select(F.col("line").alias("witness"), F.col("words").alias("b"))
+    near = pairs.join(a, "line").join(b, "witness").where(edit_within_one(F.col("a"), F.col("b"))).select("line").distinct()
+    return candidates.join(near, "line", "left_semi").select("h1", "h2")
 
 
 def dedup_lines(df: DataFrame, min_words: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
