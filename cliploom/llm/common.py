@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import itertools
 import tempfile
 import uuid
@@ -94,7 +97,20 @@ def map_arrow(df: DataFrame, columns: list[str], f: Callable, added: str, withou
     kept = [x for x in df.select(*columns).schema.fields if x.name not in (*more.names, *without)]
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return df.select(*columns).mapInArrow(f, StructType(kept + more.fields))
+
+    def run(batches):
+        yield from f(batches)
+        give_back()
+
+    return df.select(*columns).mapInArrow(run, StructType(kept + more.fields))
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, as a worker lives on idle after its task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def ragged(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
