@@ -9,11 +9,13 @@ sets decides.
 No list is cut. Two sets of the wanted similarity share at least MIN_SHARE of
 their sketches (five standard deviations below the mean at SKETCH = 64, and
 always when the sketch is the whole set), so each document enters only the
-lists of its rarest values, as many as that bound requires. Values that many
-texts share come last and are rarely used. Inside a list, members are first held
-against one hub; members of one component need no more comparisons, and the last
-pass compares every pair of a list that still lies in two components. So a large
-group of copies costs rows in proportion to its size, and no link is lost.
+lists of its rarest values, as many as that bound requires. Pairs of lists of up to
+SMALL members are compared directly. Documents of longer lists are looked at again
+with their full sets: lists of their rarest shingles by the exact bound, members held
+against one hub of each list (one with few rarer shingles), which joins large groups
+of copies in rows in proportion to their size, and then every pair of a list that
+still lies in two components, but for those whose rarer shingles, which they don't
+share, already make them too different. So no link is lost.
 
 Defined results: a text without words, or null, has an empty set and is linked
 with nothing; rows with one id are one document (of its smallest set digest);
@@ -30,10 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import forget, map_arrow, slices, written
+from cliploom.llm.common import forget, list_array, map_arrow, slices, written
 
 SKETCH = 64
 MIN_SHARE = 0.55
+SMALL = 32
 HUB_ROUNDS = 2
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -79,6 +82,11 @@ def shingle_sets(texts: list[str], words_per_shingle: int, hashes: WordHashes) -
     return np.split(value, np.cumsum(np.bincount(doc, minlength=len(lists)))[:-1])
 
 
+def long_lists(sets: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+    return list_array(flat, np.array([len(x) for x in sets], np.int64))
+
+
 def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
@@ -90,14 +98,12 @@ def sketches(df: DataFrame, words: int, key: str, text: str) -> DataFrame:
         hashes = WordHashes()
         for batch, texts in slices(batches, text):
             sets = shingle_sets(texts, words, hashes)
-            low = [s[:SKETCH].view(np.int64) for s in sets]
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in low])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(key),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([digest(s.tobytes()) for s in sets], pa.binary()),
-                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(low))),
+                    long_lists([s[:SKETCH] for s in sets]),
                 ],
                 names=[key, "n_shingles", "digest", "sketch"],
             )
@@ -106,15 +112,15 @@ def sketches(df: DataFrame, words: int, key: str, text: str) -> DataFrame:
 
 
 def full_sets(df: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """id, digest and set: the sorted hashes as binary."""
+    """id, digest and set: the sorted hashes."""
 
     def run(batches):
         hashes = WordHashes()
         for batch, texts in slices(batches, text):
-            sets = [s.tobytes() for s in shingle_sets(texts, words, hashes)]
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(map(digest, sets), pa.binary()), pa.array(sets, pa.binary())], names=[key, "digest", "set"])
+            sets = shingle_sets(texts, words, hashes)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([digest(s.tobytes()) for s in sets], pa.binary()), long_lists(sets)], names=[key, "digest", "set"])
 
-    return map_arrow(df, [key, text], run, "digest binary, set binary", without=[text]).withColumnRenamed(key, "id")
+    return map_arrow(df, [key, text], run, "digest binary, set array<long>", without=[text]).withColumnRenamed(key, "id")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -136,7 +142,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             x, y = batch.column("x"), batch.column("y")
-            ok = [similar(np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64), percent) for i in range(len(x))]
+            array = lambda v: v.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            ok = [similar(array(x[i]), array(y[i]), percent) for i in range(len(x))]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
@@ -144,19 +151,21 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(both, ["a", "b", "x", "y"], run, "", without=["x", "y"])
 
 
-def candidate_lists(reps: DataFrame) -> DataFrame:
-    """value, id and n_shingles: each document in the lists of its rarest sketch values.
+def rarest(values: DataFrame, need) -> DataFrame:
+    """value, many, id, n, rank: each document (id, n, values) in the lists of its rarest values.
 
-    With s values and at least t of them shared, two documents share one among
-    the s - t + 1 rarest of either. Values of one document come first and need
-    no list.
+    If at least need of its values are shared with a similar document, the two
+    share one among all but need - 1 of the values of either, in any fixed order.
+    Values that one document alone has come first and need no list. rank is the
+    number of the document's values before this one.
     """
-    values = reps.select("id", "n_shingles", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
-    common = values.groupBy("value").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    rest = values.join(common, "value").groupBy("id", "n_shingles", "s").agg(F.sort_array(F.collect_list(F.struct("many", "value"))).alias("x"))
-    take = F.size("x") - F.ceil(F.lit(MIN_SHARE) * F.col("s")).cast("int") + 1
-    rest = rest.where(take > 0).select("id", "n_shingles", F.explode(F.slice("x", 1, take)).alias("x"))
-    return rest.select(F.col("x.value").alias("value"), "id", "n_shingles")
+    each = values.select("id", F.explode("values").alias("value"))
+    common = each.groupBy("value").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    rest = each.join(common, "value").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("many", "value"))).alias("x"))
+    rest = rest.join(values.select("id", "n", F.size("values").alias("s")), "id")
+    take = F.size("x") - F.ceil(need).cast("int") + 1
+    rest = rest.where(take > 0).select("id", "n", (F.col("s") - F.size("x")).alias("own"), F.posexplode(F.slice("x", 1, take)).alias("at", "x"))
+    return rest.select("x.value", "x.many", "id", "n", (F.col("own") + F.col("at")).cast("long").alias("rank"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -184,31 +193,39 @@ def components(edges: DataFrame) -> DataFrame:
     return star.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(star.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
-def links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def renamed(lists: DataFrame) -> DataFrame:
+    return lists.select("value", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "rank", "comp") if c in lists.columns))
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
+def links(small: DataFrame, full: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join all similar documents of the lists into components; not all links of a component."""
-    close = F.expr(f"100 * least(n_shingles, other) >= {percent} * greatest(n_shingles, other)")
-    labels = found = checked = None
+    close = F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")
+    # In the first list that two documents share, the values before it are not shared: they and the
+    # difference in size of the rest lie outside the intersection.
+    near = close & F.expr(f"{100 + percent} * (rank + rank2 + abs((n - rank) - (n2 - rank2))) <= {100 - percent} * (n + n2)")
+    found = labels = checked = None
     for turn in range(HUB_ROUNDS + 1):
-        member = lists.withColumn("comp", F.col("id"))
+        member = full.withColumn("comp", F.col("id"))
         if labels is not None:
-            member = lists.join(labels, "id", "left").select("value", "id", "n_shingles", F.coalesce("root", "id").alias("comp"))
-        mixed = member.groupBy("value").agg(
-            F.min("comp").alias("lo"),
-            F.max("comp").alias("hi"),
-            F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("hub"), F.col("n_shingles").alias("other"), F.col("comp").alias("hub_comp"))).alias("x"),
-        )
-        mixed = mixed.where("lo <> hi").select("value", "x.hub", "x.other", "x.hub_comp")
+            member = full.join(labels, "id", "left").select("value", "id", "n", "rank", F.coalesce("root", "id").alias("comp"))
+        key = F.struct(F.col("rank") if turn == 0 else F.xxhash64("id", F.lit(turn)), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+        mixed = member.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(key).alias("x")).where("lo <> hi")
         if turn < HUB_ROUNDS:
-            pairs = member.join(mixed, "value").where(close & F.expr("comp <> hub_comp")).select(F.col("id").alias("p"), F.col("hub").alias("q"))
+            pairs = member.join(mixed.select("value", "x.id2", "x.n2", "x.comp2"), "value").where(close & F.expr("comp <> comp2"))
+        else:
+            apart = member.join(mixed.select("value"), "value", "left_semi")
+            pairs = apart.join(renamed(apart), "value").where(near & F.expr("comp < comp2"))
+        pairs = ordered(pairs)
+        if turn == 0:
+            pairs = pairs.unionByName(ordered(small.join(renamed(small), "value").where(close & F.expr("id < id2")))).distinct()
         else:
-            open_lists = member.join(mixed.select("value"), "value", "left_semi")
-            other = open_lists.select("value", F.col("id").alias("hub"), F.col("n_shingles").alias("other"), F.col("comp").alias("hub_comp"))
-            pairs = open_lists.join(other, "value").where(F.expr("comp < hub_comp") & close).select(F.col("id").alias("p"), F.col("hub").alias("q"))
-        pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-        if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
+        if turn and pairs.isEmpty():
             break
         new = written(verified(pairs, sets, percent), "links")
         found = new if found is None else found.unionByName(new)
@@ -226,7 +243,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str =
     one = written(one, "classes")
     rep = one.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("rep"))
     reps = slim.join(rep, (slim.id == rep.rep) & (slim.digest == rep.digest)).select("id", "n_shingles", "sketch").dropDuplicates(["id"])
-    lists = written(candidate_lists(reps), "lists")
+    lists = written(rarest(reps.select("id", F.col("n_shingles").alias("n"), F.col("sketch").alias("values")), MIN_SHARE * F.col("s")), "lists")
     label = one.join(rep, "digest", "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep"))
     if not lists.isEmpty():
         ids = lists.select("id").distinct()
@@ -235,7 +252,9 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str =
         if slim.count() != one.count():  # repeated ids
             sets = sets.join(one, ["id", "digest"], "left_semi").dropDuplicates(["id"])
         sets = written(sets.select("id", "set"), "sets")
-        found = links(lists, sets, percent)
+        hot = sets.join(lists.where(F.col("many") > SMALL).select("id").distinct(), "id", "left_semi")
+        full = rarest(hot.select("id", F.size("set").cast("long").alias("n"), F.col("set").alias("values")), F.expr(f"({percent} * s + 99) div 100"))
+        found = links(lists.where(F.col("many") <= SMALL), written(full, "full"), sets, percent)
         forget(sets)
         if found is not None and not found.isEmpty():
             roots = written(components(found), "roots").withColumnRenamed("id", "rep")
