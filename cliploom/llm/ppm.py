@@ -8,12 +8,19 @@ Escapes take the number of children, and the occurrences of children that the tr
 doesn't hold. A text's score is the sum of the log10 probabilities of its bytes.
 
 Counts cover all training texts: each position gives one string of ORDER + 1 bytes,
-counted in its task and summed in Spark; shorter strings are sums of longer ones. A
-string is a node of the trie if it holds a share of at least 1 / MAX_NODES of the
-training bytes, so each depth has at most MAX_NODES nodes at any size of corpus:
-that bounds what is broadcast. A parent occurs at least as often as its child, so
-the children of a context are children of all its suffixes too, and what to exclude
-in a context follows from the one longer context.
+counted in its task and summed in Spark; shorter strings are sums of longer ones. Every
+counted string is a node, whatever the size of the corpus. A parent occurs at least as
+often as its child, so the children of a context are children of all its suffixes too,
+and what to exclude in a context follows from the one longer context.
+
+The probability of a byte depends only on the string that it ends. That of each string
+of the training texts is worked out by joins on its context. Those of the strings with
+at least 1 / MAX_CODES of the training bytes are broadcast; the others that a text holds
+meet theirs by a shuffle on the string. Strings that no training text holds are worked
+out by depth, each distinct suffix once, so that no join gathers more than 256 strings.
+
+A Trie is the same model with only the strings of at least 1 / MAX_NODES of the training
+bytes as nodes, small enough for one process.
 
 Word counts, for a unigram base score, are handled likewise: words with at least
 1 / MAX_WORDS of the tokens are broadcast, the rest meet by a shuffle on the word.
@@ -30,7 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cliploom.llm.common import map_arrow, slices, with_columns, written
@@ -39,6 +46,7 @@ from cliploom.llm.neardup import WordHashes
 ORDER = 5
 MAX_NODES = 1 << 19
 MAX_WORDS = 1 << 20
+MAX_CODES = 1 << 20
 FLUSH = 1_000_000
 GRAM, WORD = 0, 1
 
@@ -225,12 +233,105 @@ def build_words(counts: DataFrame) -> tuple[Words, DataFrame]:
     return Words(rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), tokens or 0, distinct), words.where(~often)
 
 
-def score(df: DataFrame, trie: Trie, words: Words, rare: DataFrame, text: str = "text") -> DataFrame:
-    """df without its text, with n_tokens, n_known, base_score and score."""
-    both = df.sparkSession.sparkContext.broadcast((trie, words))
+def mask(column: str, length: int) -> Column:
+    """The last bytes of a string, so many."""
+    return F.col(column).bitwiseAND(F.lit((1 << 8 * length) - 1))
+
+
+@dataclass
+class Strings:
+    """The whole model: nodes (code, n) of depths 1 to ORDER + 1 and contexts of lengths 0 to ORDER, written tables.
+
+    codes are the strings of ORDER + 1 bytes (code, n, log) with their log10 probabilities; often and logs are the frequent ones, sorted.
+    """
+
+    nodes: list[DataFrame]
+    contexts: list[DataFrame]
+    codes: DataFrame
+    often: np.ndarray
+    logs: np.ndarray
+    flat: float
+
+
+def build_strings(counts: DataFrame) -> Strings:
+    """The model of all counted strings."""
+    nodes = [counts.where(F.col("kind") == GRAM).select(F.col("key").alias("code"), "n")]
+    for d in range(ORDER, 0, -1):
+        nodes.insert(0, written(nodes[0].groupBy(mask("code", d).alias("code")).agg(F.sum("n").alias("n")), "nodes"))
+    contexts = []
+    for o in range(ORDER + 1):
+        children = nodes[o].select("code", "n", F.shiftright("code", 8).alias("ctx"))
+        if not o:
+            made = children.groupBy("ctx").agg(F.sum("n").alias("kept"), F.count(F.lit(1)).alias("q"))
+            made = made.select("ctx", F.col("kept").alias("total"), "kept", "q", F.lit(None).cast("double").alias("low_all"), F.lit(None).cast("double").alias("low_escape"))
+        else:
+            short = nodes[o - 1].select(F.col("code").alias("short"), F.col("n").alias("seen"))
+            made = children.withColumn("short", mask("code", o)).join(short, "short").groupBy("ctx")
+            made = made.agg(F.sum("n").alias("kept"), F.count(F.lit(1)).alias("q"), F.sum("seen").alias("excluded"))
+            made = made.join(nodes[o - 1].select(F.col("code").alias("ctx"), F.col("n").alias("own")), "ctx", "left")
+            made = made.withColumn("total", F.greatest(F.coalesce("own", F.lit(0)), "kept")).withColumn("short", mask("ctx", o - 1))
+            low = contexts[-1].select(F.col("ctx").alias("short"), *(F.col(c).alias(f"low_{c}") for c in ("total", "kept", "q")))
+            made = made.join(low, "short")
+            all_, q = F.col("low_total") - F.col("excluded"), F.col("low_q") - F.col("q")
+            low_all = F.log10(F.greatest(all_ + q, F.lit(1)))
+            escape = F.log10(F.greatest(F.col("low_total") - F.col("low_kept") + q, F.lit(1))) - low_all
+            made = made.select("ctx", "total", "kept", "q", low_all.alias("low_all"), F.when(q > 0, escape).otherwise(0.0).alias("low_escape"))
+        log_all = F.log10(F.col("total") + F.col("q"))
+        made = made.withColumn("log_all", log_all).withColumn("log_escape", F.log10(F.col("total") - F.col("kept") + F.col("q")) - log_all)
+        contexts.append(written(made, "contexts"))
+    codes = nodes[ORDER].withColumn("ctx", F.shiftright("code", 8)).join(contexts[ORDER].select("ctx", "log_all"), "ctx")
+    codes = written(codes.select("code", "n", (F.log10("n") - F.col("log_all")).alias("log")), "codes")
+    root = contexts[0].first()
+    total, known = (root["total"], root["q"]) if root else (0, 0)
+    rows = codes.where(F.col("n") * MAX_CODES >= F.lit(total)).select("code", "log").toPandas().sort_values("code")
+    return Strings(nodes, contexts, codes, rows["code"].to_numpy(np.int64), rows["log"].to_numpy(np.float64), -float(np.log10(256 - known)) if known < 256 else 0.0)
+
+
+def unseen_logs(strings: Strings, wanted: DataFrame) -> DataFrame:
+    """code, log: log10 probabilities of the distinct codes wanted, none of which is a node.
+
+    begun is the cost of a string's last byte in its longest known context and shorter ones, below that in contexts shorter than its own after an escape there.
+    """
+    levels = [wanted]
+    for d in range(ORDER, 0, -1):
+        levels.insert(0, written(levels[0].select(mask("code", d).alias("code")).distinct(), "suffixes"))
+    flat = F.lit(strings.flat)
+    last = None
+    for o, level in enumerate(levels):
+        made = level.withColumn("ctx", F.shiftright("code", 8)).withColumn("short", mask("code", o)).join(strings.nodes[o], "code", "left")
+        made = made.join(strings.contexts[o].select("ctx", "log_all", "log_escape", "low_all", "low_escape"), "ctx", "left")
+        if last is None:
+            made = made.withColumn("below", flat).withColumn("shorter", flat)
+        else:
+            names = {"code": "short", "n": "short_n", "begun": "shorter", "below": "short_below"}
+            made = made.join(last.select(*(F.col(k).alias(v) for k, v in names.items())), "short")
+            below = F.when(F.col("short_n").isNotNull(), F.log10("short_n") - F.col("low_all")).otherwise(F.col("low_escape") + F.col("short_below"))
+            made = made.withColumn("below", below)
+        begun = F.when(F.col("n").isNotNull(), F.log10("n") - F.col("log_all")).when(F.col("log_all").isNotNull(), F.col("log_escape") + F.col("below")).otherwise(F.col("shorter"))
+        last = written(made.select("code", "n", begun.alias("begun"), "below"), "suffixes")
+    return last.select("code", F.col("begun").alias("log"))
+
+
+def counted(keys: np.ndarray, doc: np.ndarray, docs: int) -> tuple[pa.Array, pa.Array]:
+    """The distinct keys of each document, and how often each occurs in it; doc is ascending."""
+    own = [np.unique(x, return_counts=True) for x in np.split(keys, np.cumsum(np.bincount(doc, minlength=docs))[:-1])]
+    offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k, _ in own])]).astype(np.int32))
+    return tuple(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in zip(*own, strict=True))
+
+
+def pairs_of(table: DataFrame, keys: str, many: str) -> DataFrame:
+    """__row, key, many: a row for each key of the lists."""
+    pairs = table.select("__row", F.explode(F.arrays_zip(keys, many)).alias("x"))
+    return pairs.select("__row", F.col(f"x.{keys}").alias("key"), F.col(f"x.{many}").alias("many"))
+
+
+def score(df: DataFrame, trie: Trie | None, words: Words, rare: DataFrame, text: str = "text", strings: Strings | None = None) -> DataFrame:
+    """df without its text, with n_tokens, n_known, base_score and score: by the whole model of strings, else by the trie."""
+    often = (strings.often, strings.logs) if strings else None
+    both = df.sparkSession.sparkContext.broadcast((None if strings else trie, often, words))
 
     def run(batches):
-        trie, words = both.value
+        trie, often, words = both.value
         hashes = WordHashes()
         for batch, texts in slices(batches, text):
             key, sizes = words_of(texts, hashes)
@@ -239,29 +340,46 @@ def score(df: DataFrame, trie: Trie, words: Words, rare: DataFrame, text: str =
             known = at >= 0
             c = np.where(known, words.counts[at] if len(words.counts) else 0, 0)
             base = np.log10((c + words.add) / words.all) if words.all else np.zeros(len(key))
-            rest = [np.unique(x, return_counts=True) for x in np.split(key[~known], np.cumsum(np.bincount(doc[~known], minlength=len(texts)))[:-1])]
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k, _ in rest])]).astype(np.int32))
+            names = counted(key[~known], doc[~known], len(texts))
+            if often:
+                codes, sizes_b = byte_strings(texts)
+                place = np.repeat(np.arange(len(texts)), sizes_b)
+                unique, inverse = np.unique(codes, return_inverse=True)
+                at = find(often[0], unique)
+                logs = np.where(at >= 0, often[1][at] if len(often[1]) else 0.0, 0.0)[inverse]
+                scores, new = np.bincount(place, logs, minlength=len(texts)), (at < 0)[inverse]
+                rest = counted(codes[new], place[new], len(texts))
+            else:
+                scores, rest = trie.scores(texts), counted(np.zeros(0, np.int64), np.zeros(0, np.int64), len(texts))
             made = {
                 "n_tokens": pa.array(sizes),
                 "n_known": pa.array(np.bincount(doc[known], minlength=len(texts)).astype(np.int64)),
                 "base_score": pa.array(np.bincount(doc, base, minlength=len(texts))),
-                "score": pa.array(trie.scores(texts)),
-                "__keys": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([k for k, _ in rest]))),
-                "__many": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([n for _, n in rest]))),
+                "score": pa.array(scores),
+                "__keys": names[0],
+                "__many": names[1],
+                "__codes": rest[0],
+                "__times": rest[1],
             }
             yield with_columns(batch, made).drop_columns([text])
 
-    added = "n_tokens long, n_known long, base_score double, score double, __keys array<long>, __many array<long>"
+    added = "n_tokens long, n_known long, base_score double, score double, __keys array<long>, __many array<long>, __codes array<long>, __times array<long>"
     made = map_arrow(df, df.columns, run, added, without=[text]).withColumn("__row", F.monotonically_increasing_id())
     table = written(made, "scores")
-    pairs = table.select("__row", F.explode(F.arrays_zip("__keys", "__many")).alias("x")).select("__row", F.col("x.__keys").alias("key"), F.col("x.__many").alias("many"))
     more = F.log10(F.col("n") + words.add) - float(np.log10(words.add))
-    found = pairs.join(rare, "key").groupBy("__row").agg(F.sum("many").alias("__known"), F.sum(F.col("many") * more).alias("__more"))
-    out = table.drop("__keys", "__many").join(found, "__row", "left")
+    found = pairs_of(table, "__keys", "__many").join(rare, "key").groupBy("__row").agg(F.sum("many").alias("__known"), F.sum(F.col("many") * more).alias("__more"))
+    out = table.drop("__keys", "__many", "__codes", "__times").join(found, "__row", "left")
+    if strings:
+        pairs = pairs_of(table, "__codes", "__times").withColumnRenamed("key", "code")
+        wanted = written(pairs.select("code").distinct().join(strings.codes.select("code"), "code", "left_anti"), "unseen")
+        logs = strings.codes.select("code", "log").unionByName(unseen_logs(strings, wanted))
+        out = out.join(pairs.join(logs, "code").groupBy("__row").agg(F.sum(F.col("many") * F.col("log")).alias("__rest")), "__row", "left")
+    else:
+        out = out.withColumn("__rest", F.lit(0.0))
     return out.select(
         *[c for c in df.columns if c not in (text, "n_tokens", "n_known", "base_score", "score")],
         "n_tokens",
         (F.col("n_known") + F.coalesce("__known", F.lit(0))).alias("n_known"),
         (F.col("base_score") + F.coalesce("__more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("__rest", F.lit(0.0))).alias("score"),
     )

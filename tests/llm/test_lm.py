@@ -98,3 +98,28 @@ def test_without_training_texts(spark):
     (row,) = ppm.score(df, ppm.build_trie(counts), words, rare).collect()
     assert math.isclose(row.score, -2 * math.log10(256)) and row.n_known == 0
     assert ppm.score(df.limit(0), ppm.build_trie(counts), words, rare).count() == 0
+
+
+def test_contexts_below_the_broadcast_share_count(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "MAX_NODES", 40)
+    monkeypatch.setattr(ppm, "MAX_CODES", 40)
+    train = ["abracadabra abra", "the theatre there", "", "é zz"] * 5 + ["once only"]
+    new = ["once only", "once more", "abrupt theatre", "é é zebra", "", "QQ"]
+    counts = ppm.count_strings(spark.createDataFrame([(t,) for t in train], "text string"))
+    strings = ppm.build_strings(counts)
+    assert 0 < len(strings.often) < strings.codes.count()
+    model, _ = plain_model(train, 1 << 40)
+    df = spark.createDataFrame(list(enumerate([*train, *new])), "id int, text string")
+    rows = {r.id: r.score for r in ppm.score(df, None, *ppm.build_words(counts), strings=strings).collect()}
+    assert len(rows) == len(train) + len(new)
+    for i, t in enumerate([*train, *new]):
+        assert math.isclose(rows[i], model(t), rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_query_keeps_every_context(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(ppm, "MAX_NODES", 1000)  # stands for a corpus many times as large
+    monkeypatch.setattr(ppm, "MAX_CODES", 1000, raising=False)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    model, _ = plain_model([t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10], 1 << 40)
+    for r in op6_lm(spark, sf_dir).collect()[:25]:
+        assert math.isclose(r.score, model(texts[r.doc_id]), rel_tol=1e-9, abs_tol=1e-9)
