@@ -9,8 +9,8 @@ good as the share of its distinct instances that are (with at least SUPPORT of
 them), and an instance is as sure as its patterns are together. A candidate of a
 high-confidence pattern and instance becomes a span.
 
-A pattern with fewer than SUPPORT instances can't be trusted, so it leaves the graph
-at once. No step gathers the instances of a pattern.
+A pattern with fewer than SUPPORT distinct instances, of which none is more than sure,
+can't ever be trusted, so it leaves the graph at once; the others are judged each round. No step gathers the instances of a pattern.
 
 Defined results: a null or empty text has no spans; rows may repeat and count as one
 instance each value; an empty table gives no rows. Positions are code points, ends
@@ -143,7 +143,7 @@ def score_graph(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Scores of patterns (pattern, kind, score) and of instances (value, kind, sure), from rows of mentions."""
     edges = found.select(F.explode("patterns").alias("pattern"), "value", F.when(F.col("seed") >= 0, F.col("seed")).alias("seed"), "kinds")
     edges = edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.array_distinct(F.flatten(F.collect_set("kinds"))).alias("kinds"))
-    size = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count("seed").alias("seeds")).where(F.col("seeds") >= SUPPORT)
+    size = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT)
     edges = written(edges.join(size.select("pattern", "n"), "pattern"), "edges")
     seeds = edges.where("seed is not null").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("sure")).distinct()
     other = edges.where("seed is null").select("pattern", "value", "n", F.explode("kinds").alias("kind"))

@@ -66,3 +66,14 @@ def test_patterns_find_unseen_identifiers(spark):
     clean = {r.id: r.text for r in pii.redact(whole).collect()}
     assert clean[8] == "please write to <EMAIL> for more help" and clean[11] is None and clean[9] == texts[9]
     assert pii.extract(df.limit(0)).count() == 0
+
+
+def test_discovered_instances_qualify_a_pattern_without_base_spans(spark):
+    texts = [f"note {i} please write to user{i}@mail.example.com for more help" for i in range(60)]
+    texts += [f"please write to someone{i}@localhost for more help" for i in range(9)]
+    texts += [f"our desk is reached via someone{i}@localhost every single day" for i in range(9)]
+    texts += ["our desk is reached via fresh@localhost every single day"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    (row,) = pii.extract(df).where(f"id = {len(texts) - 1}").collect()
+    at = texts[-1].index("fresh")
+    assert [tuple(x) for x in row.spans] == [(0, at, at + len("fresh@localhost"))]
