@@ -1,7 +1,8 @@
 """Personal data: base expressions, and contextual extraction bootstrapped from them.
 
 mentions() finds the base spans of whole texts, and candidates: other tokens with
-digits or an at sign that could be an identifier. Each is tied to the lexical
+digits or an at sign that could be an identifier, and runs of digit groups with
+blanks between them that could be a card or phone number. Each is tied to the lexical
 patterns around it: the two words before, the word before and the word after, the
 two words after. In the graph of patterns and instances, which Spark scores for
 ROUNDS rounds by joins and grouped sums, base instances are sure; a pattern is as
@@ -19,6 +20,7 @@ exclusive.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +37,11 @@ IP = regex.compile(r"(?:\G|(?<![0-9]))[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)
 CARD = regex.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = regex.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 HINT = regex.compile(r"[0-9@]")
+GROUP = regex.compile(r"[0-9]++")
+RUN = regex.compile(r"(?<![0-9])[0-9]++(?:[\x20\t\u00a0\u202f().-]{1,3}[0-9]++)+")
+BLANK = regex.compile(r"[\x20\t\u00a0\u202f]")
+#: Most digits of a phone and of a card number.
+LIMITS = (15, 19)
 SPACE = " \t\n\x0b\x0c\r"
 STRIP = ".,;:!?\"'()[]{}<>*#$%&|="
 ROUNDS, SUPPORT, SURE = 3, 3, 0.8
@@ -107,6 +114,54 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[i
             yield begin, end, kinds
 
 
+def parts_of(groups: list[tuple[int, int]]) -> set[tuple[int, int]]:
+    """First and last group of the candidates in a run: the whole run, or if it has too many digits, from each group on what fits a limit."""
+    ends = [0]
+    for a, b in groups:
+        ends.append(ends[-1] + b - a)
+    if ends[-1] <= LIMITS[0]:
+        return {(0, len(groups) - 1)}
+    out = set()
+    for limit in LIMITS:
+        j = 0
+        for i in range(len(groups)):
+            j = max(j, i)
+            while j < len(groups) and ends[j + 1] - ends[i] <= limit:
+                j += 1
+            if j > i + 1:
+                out.add((i, j - 1))
+    return out
+
+
+def runs(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, list[int]]]:
+    """start, end, kinds of the runs of digit groups with a blank among them, outside the spans, that could be card or phone numbers."""
+    spans = sorted((a, b) for _, a, b in taken)
+    k = 0
+    for m in RUN.finditer(text):
+        free: list[list[tuple[int, int]]] = [[]]
+        for g in GROUP.finditer(text, m.start(), m.end()):
+            while k < len(spans) and spans[k][1] <= g.start():
+                k += 1
+            if k < len(spans) and spans[k][0] < g.end():
+                free.append([])
+            else:
+                free[-1].append(g.span())
+        for groups in free:
+            for i, j in sorted(parts_of(groups)) if len(groups) > 1 else ():
+                begin, end = groups[i][0], groups[j][1]
+                own = text[begin:end]
+                if not BLANK.search(own):
+                    continue
+                if own.count(")") > own.count("(") and text[begin - 1 : begin] == "(":
+                    begin -= 1
+                if text[begin - 1 : begin] == "+":
+                    begin -= 1
+                if own.count("(") > own.count(")") and text[end : end + 1] == ")":
+                    end += 1
+                if kinds := [x for x in could_be(text[begin:end]) if x > 1]:
+                    yield begin, end, kinds
+
+
 def patterns_at(text: str, begin: int, end: int) -> list[str]:
     before = ["^", "^", *text[max(0, begin - REACH) : begin].lower().split()][-2:]
     after = [*text[end : end + REACH].lower().split(), "$", "$"][:2]
@@ -131,7 +186,7 @@ def mentions(df: DataFrame, text: str = "text") -> DataFrame:
             for t, spans in zip(texts, base, strict=True):
                 own = [(a, b, k, [k]) for k, a, b in spans]
                 if spans or HINT.search(t):
-                    own += [(a, b, -1, kinds) for a, b, kinds in candidates(t, spans)]
+                    own += [(a, b, -1, kinds) for a, b, kinds in itertools.chain(candidates(t, spans), runs(t, spans))]
                 found.append([{"start": a, "end": b, "value": t[a:b], "seed": k, "kinds": kinds, "patterns": patterns_at(t, a, b)} for a, b, k, kinds in own])
             spans = [[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in base]
             yield with_columns(batch, {"base": pa.array(spans, SPANS_TYPE), "found": pa.array(found, FOUND_TYPE)}).drop_columns([text])

@@ -77,3 +77,23 @@ def test_discovered_instances_qualify_a_pattern_without_base_spans(spark):
     (row,) = pii.extract(df).where(f"id = {len(texts) - 1}").collect()
     at = texts[-1].index("fresh")
     assert [tuple(x) for x in row.spans] == [(0, at, at + len("fresh@localhost"))]
+
+
+def test_numbers_in_groups_are_found_whole(spark):
+    numbers = ["06 12 34 56 78", "(555) 123-4567", "06\u00a012\u00a034\u00a056\u00a079"]
+    texts = [f"note {i} please call me at +33 1 23 45 {10 + i // 10} {10 + i} before noon today" for i in range(60)]
+    texts += [f"please call me at {n} before noon today" for n in numbers]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    spans = pii.extract(df).select("id", "spans")
+    clean = {r.id: r.text for r in pii.redact(df.join(spans, "id")).collect()}
+    assert [clean[60 + i] for i in range(3)] == ["please call me at <PHONE> before noon today"] * 3
+
+
+def test_runs_of_digit_groups():
+    found = lambda t: [t[a:b] for a, b, _ in pii.runs(t, pii.base_spans(t))]
+    assert found("tel 06 12 34 56 78, or (06 12 34 56 79).") == ["06 12 34 56 78", "06 12 34 56 79"]
+    assert found("12 34 or 555-0199-22 or 1 2 3 4") == []
+    assert "4111 1111 1111 1112" in found("4111 1111 1111 1112")
+    many = " ".join(["123"] * 50_000)
+    assert all(7 <= len(pii.digits_of(x)) <= 19 for x in found(many)) and len(found(many)) <= 100_000
+    assert found("1" * 200_000) == []
