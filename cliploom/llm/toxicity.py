@@ -1,5 +1,7 @@
 """Toxicity scores from a bidirectional gated recurrent network, trained in numpy.
 
+Words are what lies between white space; a longer one than PART bytes, as in texts
+without blanks, is read as overlapping parts of at most so many, each in its own place.
 Each word enters by a word vector and by the mean of its character n-gram
 vectors; a forward and a backward gated recurrent layer read a window of words,
 attention pools the states, and a logistic unit scores the window. A text's
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from cliploom.llm.common import map_arrow, ragged, slices, with_columns
 
 WINDOW, STRIDE = 32, 24
+PART = 64
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 12, 8, 8
 BUCKETS, MAX_WORDS = 8192, 20_000
 PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
@@ -51,13 +54,29 @@ def plain(word: bytes) -> str:
     return low.strip(PUNCTUATION) or low
 
 
-def grams(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the byte n-grams of 2 to 6 of each word, with marks at both ends, and how many each word has.
+def parts(word: bytes) -> list[bytes]:
+    """The word, or parts of whole characters that overlap by about half of PART bytes and cover it."""
+    out, begin, end = [], 0, 0
+    while end < len(word):
+        end = min(begin + PART, len(word))
+        while end < len(word) and word[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(word[begin:end])
+        begin = end - PART // 2
+        while begin > 0 and word[begin] & 0xC0 == 0x80:
+            begin -= 1
+    return out
+
 
-    Of a word of over 64 bytes the first and the last 32 count.
-    """
-    raw = [w.encode("utf-8", "replace") for w in words]
-    raw = [b"<" + (w if len(w) <= 64 else w[:32] + w[-32:]) + b">" for w in raw]
+def split(text: str) -> list[bytes]:
+    """The words of a text in order, long ones in parts."""
+    words = text.encode("utf-8", "replace").split()
+    return words if max(map(len, words), default=0) <= PART else [p for w in words for p in parts(w)]
+
+
+def grams(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the byte n-grams of 2 to 6 of each word, with marks at both ends, and how many each word has."""
+    raw = [b"<" + w.encode("utf-8", "replace") + b">" for w in words]
     size = np.array([len(w) for w in raw])
     data = np.frombuffer(b"".join(raw) + bytes(6), np.uint8).astype(np.uint32)
     word = np.repeat(np.arange(len(raw), dtype=np.int32), size)
@@ -244,7 +263,7 @@ class WordTable:
 
     def logits(self, texts: list[str], each: int = 2048) -> tuple[np.ndarray, np.ndarray]:
         """Logits of all windows, and the text of each."""
-        at, text = self.windows([t.encode("utf-8", "replace").split() for t in texts])
+        at, text = self.windows([split(t) for t in texts])
         parts = [self.network.forward(self.gates, at[i : i + each]) for i in range(0, len(at), each)]
         return np.concatenate(parts) if parts else np.zeros(0, np.float32), text
 
@@ -263,7 +282,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 0, rounds: int = 5, pas
     forms: dict[bytes, int] = {}
     rows = []
     for t in texts:
-        own = t.encode("utf-8", "replace").split()
+        own = split(t)
         for w in dict.fromkeys(own):
             if w in forms:
                 continue

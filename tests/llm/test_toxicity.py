@@ -71,3 +71,26 @@ def test_odd_texts(spark):
     assert toxicity.score(odd.limit(0), net).count() == 0
     with pytest.raises(ValueError):
         toxicity.train(docs, labels.where("toxic = 1"))
+
+
+def test_long_words_count_whole():
+    for word in ("x", "a" * 64, "a" * 65, "ab." * 1000, "\u8a9e\U0001f600\u00e9z" * 500):
+        own = toxicity.parts(word.encode())
+        assert all(len(x) <= toxicity.PART and x.decode() for x in own)
+        at = 0
+        for i, x in enumerate(own):  # each part begins in the one before and goes on
+            begin = word.encode().index(x, max(0, at - toxicity.PART)) if i else 0
+            assert begin <= at
+            at = begin + len(x)
+        assert own[-1] == word.encode()[-len(own[-1]) :]
+    assert toxicity.split(" ab  c" + "d" * 100) == [b"ab", *toxicity.parts(b"c" + b"d" * 100)]
+
+
+def test_texts_without_blanks(spark):
+    edge = "the_meeting_of_the_council_was_held_in_may_"
+    text = lambda i, middle: edge * (2 + i % 3) + middle * 4 + edge * 2
+    docs = [(i, text(i, "you_utter_moron_go_away_" if i % 3 == 0 else "see_annual_report_of_work_")) for i in range(90)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    assert [r.score >= 0.7 for r in sorted(rows)] == [i % 3 == 0 for i in range(90)]
