@@ -88,7 +88,7 @@ def test_long_words_count_whole():
 
 def test_texts_without_blanks(spark):
     edge = "the_meeting_of_the_council_was_held_in_may_"
-    text = lambda i, middle: edge * (2 + i % 3) + middle * 4 + edge * 2
+    text = lambda i, middle: edge * (2 + i // 3 % 3) + f"{i}_" + middle * 4 + edge * 2
     docs = [(i, text(i, "you_utter_moron_go_away_" if i % 3 == 0 else "see_annual_report_of_work_")) for i in range(90)]
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
     docs = spark.createDataFrame(docs, "doc_id long, text string")
