@@ -47,6 +47,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like this one that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the tables of written() that df reads, once nothing needs them."""
     spark = df.sparkSession

@@ -78,3 +78,14 @@ def test_many_lines_of_one_pattern(spark):
     docs = [(i, f"order number {i} was sent to the given address today") for i in range(300)]
     got = dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in got if r.text) == [0] and sum(r.n_near for r in got) == 299
+
+
+def test_very_long_lines_and_reserved_names(spark):
+    long = [f"w{i}" for i in range(16_000)]
+    edited = long[:9_000] + ["x"] + long[9_001:]
+    texts = [" ".join(long), "\t".join(edited), " ".join(edited[1:]) + " a", " ".join(long[:-1])]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in enumerate(texts)], "doc_id long, text string, __doc int, __gone int, __LINES int")
+    out = dedup_lines(df)
+    assert out.columns == [*df.columns, "n_lines", "n_equal", "n_near"]
+    got = {r.doc_id: (r.n_lines, r.n_equal, r.n_near, r.text) for r in out.collect()}
+    assert got == brute(list(enumerate(texts)))
