@@ -190,7 +190,12 @@ def vocabulary(path: str) -> Vocabulary:
 
 @functools.lru_cache(maxsize=2)
 def _cache(path: str) -> PieceCache:
-    return PieceCache(vocabulary(path).encode_pieces)
+    words = vocabulary(path)
+    return PieceCache(lambda pieces: arrays_joined(words.encode_pieces(pieces)))
+
+
+def arrays_joined(arrays: list) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.asarray(x, np.int32) for x in arrays]), np.array([len(x) for x in arrays], np.int64)
 
 
 def encode_texts(texts: list[str], path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:

@@ -78,15 +78,13 @@ def id_remainder(column: str, divisor: int):
 def slices(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """The batches in slices of about CHUNK_CHARS characters, each with its texts (null: empty)."""
     for batch in batches:
-        column = batch.column(text)
+        own = [x or "" for x in batch.column(text).to_pylist()]
         begin, size = 0, 0
-        texts: list[str] = []
-        for i in range(len(column)):
-            texts.append(column[i].as_py() or "")
-            size += len(texts[-1])
-            if size >= CHUNK_CHARS or i + 1 == len(column):
-                yield batch.slice(begin, i + 1 - begin), texts
-                begin, size, texts = i + 1, 0, []
+        for i, x in enumerate(own, 1):
+            size += len(x)
+            if size >= CHUNK_CHARS or i == len(own):
+                yield batch.slice(begin, i - begin), own[begin:i]
+                begin, size = i, 0
 
 
 def with_columns(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -129,14 +127,21 @@ def ragged(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray
     return flat[shift + np.arange(total)]
 
 
+def joined(lists: list) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all lists in one array, and the number of each."""
+    sizes = np.array([len(x) for x in lists], np.int64)
+    return np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes
+
+
 class PieceCache:
     """Ids of pieces of text: each distinct piece is encoded once, texts are joined from the cache.
 
-    encode_new takes a list of unseen pieces and returns their id arrays. At
-    max_pieces the cache starts anew, which bounds memory and changes no result.
+    encode_new takes a list of unseen pieces and returns all their ids, joined, and
+    how many each has. At max_pieces the cache starts anew, which bounds memory and
+    changes no result.
     """
 
-    def __init__(self, encode_new: Callable[[list[str]], list], max_pieces: int = 200_000):
+    def __init__(self, encode_new: Callable[[list], tuple[np.ndarray, np.ndarray]], max_pieces: int = 200_000):
         self.encode_new, self.max_pieces = encode_new, max_pieces
         self._clear()
 
@@ -147,12 +152,11 @@ class PieceCache:
         self.count = np.zeros(0, np.int64)
 
     def _add(self, pieces: list) -> None:
-        made = [np.asarray(x, np.int32) for x in self.encode_new(pieces)]
+        made, count = self.encode_new(pieces)
         self.index.update(zip(pieces, range(len(self.index), len(self.index) + len(pieces)), strict=True))
-        count = np.array([len(x) for x in made], np.int64)
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
-        self.flat = np.concatenate([self.flat, *made])
+        self.flat = np.concatenate([self.flat, made])
 
     def ids(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the lists of pieces, and the number of ids of each list."""
@@ -165,7 +169,7 @@ class PieceCache:
                 self._clear()
                 new = set(words)
                 missing = np.arange(len(words))
-            self._add(sorted(new))
+            self._add(list(new))
             at[missing] = np.fromiter((self.index[words[i]] for i in missing), np.int64, len(missing))
         sizes = np.array([len(x) for x in lists], np.int64)
         count = self.count[at]

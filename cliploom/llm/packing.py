@@ -17,15 +17,15 @@ smaller piece number.
 from __future__ import annotations
 
 import functools
+import re
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import PieceCache, list_array, map_arrow, slices, written
+from cliploom.llm.common import PieceCache, joined, list_array, map_arrow, ragged, slices, written
 
 SHARD_PIECES = 16_384
 
@@ -84,53 +84,57 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
     return windows, offsets
 
 
-#: A word of letters, perhaps with punctuation behind it; each of the two parts is one piece of the tokenizer.
-SIMPLE = regex.compile(r"(\p{L}+)([.,!?;:%&#*$|]*)")
+#: Letters with punctuation behind them, perhaps; each of the two parts is one piece of the tokenizer.
+SIMPLE = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u017f]+)([.,!?;:%&#*$|]*)")
+#: Strings that the tokenizer reads as one id wherever they stand, in this case of letters alone.
+SPECIAL = re.compile(rb"(<\|(?:start|end)oftext\|>)")
 
 
 class WordEncoder:
-    """Ids of lower-case words, for a tokenizer that ends each piece with </w>.
+    """Ids of words, for a tokenizer that ends each piece with </w>.
 
     Parts of simple words are encoded many in one text, which is cut at the ends
     of pieces; where that gives more pieces than parts, each is encoded alone.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.most, self.known = most, {}
+        self.known = PieceCache(self.parts, most)
 
-    def alone(self, words: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return joined([x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])
 
-    def parts(self, words: list[str], each: int = 1000) -> list[list[int]]:
-        out: list = []
+    def parts(self, words: list[str], each: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+        flat, sizes = [], []
         for i in range(0, len(words), each):
             own = words[i : i + each]
-            (ids,) = self.alone([" ".join(own)])
+            ids, _ = self.alone([" ".join(own)])
             cuts = np.nonzero(self.ends[ids])[0] + 1
             if len(cuts) == len(own) and cuts[-1] == len(ids):
-                out += [ids[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+                count = np.diff(cuts, prepend=0)
             else:
-                out += self.alone(own)
-        return out
+                ids, count = self.alone(own)
+            flat.append(ids)
+            sizes.append(count)
+        return np.concatenate(flat), np.concatenate(sizes)
 
-    def __call__(self, words: list[bytes]) -> list[list[int]]:
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts = [w.decode("utf-8", "replace") for w in words]
-        split = [m.groups() if (m := SIMPLE.fullmatch(t)) else None for t in texts]
-        new = sorted({p for x in split if x for p in x if p and p not in self.known})
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = sorted({p for x in split if x for p in x if p})
-        self.known.update(zip(new, self.parts(new), strict=True))
-        rest = iter(self.alone([t for t, x in zip(texts, split, strict=True) if not x]))
-        known = self.known
-        return [(known[x[0]] + known[x[1]] if x[1] else known[x[0]]) if x else next(rest) for x in split]
+        split = [m and m.groups() for m in map(SIMPLE.fullmatch, texts)]
+        ids, sizes = self.known.ids([x if x[1] else x[:1] for x in split if x])
+        simple = np.array([x is not None for x in split])
+        if simple.all():
+            return ids, sizes
+        more, more_sizes = self.alone([t for t, x in zip(texts, split, strict=True) if not x])
+        count, start = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        count[simple], count[~simple] = sizes, more_sizes
+        start[simple], start[~simple] = np.cumsum(sizes) - sizes, len(ids) + np.cumsum(more_sizes) - more_sizes
+        return ragged(np.concatenate([ids, more]), start, count), count
 
 
 @functools.lru_cache(maxsize=2)
@@ -138,13 +142,27 @@ def _cache(path: str) -> PieceCache:
     return PieceCache(WordEncoder(path), 400_000)
 
 
+def words_of(text: str) -> list[bytes]:
+    """The words between ASCII white space, ASCII letters lowered; special strings are words of their own.
+
+    A word that would only be special after lowering stays as it is.
+    """
+    raw = text.encode("utf-8", "replace")
+    if b"<|" not in raw:
+        return raw.lower().split()
+    out: list[bytes] = []
+    for i, part in enumerate(SPECIAL.split(raw)):
+        out += [part] if i % 2 else [w if SPECIAL.search(low := w.lower()) else low for w in part.split()]
+    return out
+
+
 def token_ids(texts: list[str], path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the texts, each followed by end_id, and their numbers.
 
     For a tokenizer that drops white space, never joins across it, and lowers
     letters: words between ASCII white space are encoded once each.
     """
-    flat, sizes = _cache(path).ids([t.encode("utf-8", "replace").lower().split() for t in texts])
+    flat, sizes = _cache(path).ids([words_of(t) for t in texts])
     return np.insert(flat, np.cumsum(sizes), end_id), sizes + 1
 
 

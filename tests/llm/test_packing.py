@@ -15,7 +15,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def plain_ids(texts):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [x.ids + [2] for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -93,7 +92,7 @@ def test_repeated_rows_and_empty_table(spark):
 
 
 def test_words_encoded_together_and_alone():
-    words = ["the", "thorion,", "İstanbul", "über!!", "don't", "a1b", "é", "éx", "x.,", "日本語。", "...", "it's,", "가", "ΑΣ", "KK"] * 3
+    words = ["a <|endoftext|> b", "x<|startoftext|>y", "<|EndOfText|> <|", "<|endoftext|>" * 3, "the", "thorion,", "İstanbul", "über!!", "don't", "a1b", "é", "éx", "x.,", "日本語。", "...", "it's,", "가", "ΑΣ", "KK"] * 3
     ids, sizes = packing.token_ids(words, PATH, 2)
     got = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
     assert got == plain_ids(words)
