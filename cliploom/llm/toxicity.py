@@ -2,18 +2,25 @@
 
 Words are what lies between white space; a longer one than PART bytes, as in texts
 without blanks, is read as overlapping parts of at most so many, each in its own place.
-Each word enters by a word vector and by the mean of its character n-gram
-vectors; a forward and a backward gated recurrent layer read a window of words,
-attention pools the states, and a logistic unit scores the window. A text's
-score is that of its highest window, over all overlapping windows of the whole
-text. Because the label is the text's, training repeats: score all windows of
+Each word enters by a word vector, by the mean of its character n-gram vectors,
+and by its odds: how much oftener than by chance toxic texts hold it, less a
+margin for few texts. A forward and a backward gated recurrent layer read a window
+of words, attention pools the states, and a logistic unit scores the window. A
+text's score is that of its highest window, over all overlapping windows of the
+whole text. Windows begin every half window, so WINDOW / 2 words in a row always lie
+in one. Because the label is the text's, training repeats: score all windows of
 the sample, then learn from the highest windows of toxic texts and the highest
 and some random windows of the others. The first scores are the log odds of
-n-grams to lie in toxic texts.
+n-grams to lie in toxic texts. A text of the sample is left out of its own odds, so
+that words of one text teach nothing.
+
+The cut between the classes comes from scores of texts by networks that have not
+learned from them: FOLDS networks, each fitted without its share of the sample.
 
 The classifier is fitted on at most max_toxic and max_clean labelled texts,
 taken in the order of a hash of their ids; these bounds hold the driver's memory
-and time. The fitted arrays have fixed sizes and are broadcast.
+and time. The vocabulary is all words of three texts of the sample or more. The
+fitted arrays are bounded by the sample and broadcast.
 
 Defined results: a null, empty or blank text scores 0; rows may repeat; an
 unlabelled corpus, or one without both labels, raises ValueError; labels of a
@@ -33,10 +40,12 @@ from pyspark.sql import functions as F
 
 from cliploom.llm.common import map_arrow, ragged, slices, with_columns
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 PART = 64
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 12, 8, 8
-BUCKETS, MAX_WORDS = 8192, 20_000
+INPUTS = WORD_DIM + CHAR_DIM + 1
+BUCKETS, FOLDS = 8192, 3
+SMOOTH, PRIOR = 0.05, 50
 PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 
 
@@ -109,41 +118,48 @@ def added(n: int, places: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Network:
-    """Weights by name; vocabulary maps a word to its row of E, row 0 is any other word."""
+    """Weights by name; vocabulary maps a word to its row of E and of odds, row 0 is any other word."""
 
     vocabulary: dict[str, int]
     weights: dict[str, np.ndarray] = field(default_factory=dict)
+    odds: np.ndarray = field(default_factory=lambda: np.zeros(1, np.float32))
     cut: float = 0.0
     scale: float = 1.0
 
     @classmethod
     def new(cls, words: list[str], seed: int = 0) -> Network:
         rnd = np.random.default_rng(seed)
-        n = WORD_DIM + CHAR_DIM
+        n = INPUTS
         f = lambda *s, k=0.3: rnd.normal(0, k, s).astype(np.float32)
         w = {"E": f(len(words) + 1, WORD_DIM), "C": f(BUCKETS, CHAR_DIM)}
         for d in "fb":
             w |= {f"X{d}": f(n, 3 * HIDDEN), f"H{d}": f(HIDDEN, 3 * HIDDEN), f"B{d}": f(3 * HIDDEN, k=0.0)}
         w |= {"A": f(2 * HIDDEN, ATTENTION), "a": f(ATTENTION, k=0.0), "v": f(ATTENTION), "o": f(2 * HIDDEN), "c": f(1, k=0.0)}
-        return cls({x: i + 1 for i, x in enumerate(words)}, w)
+        return cls({x: i + 1 for i, x in enumerate(words)}, w, np.zeros(len(words) + 1, np.float32))
 
-    def source(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row of E of each word, the buckets of all n-grams, and how many each word has."""
-        return np.array([self.vocabulary.get(w, 0) for w in words]), *grams(words)
+    def source(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row of E of each word, the buckets of all n-grams, how many each word has, and its odds."""
+        row = np.array([self.vocabulary.get(w, 0) for w in words])
+        return row, *grams(words), self.odds[row]
 
-    def inputs(self, source: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    def inputs(self, source: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
         """Input vectors of the words."""
-        row, flat, size = source
-        out = np.empty((len(row), WORD_DIM + CHAR_DIM), self.weights["C"].dtype)
+        row, flat, size, odds = source
+        out = np.empty((len(row), INPUTS), self.weights["C"].dtype)
         out[:, :WORD_DIM] = self.weights["E"][row]
+        out[:, -1] = odds
         ends = np.cumsum(size)
         for i in range(0, len(row), 10_000):  # the vectors of all n-grams at once would be large
             own = slice(i, i + 10_000)
             first = ends[i] - size[i]
             chars = self.weights["C"][flat[first : ends[own][-1]]]
-            out[own, WORD_DIM:] = np.add.reduceat(chars, ends[own] - size[own] - first, axis=0) / size[own, None]
+            out[own, WORD_DIM:-1] = np.add.reduceat(chars, ends[own] - size[own] - first, axis=0) / size[own, None]
         return out
 
+    def odds_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        row = np.array([self.vocabulary.get(w, 0) for w in words])
+        return row, self.odds[row]
+
     def project(self, x: np.ndarray) -> dict[str, np.ndarray]:
         return {d: x @ self.weights[f"X{d}"] + self.weights[f"B{d}"] for d in "fb"}
 
@@ -210,9 +226,9 @@ class Network:
             d_gate = added(len(x), np.concatenate(places), np.concatenate(parts))
             g[f"X{name}"], g[f"B{name}"] = x.T @ d_gate, d_gate.sum(0)
             d_x += d_gate @ w[f"X{name}"].T
-        row, flat, size = source
+        row, flat, size, _ = source
         g["E"] = added(len(w["E"]), row, d_x[:, :WORD_DIM])
-        g["C"] = added(len(w["C"]), flat, np.repeat((d_x[:, WORD_DIM:] / size[:, None]).astype(x.dtype), size, axis=0))
+        g["C"] = added(len(w["C"]), flat, np.repeat((d_x[:, WORD_DIM:-1] / size[:, None]).astype(x.dtype), size, axis=0))
         return g
 
 
@@ -275,73 +291,126 @@ def highest(logit: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def fit(texts: list[str], toxic: np.ndarray, seed: int = 0, rounds: int = 5, passes: int = 2, rate: float = 0.01, batch: int = 256, least: int = 50, decay: float = 0.02) -> Network:
-    """A network fitted to whole labelled texts; a fifth of them sets the cut between the classes."""
+@dataclass
+class Sample:
+    """Distinct words of the sample, the word numbers of each text, and its windows with the text of each."""
+
+    names: list[str]
+    rows: list[np.ndarray]
+    toxic: np.ndarray
+    at: np.ndarray
+    text: np.ndarray
+    grams: tuple[np.ndarray, np.ndarray]
+
+    @classmethod
+    def of(cls, texts: list[str], toxic: np.ndarray) -> Sample:
+        number: dict[str, int] = {}
+        forms: dict[bytes, int] = {}
+        rows = []
+        for t in texts:
+            own = split(t)
+            for w in dict.fromkeys(own):
+                if w not in forms:
+                    forms[w] = number.setdefault(plain(w), len(number))
+            rows.append(np.array([forms[w] for w in own], np.int32))
+        starts = [window_starts(len(x)) for x in rows]
+        text = np.repeat(np.arange(len(rows)), [len(x) for x in starts])
+        at = np.full((len(text), WINDOW), -1, np.int32)
+        i = 0
+        for x, own in zip(rows, starts, strict=True):
+            for k in own:
+                at[i, : min(WINDOW, len(x) - k)] = x[k : k + WINDOW]
+                i += 1
+        return cls(list(number), rows, np.asarray(toxic, bool), at, text, grams(list(number)))
+
+
+def fit(texts: list[str], toxic: np.ndarray, seed: int = 0) -> Network:
+    """A network fitted to whole labelled texts, with the cut between the classes and the scale of its logits."""
+    sample = Sample.of(texts, toxic)
+    fold = np.zeros(len(texts), np.int64)
     rnd = np.random.default_rng(seed)
-    number: dict[str, int] = {}
-    forms: dict[bytes, int] = {}
-    rows = []
-    for t in texts:
-        own = split(t)
-        for w in dict.fromkeys(own):
-            if w in forms:
-                continue
-            forms[w] = number.setdefault(plain(w), len(number))
-        rows.append(np.array([forms[w] for w in own], np.int32))
-    forms.clear()
-    names = list(number)
-    seen = np.bincount(np.concatenate([np.unique(x) for x in rows]), minlength=len(names))
-    often = np.nonzero(seen >= 3)[0]
-    words = [names[i] for i in sorted(often, key=lambda i: (-seen[i], names[i]))[:MAX_WORDS]]
-    net = Network.new(words, seed)
-    toxic = np.asarray(toxic, bool)
-    held = np.zeros(len(texts), bool)
     for label in (False, True):
-        own = np.nonzero(toxic == label)[0]
-        held[rnd.permutation(own)[: len(own) // (5 if label else 3)]] = True
-    starts = [window_starts(len(x)) for x in rows]
-    text = np.repeat(np.arange(len(rows)), [len(x) for x in starts])
-    at = np.full((len(text), WINDOW), -1, np.int32)
-    i = 0
-    for x, own in zip(rows, starts, strict=True):
-        for k in own:
-            at[i, : min(WINDOW, len(x) - k)] = x[k : k + WINDOW]
-            i += 1
-    source = net.source(names)
-    begin = np.cumsum(source[2]) - source[2]
-    learn = np.nonzero(~held[text])[0]
-    odds = np.append(word_odds(names, [x for x, h in zip(rows, held, strict=True) if not h], toxic[~held]), np.float32(0))
+        own = np.nonzero(sample.toxic == label)[0]
+        fold[rnd.permutation(own)] = np.arange(len(own)) % FOLDS
+    best = np.zeros(len(texts))
+    if min(sample.toxic.sum(), (~sample.toxic).sum()) >= FOLDS:
+        for k in range(FOLDS):
+            best[fold == k] = unseen(learned(sample, fold != k, seed), sample, fold == k)[fold == k]
+        net = learned(sample, np.ones(len(texts), bool), seed)
+    else:  # too few texts of a kind to leave some out
+        net = learned(sample, np.ones(len(texts), bool), seed)
+        best = unseen(net, sample, np.ones(len(texts), bool))
+    net.cut, net.scale = cut_of(best, sample.toxic)
+    return net
+
+
+def unseen(net: Network, sample: Sample, mine: np.ndarray) -> np.ndarray:
+    """The highest logit of each text of a mask; the lowest of all for texts without words."""
+    own = np.nonzero(mine[sample.text])[0]
+    best = highest(scores(net, sample, sample.at[own], net.odds_of(sample.names)), sample.text[own], len(mine))
+    return np.where(np.isfinite(best), best, best[np.isfinite(best)].min(initial=0.0))
+
+
+def learned(sample: Sample, known: np.ndarray, seed: int, rounds: int = 3, passes: int = 2, rate: float = 0.01, batch: int = 256, least: int = 30, decay: float = 0.02) -> Network:
+    """A network that learned from the known texts of the sample."""
+    rnd = np.random.default_rng(seed)
+    names, toxic, at, text = sample.names, sample.toxic, sample.at, sample.text
+    seen = np.zeros((2, len(names)), np.int64)
+    for x, y, k in zip(sample.rows, toxic, known, strict=True):
+        if k:
+            seen[int(y), np.unique(x)] += 1
+    texts = np.bincount(toxic[known].astype(int), minlength=2)
+    often = np.nonzero(seen.sum(0) >= 3)[0]
+    net = Network.new([names[i] for i in often], seed)
+    net.odds[1:] = margin_odds(seen[:, often], texts)
+    row = np.zeros(len(names), np.int64)
+    row[often] = 1 + np.arange(len(often))
+    # a text's own share is taken off the counts that its windows see
+    own_odds = np.zeros((2, len(names)), np.float32)
+    for y in (0, 1):
+        off = np.array([[1 - y], [y]])
+        own_odds[y, often] = margin_odds(np.maximum(seen[:, often] - off, 0), texts - off[:, 0])
+    flat, size = sample.grams
+    begin = np.cumsum(size) - size
+    hot = toxic[text]
+    learn = np.nonzero(known[text])[0]
+    odds = np.append(word_odds(names, [x for x, k in zip(sample.rows, known, strict=True) if k], toxic[known]), np.float32(0))
     first = odds[at].max(axis=1)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.weights.items()}
     step = 0
     for turn in range(rounds):
-        logit = _score(net, source, at) if turn else first
+        logit = first
+        if turn:
+            logit = np.zeros(len(at), np.float32)
+            for y in (0, 1):
+                own = learn[hot[learn] == y]
+                logit[own] = scores(net, sample, at[own], (row, own_odds[y]))
         order = learn[np.argsort(-logit[learn], kind="stable")]
         rank = np.zeros(len(at), np.int64)
         counts: dict[int, int] = {}
         for i in order:
             rank[i] = counts[text[i]] = counts.get(text[i], -1) + 1
-        hot = toxic[text]
-        most = 2 if turn < 2 else 3
-        chosen = learn[np.where(hot[learn], rank[learn] < most, rank[learn] < 2)]
+        chosen = learn[np.where(hot[learn], rank[learn] < (3 if turn else 2), rank[learn] < 1)]
         others = learn[~hot[learn]]
-        chosen = np.unique(np.concatenate([chosen, rnd.choice(others, min(len(others), 2 * len(chosen)), replace=False)]))
-        if len(chosen) > 10_000:
-            chosen = rnd.choice(chosen, 10_000, replace=False)
+        chosen = np.unique(np.concatenate([chosen, rnd.choice(others, min(len(others), len(chosen)), replace=False)]))
         share = hot[chosen].mean()
         parts = max(1, len(chosen) // batch)
         for _ in range(max(passes, least // parts)):
             for part in np.array_split(rnd.permutation(chosen), parts):
-                used, inverse = np.unique(at[part], return_inverse=True)
-                inverse = inverse.reshape(at[part].shape) - (used[0] < 0)
+                both = np.where(at[part] < 0, -1, at[part] + len(names) * hot[part][:, None])
+                used, inverse = np.unique(both, return_inverse=True)
+                inverse = inverse.reshape(both.shape) - (used[0] < 0)
                 used = used[used >= 0]
-                row = np.where(rnd.random(len(used)) < 0.2, 0, source[0][used])  # some words count by their characters alone
-                own = row, ragged(source[1], begin[used], source[2][used]), source[2][used]
+                word = used % len(names)
+                hide = rnd.random(len(used))
+                place = np.where(hide < 0.2, 0, row[word])  # some words count by their characters alone
+                lean = np.where(hide < 0.2, 0, own_odds[used // len(names), word])
+                own = place, ragged(flat, begin[word], size[word]), size[word], lean
                 x = net.inputs(own)
                 kept: list = []
                 out = net.forward(net.project(x), inverse, kept)
-                y = hot[part].astype(np.float32)
-                weigh = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) / len(part)
+                y = np.where(hot[part], 1 - SMOOTH, SMOOTH)
+                weigh = np.where(hot[part], 0.5 / share, 0.5 / (1 - share)) / len(part)
                 gradients = net.backward(((sigmoid(out[0]) - y) * weigh).astype(np.float32), kept, out, x, own)
                 step += 1
                 for k, g in gradients.items():
@@ -349,11 +418,17 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 0, rounds: int = 5, pas
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
                     net.weights[k] -= rate * (decay * net.weights[k] + m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8))
-    best = highest(_score(net, source, at), text, len(texts))
-    net.cut, net.scale = _cut(best[held] if held.any() else best, toxic[held] if held.any() else toxic)
     return net
 
 
+def margin_odds(seen: np.ndarray, texts: np.ndarray, add: float = 0.5, margin: float = 1.5) -> np.ndarray:
+    """Log odds of words to lie in toxic texts, by numbers of clean and toxic texts, drawn towards 0 by a margin of standard errors."""
+    prior = 2 * add * texts / texts.sum()
+    c, t = seen + prior[:, None]
+    odds = np.log(t / (texts[1] + 1)) - np.log(c / (texts[0] + 1)) - np.log((prior[1] / (texts[1] + 1)) / (prior[0] / (texts[0] + 1)))
+    return np.sign(odds) * np.maximum(0, np.abs(odds) - margin * np.sqrt(1 / (t + add) + 1 / (c + add)))
+
+
 def word_odds(names: list[str], rows: list[np.ndarray], toxic: np.ndarray, buckets: int = 1 << 20) -> np.ndarray:
     """For each word the highest log odds of its n-grams to lie in toxic texts, by numbers of texts."""
     flat, size = grams(names, buckets)
@@ -367,20 +442,27 @@ def word_odds(names: list[str], rows: list[np.ndarray], toxic: np.ndarray, bucke
     return np.maximum.reduceat(odds[flat], begin)
 
 
-def _score(net: Network, source: tuple, at: np.ndarray) -> np.ndarray:
-    gates = net.project(net.inputs(source))
-    return np.concatenate([net.forward(gates, at[i : i + 4096]) for i in range(0, len(at), 4096)])
+def scores(net: Network, sample: Sample, at: np.ndarray, rows_odds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Logits of windows of the sample's words, with the row of E and the odds of each word."""
+    gates = net.project(net.inputs((rows_odds[0], *sample.grams, rows_odds[1])))
+    return np.concatenate([np.zeros(0, np.float32), *(net.forward(gates, at[i : i + 4096]) for i in range(0, len(at), 4096))])
+
 
+def cut_of(best: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """The middle of the logits between which the F value is highest, and the scale that fits the labels best there.
 
-def _cut(best: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """A place between the logits where the F1 value is highest, nearer to the toxic side as clean texts are many more, and a scale."""
-    best, order = np.sort(best)[::-1], np.argsort(-best, kind="stable")
-    hits = np.cumsum(toxic[order])
-    f1 = 2 * hits / (np.arange(len(best)) + 1 + toxic.sum())
-    top = np.nonzero(f1 >= f1.max() - 1e-12)[0]
+    Precision counts twice as much as recall, as clean texts are many more. Both kinds weigh alike in training, so that a logit of 0 is the cut without any
+    scores; it counts as PRIOR toxic texts, which softens a cut from few labels.
+    """
+    order = np.argsort(-best, kind="stable")
+    falling = best[order]
+    f = 1.5 * np.cumsum(toxic[order]) / (np.arange(len(best)) + 1 + 0.5 * toxic.sum())
+    top = np.nonzero(f >= f.max() - 1e-12)[0]
     k = int(top[len(top) // 2])
-    low = best[k + 1] if k + 1 < len(best) and np.isfinite(best[k + 1]) else best[k] - 1
-    return float(0.8 * best[k] + 0.2 * low), 1.0
+    low = falling[k + 1] if k + 1 < len(best) else falling[k] - 1
+    cut = float((falling[k] + low) / 2 * toxic.sum() / (toxic.sum() + PRIOR))
+    fit = lambda s: np.logaddexp(0, np.where(toxic, cut - best, best - cut) * s).mean()
+    return cut, min((0.25, 0.5, 1.0, 2.0), key=fit)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int, key: str = "doc_id", text: str = "text", label: str = "toxic"):

@@ -39,12 +39,14 @@ def test_gradients(monkeypatch):
 
 
 def test_windows_cover_all_words():
-    for n in (1, 16, 24, 25, 31, 32, 33, 48, 49, 500):
+    for n in (1, 15, 16, 17, 31, 32, 33, 48, 49, 500):
         covered = set()
         for s in toxicity.window_starts(n):
             assert s < n
             covered.update(range(s, min(n, s + toxicity.WINDOW)))
         assert covered == set(range(n))
+        for begin in range(n - toxicity.STRIDE + 1):  # each run of so many words lies whole in a window
+            assert any(s <= begin and begin + toxicity.STRIDE <= s + toxicity.WINDOW for s in toxicity.window_starts(n))
 
 
 def test_held_out_documents(spark):
@@ -59,6 +61,54 @@ def test_held_out_documents(spark):
     assert all(r.predicted == (r.score >= 0.7) and 0 <= r.score <= 1 for r in rows.values())
 
 
+def test_scores_equal_a_plain_forward_pass(spark):
+    """Every window of every whole text alone, word by word, without batches, word table or Spark."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    net = toxicity.train(docs, labels)
+    w = net.weights
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(word):
+        form = toxicity.plain(word)
+        row = net.vocabulary.get(form, 0)
+        flat, _ = toxicity.grams([form])
+        return np.concatenate([w["E"][row], w["C"][flat].mean(0), net.odds[row : row + 1]])
+
+    def logit(words):
+        states = np.zeros((len(words), 2 * toxicity.HIDDEN))
+        for k, d in enumerate("fb"):
+            h = np.zeros(toxicity.HIDDEN)
+            for t in range(len(words)) if d == "f" else reversed(range(len(words))):
+                g, u = vector(words[t]) @ w[f"X{d}"] + w[f"B{d}"], h @ w[f"H{d}"]
+                z, r, c = np.split(g, 3)[0] + np.split(u, 3)[0], np.split(g, 3)[1] + np.split(u, 3)[1], np.split(g, 3)[2]
+                c = np.tanh(c + sigmoid(r) * np.split(u, 3)[2])
+                h = sigmoid(z) * h + (1 - sigmoid(z)) * c
+                states[t, k * toxicity.HIDDEN : (k + 1) * toxicity.HIDDEN] = h
+        e = np.exp(np.tanh(states @ w["A"] + w["a"]) @ w["v"])
+        return (e / e.sum()) @ states @ w["o"] + w["c"][0]
+
+    rows = sorted(docs.collect(), key=lambda r: len(r.text or ""))[::12]
+    got = {r.doc_id: r.score for r in toxicity.score(docs, net).collect()}
+    for r in rows:
+        words = toxicity.split(r.text or "")
+        best = max((logit(words[s : s + toxicity.WINDOW]) for s in range(0, max(1, len(words) - toxicity.STRIDE), toxicity.STRIDE)), default=-np.inf) if words else -np.inf
+        want = sigmoid((best - net.cut) * net.scale + np.log(0.7 / 0.3)) if words else 0.0
+        assert abs(got[r.doc_id] - want) < 1e-4, (r.doc_id, got[r.doc_id], want)
+
+
+def test_few_labels_leave_clean_texts(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r for r in op3_toxicity(spark, sf_dir).collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    held = [i for i in labels if rows[i].held_out]
+    y, p = np.array([labels[i] for i in held]), np.array([rows[i].predicted for i in held])
+    hit = (y & p).sum()
+    print("few labels: precision", hit / p.sum(), "recall", hit / y.sum())
+    assert hit / p.sum() > 0.75 and hit / y.sum() > 0.5
+
+
 def test_odd_texts(spark):
     bad, good = "you utter moron go away " * 3, "the meeting of the council was held in may " * 3
     docs = spark.createDataFrame([(i, bad if i % 3 == 0 else good) for i in range(60)], "doc_id long, text string")
