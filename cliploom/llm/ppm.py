@@ -40,13 +40,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import map_arrow, slices, with_columns, written
+from cliploom.llm.common import forget, map_arrow, slices, with_columns, written
 from cliploom.llm.neardup import WordHashes
 
 ORDER = 5
 MAX_NODES = 1 << 19
 MAX_WORDS = 1 << 20
-MAX_CODES = 1 << 20
+MAX_CODES = 1 << 22
 FLUSH = 1_000_000
 GRAM, WORD = 0, 1
 
@@ -308,7 +308,9 @@ def unseen_logs(strings: Strings, wanted: DataFrame) -> DataFrame:
             below = F.when(F.col("short_n").isNotNull(), F.log10("short_n") - F.col("low_all")).otherwise(F.col("low_escape") + F.col("short_below"))
             made = made.withColumn("below", below)
         begun = F.when(F.col("n").isNotNull(), F.log10("n") - F.col("log_all")).when(F.col("log_all").isNotNull(), F.col("log_escape") + F.col("below")).otherwise(F.col("shorter"))
-        last = written(made.select("code", "n", begun.alias("begun"), "below"), "suffixes")
+        before, last = last, written(made.select("code", "n", begun.alias("begun"), "below"), "suffixes")
+        for used in (before, level) if before is not None else ():
+            forget(used)
     return last.select("code", F.col("begun").alias("log"))
 
 
