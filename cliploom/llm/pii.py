@@ -15,7 +15,7 @@ can't ever be trusted, so it leaves the graph at once; the others are judged eac
 
 Defined results: a null or empty text has no spans; rows may repeat and count as one
 instance each value; an empty table gives no rows. Positions are code points, ends
-exclusive.
+exclusive. Columns base and spans are replaced; columns of any other name stay.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import map_arrow, slices, with_columns, written
+from cliploom.llm.common import map_arrow, slices, unused, with_columns, written
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Fixed patterns of the base. A match may begin only where the last one ended or at the start of a run: starts inside a run would fail alike, in the square of its length.
@@ -110,7 +110,7 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[i
         end = begin + len(token)
         while k < len(spans) and spans[k][1] <= begin:
             k += 1
-        if 5 <= len(token) <= 64 and (k == len(spans) or spans[k][0] >= end) and (kinds := could_be(token)):
+        if len(token) >= 5 and (k == len(spans) or spans[k][0] >= end) and (kinds := could_be(token)):
             yield begin, end, kinds
 
 
@@ -162,9 +162,21 @@ def runs(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, in
                     yield begin, end, kinds
 
 
+def words_to(text: str, at: int, step: int) -> list[str]:
+    """The two whole words before (step -1) or after (step 1) a place, or more; in lower case."""
+    reach = REACH
+    while True:
+        own = text[max(0, at - reach) : at] if step < 0 else text[at : at + reach]
+        words = own.lower().split()
+        whole = reach >= (at if step < 0 else len(text) - at)
+        if whole or len(words) > 2:  # of three words the outermost may be cut
+            return words if whole else words[1:] if step < 0 else words[:-1]
+        reach *= 4
+
+
 def patterns_at(text: str, begin: int, end: int) -> list[str]:
-    before = ["^", "^", *text[max(0, begin - REACH) : begin].lower().split()][-2:]
-    after = [*text[end : end + REACH].lower().split(), "$", "$"][:2]
+    before = ["^", "^", *words_to(text, begin, -1)][-2:]
+    after = [*words_to(text, end, 1), "$", "$"][:2]
     return [f"{before[0]} {before[1]} _", f"{before[1]} _ {after[0]}", f"_ {after[0]} {after[1]}"]
 
 
@@ -216,17 +228,18 @@ def score_graph(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def extract(df: DataFrame, text: str = "text") -> DataFrame:
     """df without its text, with base (spans of the base expressions) and spans (those and the discovered ones)."""
-    table = written(mentions(df, text).withColumn("__row", F.monotonically_increasing_id()), "mentions")
-    found = table.select("__row", F.explode("found").alias("x")).select("__row", "x.*")
+    row, more = unused(df, "row"), unused(df, "more")
+    table = written(mentions(df, text).withColumn(row, F.monotonically_increasing_id()), "mentions")
+    found = table.select(F.col(row).alias("row"), F.explode("found").alias("x")).select("row", "x.*")
     patterns, sure = score_graph(found)
     good = patterns.where(F.col("score") >= SURE).select("pattern", "kind")
-    fresh = found.where("seed < 0").select("__row", "start", "end", "value", F.explode("kinds").alias("kind"), "patterns")
+    fresh = found.where("seed < 0").select("row", "start", "end", "value", F.explode("kinds").alias("kind"), "patterns")
     fresh = fresh.join(sure.where(F.col("sure") >= SURE), ["value", "kind"])
-    fresh = fresh.select("__row", "start", "end", "kind", F.explode("patterns").alias("pattern")).join(good, ["pattern", "kind"])
-    fresh = fresh.groupBy("__row", "start", "end").agg(F.min("kind").alias("kind"))
-    more = fresh.groupBy("__row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
-    spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPANS))))
-    return table.join(more, "__row", "left").withColumn("spans", spans).drop("__row", "found", "more")
+    fresh = fresh.select("row", "start", "end", "kind", F.explode("patterns").alias("pattern")).join(good, ["pattern", "kind"])
+    fresh = fresh.groupBy("row", "start", "end").agg(F.min("kind").alias("kind"))
+    found = fresh.groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("kind", "start", "end")).alias(more))
+    spans = F.array_sort(F.concat("base", F.coalesce(more, F.array().cast(SPANS))))
+    return table.join(found, row, "left").withColumn("spans", spans).drop(row, "found", more)
 
 
 def redact(df: DataFrame, spans: str = "spans", text: str = "text") -> DataFrame:
@@ -249,8 +262,9 @@ def redact(df: DataFrame, spans: str = "spans", text: str = "text") -> DataFrame
 
 def redacted(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with each span of its texts replaced by its kind."""
-    mark = F.xxhash64(F.col(key), F.col(text))
-    found = extract(df.select(mark.alias("__mark"), text), text).where(F.size("spans") > 0)
-    found = found.dropDuplicates(["__mark"]).select("__mark", F.col("spans").alias("__spans"))
-    marked = df.withColumn("__mark", mark).join(found, "__mark", "left").drop("__mark")
-    return redact(marked, "__spans", text).select(*df.columns)
+    name, own = unused(df, "mark"), unused(df, "spans")
+    mark = F.struct(F.xxhash64(F.col(key), F.col(text)).alias("a"), F.xxhash64(F.lit(1), F.col(text)).alias("b"))
+    found = extract(df.select(mark.alias(name), text), text).where(F.size("spans") > 0)
+    found = found.dropDuplicates([name]).select(name, F.col("spans").alias(own))
+    marked = df.withColumn(name, mark).join(found, name, "left").drop(name)
+    return redact(marked, own, text).select(*df.columns)

@@ -57,7 +57,7 @@ def test_patterns_find_unseen_identifiers(spark):
     names = [f"user{i}@mail{i}.example.com" for i in range(8)]
     texts = [f"note {i} please write to {n} for more help" for i, n in enumerate(names)]
     texts += ["please write to someone@localhost for more help", "the value 12@34x is odd", "call 555-0199-22 now", None, "", texts[0]]
-    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").selectExpr("*", "1 as base", "2 as value")
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").selectExpr("*", "1 as base", "2 as value", "3 as more", "4 as __row", "5 as row")
     rows = {r.id: r for r in pii.extract(df).collect()}
     at = texts[8].index("someone")
     assert [tuple(x) for x in rows[8].spans] == [(0, at, at + len("someone@localhost"))]
@@ -97,3 +97,13 @@ def test_runs_of_digit_groups():
     many = " ".join(["123"] * 50_000)
     assert all(7 <= len(pii.digits_of(x)) <= 19 for x in found(many)) and len(found(many)) <= 100_000
     assert found("1" * 200_000) == []
+
+
+def test_contexts_are_whole_words(spark):
+    long = "x" * 1000
+    assert pii.patterns_at(f"one {long} 5 {long}y two", 5 + 1000, 6 + 1000) == [f"one {long} _", f"{long} _ {long}y", f"_ {long}y two"]
+    ids = [f"{i:03}" + "9" * 80 + "@host" for i in range(9)]
+    texts = [f"please write to user{i}@mail.example.com for more help" for i in range(60)] + [f"please write to {x} for more help" for x in ids]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id int, text string, __mark int, __spans int")
+    clean = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    assert all(clean[60 + i] == "please write to <EMAIL> for more help" for i in range(9))
