@@ -15,8 +15,9 @@ limit, which Spark also applies before the shuffle, leave the best of all.
 
 Defined results: vectors that are null, empty, zero, of another length than most (the
 longer at a tie), or hold null or non-finite components take no part; rows with a null
-id neither; repeated ids with equal vectors count once; if few vectors exist, all
-other candidates found are returned; an empty table gives no rows.
+id neither; repeated ids with equal vectors count once; a query that its buckets give
+fewer than k neighbours is held against all vectors, in blocks, so if few vectors exist
+all others are returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -151,16 +152,35 @@ def nearest(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: s
 
     keys = ["t", "b", "x", "y"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, "query long, t int, class long, score double")
-    order = (F.desc("score"), F.asc("class"))
-    found = found.withColumn("n", F.row_number().over(Window.partitionBy("query", "t").orderBy(*order))).where(F.col("n") <= k + 1)
-    found = found.groupBy("query", "class").agg(F.max("score").alias("score"))
-    found = found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("n") <= k + 1)
-    spread = found.join(members.select("class", F.explode("ids").alias("vec_id")), "class").select("query", "vec_id", "score")
-    order = (F.desc("score"), F.asc("vec_id"))
-    spread = spread.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("n") <= k + 1)
-    out = asked.join(spread.drop("n"), asked["class"] == spread["query"]).where(F.col("query_id") != F.col("vec_id"))
-    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
-    return out.select("query_id", "rank", "vec_id", "score")
+    found = written(found, "found")
+
+    def answers(found: DataFrame, asked: DataFrame) -> DataFrame:
+        order = (F.desc("score"), F.asc("class"))
+        found = found.withColumn("n", F.row_number().over(Window.partitionBy("query", "t").orderBy(*order))).where(F.col("n") <= k + 1)
+        found = found.groupBy("query", "class").agg(F.max("score").alias("score"))
+        found = found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("n") <= k + 1)
+        spread = found.join(members.select("class", F.explode("ids").alias("vec_id")), "class").select("query", "vec_id", "score")
+        order = (F.desc("score"), F.asc("vec_id"))
+        spread = spread.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("n") <= k + 1)
+        out = asked.join(spread.drop("n"), asked["class"] == spread["query"]).where(F.col("query_id") != F.col("vec_id"))
+        out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+        return out.select("query_id", "rank", "vec_id", "score")
+
+    out = answers(found, asked)
+    got = out.groupBy("query_id").agg(F.count(F.lit(1)).alias("got"))
+    few = written(asked.join(got, "query_id", "left").where(F.coalesce("got", F.lit(0)) < k).select("query_id", "class"), "few")
+    if few.isEmpty():
+        return out
+    blocks = max(1, -(-vectors.count() // CELL))
+    wanted = vectors.join(few.select("class").distinct(), "class", "left_semi").withColumnRenamed("class", "query")
+    sides = {"query": (written(wanted, "wanted"), -(-few.count() // CELL), blocks), "class": (vectors, blocks, -(-few.count() // CELL))}
+    zero = [F.lit(0).alias("t"), F.lit(0).alias("b")]
+    dealt = {}
+    for name, (side, mine, others) in sides.items():
+        at = {"x" if name == "class" else "y": F.pmod(F.xxhash64(name), F.lit(mine)).cast("int"), "y" if name == "class" else "x": F.explode(F.sequence(F.lit(0), F.lit(others - 1)))}
+        dealt[name] = side.select(*zero, *(c.alias(n) for n, c in at.items()), name, "vec")
+    more = dealt["query"].groupBy(*keys).cogroup(dealt["class"].groupBy(*keys)).applyInPandas(cell, "query long, t int, class long, score double")
+    return out.join(few.select("query_id"), "query_id", "left_anti").unionByName(answers(written(more, "more"), few))
 
 
 def measured(vectors: DataFrame) -> tuple[float, int]:

@@ -55,6 +55,13 @@ def test_exact_with_all_probes_and_odd_vectors(spark, monkeypatch):
     assert ann.nearest(df.limit(0), lambda i: i % 20 == 0).count() == 0
 
 
+def test_few_vectors_get_all_others(spark):
+    x = np.random.default_rng(2).normal(size=(15, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got, want = answers(ann.nearest(df, lambda i: i % 5 == 0)), brute(np.arange(15), x, range(0, 15, 5))
+    assert {q: [v for v, _ in a] for q, a in got.items()} == {q: [v for v, _ in a] for q, a in want.items()}
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 64))
     assert np.allclose(ann.hadamard(ann.hadamard(x)), x)
