@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import itertools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -24,11 +25,15 @@ BATCH_BYTES, BATCH_ROWS = 4_000_000, 2_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 
-    Only where that setting is absent (local tests) a temporary folder is set.
+    Where that setting is absent, a temporary folder is set if all of Spark runs in
+    this process; on a cluster it is an error, as machines don't see each other's folders.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         known = spark.sparkContext.getCheckpointDir()
+        master = spark.sparkContext.master
+        if not known and not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         where = known or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

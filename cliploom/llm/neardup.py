@@ -7,15 +7,16 @@ union sketch estimates their similarity, and the exact Jaccard value of the full
 sets decides.
 
 No list is cut. Two sets of the wanted similarity share at least MIN_SHARE of
-their sketches (five standard deviations below the mean at SKETCH = 64, and
-always when the sketch is the whole set), so each document enters only the
-lists of its rarest values, as many as that bound requires. Pairs of lists of up to
+their sketches: always when the sketch is the whole set; else the bound lies five
+standard deviations below the mean at SKETCH = 64, so that about two links in a
+million, of documents of over 64 shingles, may be missed. So each document enters only
+the lists of its rarest values, as many as that bound requires. Pairs of lists of up to
 SMALL members are compared directly. Documents of longer lists are looked at again
 with their full sets: lists of their rarest shingles by the exact bound, members held
 against one hub of each list (one with few rarer shingles), which joins large groups
 of copies in rows in proportion to their size, and then every pair of a list that
 still lies in two components, but for those whose rarer shingles, which they don't
-share, already make them too different. So no link is lost.
+share, already make them too different; this second look misses no link.
 
 Defined results: a text without words, or null, has an empty set and is linked
 with nothing; rows with one id are one document (of its smallest set digest);
@@ -225,7 +226,7 @@ def links(small: DataFrame, full: DataFrame, sets: DataFrame, percent: int) -> D
         else:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        if turn and pairs.isEmpty():
+        if turn == HUB_ROUNDS and pairs.isEmpty():
             break
         new = written(verified(pairs, sets, percent), "links")
         found = new if found is None else found.unionByName(new)
