@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Spoken variants and what they fold to.
 FOLD = {"niner": "nine", "tree": "three", "fife": "five", "fower": "four", "juliett": "juliet", "xray": "x ray", "okay": "ok"}
 DIGITS = {"0": "zero", "1": "one", "2": "two", "3": "three", "4": "four", "5": "five", "6": "six", "7": "seven", "8": "eight", "9": "nine"}
-RADIO_DIGITS = DIGITS | {"3": "tree", "5": "fife", "9": "niner"}
+RADIO_DIGITS = DIGITS | {"3": "tree", "4": "fower", "5": "fife", "9": "niner"}
 TEENS = "ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 TENS = "- - twenty thirty forty fifty sixty seventy eighty ninety".split()
 
@@ -47,40 +47,30 @@ def digits_to_words(c: Column, radio: bool = False) -> Column:
     return F.array_join(each, " ")
 
 
-def _two(pair: Column, names: Column) -> Column:
-    tens, ones = F.substring(pair, 1, 1), F.substring(pair, 2, 1)
-    ten = F.element_at(F.array(*map(F.lit, TENS)), tens.cast("int") + 1)
-    return (
-        F.when(tens == "1", F.element_at(F.array(*map(F.lit, TEENS)), ones.cast("int") + 1))
-        .when(tens == "0", F.concat(F.lit("zero "), names[ones]))
-        .when(ones == "0", ten)
-        .otherwise(F.concat_ws(" ", ten, names[ones]))
-    )
+def pair_names(radio: bool) -> dict[str, str]:
+    """Spoken form of each pair of digits, and of each single digit after a blank."""
+    one = RADIO_DIGITS if radio else DIGITS
+    out = {f" {d}": w for d, w in one.items()}
+    for n in range(100):
+        tens, ones = divmod(n, 10)
+        spoken = TEENS[ones] if tens == 1 else " ".join([TENS[tens] if tens else one["0"]] + [one[str(ones)]] * (ones > 0 or not tens))
+        out[f"{n:02d}"] = spoken
+    return out
 
 
 def group_number_words(c: Column, radio: bool = False) -> Column:
-    """412 as four twelve, 1850 as eighteen fifty; other lengths digit by digit."""
-    s, names = c.cast("string"), table_of(RADIO_DIGITS if radio else DIGITS)
-    n = F.length(s)
-    return (
-        F.when(n == 1, names[s])
-        .when(n == 2, _two(s, names))
-        .when(n == 3, F.concat_ws(" ", names[F.substring(s, 1, 1)], _two(F.substring(s, 2, 2), names)))
-        .when(n == 4, F.concat_ws(" ", _two(F.substring(s, 1, 2), names), _two(F.substring(s, 3, 2), names)))
-        .otherwise(digits_to_words(s, radio))
-    )
+    """Up to four digits as pairs from the right, a single digit before them alone; longer ones digit by digit."""
+    s, names = c.cast("string"), table_of(pair_names(radio))
+    even = F.lpad(s, F.length(s) + F.length(s) % 2, F.lit(" "))
+    pairs = F.transform(F.sequence(F.lit(1), F.length(even), F.lit(2)), lambda i: names[F.substring(even, i, F.lit(2))])
+    return F.when(F.length(s).between(1, 4), F.array_join(pairs, " ")).otherwise(digits_to_words(s, radio))
 
 
 def feet_to_words(c: Column, radio: bool = False) -> Column:
-    names = table_of(RADIO_DIGITS if radio else DIGITS)
-    thousands, hundreds = F.floor(c / 1000), F.floor((c % 1000) / 100)
-    parts = F.array_compact(
-        F.array(
-            F.when(thousands > 0, F.concat(digits_to_words(thousands.cast("string"), radio), F.lit(" thousand"))),
-            F.when(hundreds > 0, F.concat(names[hundreds.cast("string")], F.lit(" hundred"))),
-        )
-    )
-    return F.when(F.size(parts) > 0, F.array_join(parts, " ")).otherwise(F.lit("zero"))
+    """Thousands digit by digit and hundreds; below a hundred zero."""
+    said = lambda n, unit: F.when(n > 0, F.concat(digits_to_words(n.cast("string"), radio), F.lit(f" {unit}")))
+    both = F.concat_ws(" ", said(F.floor(c / 1000), "thousand"), said(F.floor(c % 1000 / 100), "hundred"))
+    return F.when(both != "", both).otherwise("zero")
 
 
 #: Pattern of each slot type.
@@ -98,26 +88,21 @@ VALUE_FORMS = {
     "atis": r"^[A-Z]$",
 }
 
+#: Least, greatest and step of a value's number; frequencies in kHz, altimeters by their first letter.
+VALUE_LIMITS = {"runway": (1, 36, 1), "heading": (1, 360, 1), "flight_level": (10, 450, 1), "altitude": (100, 45000, 100), "frequency": (118000, 136975, 5), "speed": (60, 350, 1), "Q": (900, 1100, 1), "A": (2800, 3150, 1)}
+
 
 def check_value(kind: Column, value: Column) -> Column:
     """unknown_type, malformed, out_of_range or bad_step; null for a legal value."""
     form = F.lit(False)
     for k, p in VALUE_FORMS.items():
         form = form | ((kind == k) & value.rlike(p))
-    number = F.regexp_extract(value, r"([0-9]+)", 1).try_cast("int")
-    khz = F.round(F.when(kind == "frequency", value.try_cast("double")) * 1000).cast("int")
-    outside = (
-        F.when(kind == "runway", ~F.substring(value, 1, 2).try_cast("int").between(1, 36))
-        .when(kind == "heading", ~number.between(1, 360))
-        .when(kind == "flight_level", ~number.between(10, 450))
-        .when(kind == "altitude", ~number.between(100, 45000))
-        .when(kind == "frequency", ~khz.between(118000, 136975))
-        .when(kind == "speed", ~number.between(60, 350))
-        .when((kind == "altimeter") & value.startswith("Q"), ~number.between(900, 1100))
-        .when(kind == "altimeter", ~number.between(2800, 3150))
-        .otherwise(False)
-    )
-    step = ((kind == "altitude") & (number % 100 != 0)) | ((kind == "frequency") & (khz % 5 != 0))
+    number = F.regexp_extract(F.replace(value, F.lit("."), F.lit("")), r"([0-9]+)", 1).try_cast("int")
+    limit = F.when(kind == "altimeter", F.substring(value, 1, 1)).otherwise(kind)
+    outside = step = F.lit(False)
+    for k, (low, high, by) in VALUE_LIMITS.items():
+        outside = F.when(limit == k, ~number.between(low, high)).otherwise(outside)
+        step = F.when(limit == k, number % by != 0).otherwise(step)
     return F.when(~kind.isin(*VALUE_FORMS), "unknown_type").when(~form, "malformed").when(outside, "out_of_range").when(step, "bad_step")
 
 

@@ -57,9 +57,53 @@ def fn10(spark, sf_dir):
     return a.select("row_idx", "r.digits")
 
 
-@query("FN-12", V.with_sql(V.ATC, SLOTS, select="select row_idx, type, value from slots"))
+#: A transmission of one of six forms for each order: its text, and the slots that it holds, of all kinds; some values are not legal.
+CALLS = f"""calls as (
+  select row_idx, ident, form, n, {V.spelled_sql("ident")} as said, {V.spelled_sql("n3")} as said3, {V.spelled_sql("n4")} as said4, n3, n4 from (
+    select row_idx, ident, row_idx % 6 as form, n, lpad((n % 400 + 1)::varchar, 3, '0') as n3, lpad((n * 7 % 10000)::varchar, 4, '0') as n4
+    from (select row_idx, ident, row_idx % 9973 as n from atc))),
+call_slots as (
+  select row_idx, 'callsign' as type, case form when 0 then 'N' || ident || 'AB' when 2 then 'SKV' || ident else 'CSA' || ident end as value from calls where form <> 4 union all
+  select row_idx, 'runway', lpad((n % 40)::varchar, 2, '0') || 'L' from calls where form = 0 and n % 40 between 1 and 36 union all
+  select row_idx, 'altitude', (1 + n % 9) || '500ft' from calls where form = 1 union all
+  select row_idx, 'atis', 'C' from calls where form = 2 union all
+  select row_idx, 'altimeter', 'A' || n4 from calls where form = 2 and n4::int between 2800 and 3150 union all
+  select row_idx, 'speed', n3::int::varchar from calls where form = 3 and n3::int between 60 and 350 union all
+  select row_idx, 'squawk', n4 from calls where form = 3 and not regexp_matches(n4, '[89]') union all
+  select row_idx, 'frequency', '1' || (18 + n % 25) || '.500' from calls where form = 4 and n % 25 <= 18 union all
+  select row_idx, 'waypoint', 'RALUD' from calls where form = 4 union all
+  select row_idx, 'heading', n3 from calls where form = 5 and n3::int <= 360 union all
+  select row_idx, 'flight_level', 'FL' || n3 from calls where form = 5 and n3::int >= 10)"""
+TENS = "zero ten twenty thirty forty".split()
+
+
+def calls(spark, sf_dir):
+    """row_idx and text of the transmissions."""
+    n = F.col("row_idx") % 9973
+    a = V.radio(spark, sf_dir).select("row_idx", "ident", n.alias("n"))
+    said, digits = V.spelled(F.col("ident")), lambda n, width: V.spelled(F.lpad(n.cast("string"), width, "0"))
+    n3, n4 = digits(n % 400 + 1, 3), digits(n * 7 % 10000, 4)
+    whole = 18 + n % 25
+    tens = F.element_at(F.array(*map(F.lit, TENS)), F.floor(whole / 10).cast("int") + 1)
+    teens = F.element_at(F.array(*map(F.lit, T.TEENS)), (whole % 10).cast("int") + 1)
+    ones = F.when(whole % 10 > 0, F.concat(F.lit(" "), digits(whole % 10, 1))).otherwise("")
+    forms = [
+        ("november ", said, " alpha bravo cleared to land runway ", digits(n % 40, 2), " left"),
+        ("csa ", said, " climb and maintain ", digits(1 + n % 9, 1), " thousand five hundred"),
+        ("skytravel ", said, " information charlie is current, altimeter ", n4),
+        ("csa ", said, ", reduce speed to ", n3, ", squawk ", n4),
+        ("contact one ", F.when(whole < 20, teens).otherwise(F.concat(tens, ones)), " decimal five and proceed direct to ralud"),
+        ("csa ", said, " turn left heading ", n3, " climb flight level ", n3),
+    ]
+    text = F.lit(None)
+    for i, parts in enumerate(forms):
+        text = F.when(F.col("row_idx") % 6 == i, F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))).otherwise(text)
+    return a.select("row_idx", text.alias("text"))
+
+
+@query("FN-12", V.with_sql(V.ATC, CALLS, select="select row_idx, type, value, type not in ('waypoint', 'atis') as critical from call_slots"))
 def fn12(spark, sf_dir):
-    return slots(V.radio(spark, sf_dir), "text").select("row_idx", "type", "value")
+    return slots(calls(spark, sf_dir), "text").select("row_idx", "type", "value", "critical")
 
 
 @query("FN-15", V.with_sql(V.ATC, SLOTS, select="select row_idx, type, value, 'lost_label' as problem from slots where row_idx % 50 = 0 and type = 'heading' union all select row_idx, type, '000', 'unlabelled' from slots where false"))

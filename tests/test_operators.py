@@ -30,23 +30,51 @@ def test_normalize(spark):
 
 
 def test_spoken_numbers(spark):
-    assert column(spark, ["412", "1850", "305", "10", "7"], T.group_number_words) == ["four twelve", "eighteen fifty", "three zero five", "ten", "seven"]
-    assert column(spark, ["305"], lambda c: T.digits_to_words(c, radio=True)) == ["tree zero fife"]
-    assert column(spark, [3500, 10000, 400, 0], T.feet_to_words, "int") == ["three thousand five hundred", "one zero thousand", "four hundred", "zero"]
+    assert column(spark, ["618", "2740", "902", "13", "8"], T.group_number_words) == ["six eighteen", "twenty seven forty", "nine zero two", "thirteen", "eight"]
+    assert column(spark, ["9435"], lambda c: T.digits_to_words(c, radio=True)) == ["niner fower tree fife"]
+    assert column(spark, [7600, 12000, 800, 0], T.feet_to_words, "int") == ["seven thousand six hundred", "one two thousand", "eight hundred", "zero"]
 
 
 def test_tokens(spark):
-    assert column(spark, ["Runway 26th x ray 127.825, ray"], T.tokenize_spoken) == [["runway", "26", "xray", "127.825", "ray"]]
+    assert column(spark, ["Gate 31st x ray 119.35, ray"], T.tokenize_spoken) == [["gate", "31", "xray", "119.35", "ray"]]
 
 
 def test_slots():
-    air = {"csa": "CSA", "sky travel": "SKV"}
-    of = lambda t: [(s["type"], s["value"]) for s in E.slots_of(t, air)]
-    assert of("sky travel six seven zero contact praha radar one two seven decimal eight two five") == [("callsign", "SKV670"), ("frequency", "127.825")]
-    assert of("contact tower one twenty seven decimal eight two five") == [("frequency", "127.825")]
-    assert of("csa three kilo foxtrot turn left heading zero six zero") == [("callsign", "CSA3KF"), ("heading", "060")]
-    assert of("descend three thousand five hundred feet squawk one two three four runway two six left") == [("altitude", "3500ft"), ("squawk", "1234"), ("runway", "26L")]
-    assert of("") == [] and of(None) == []
+    air = {"bluewing": "BLW", "north coast": "NCO"}
+    cases = {
+        "north coast eight oh five reduce speed to two hundred ten": ["callsign NCO805", "altitude 210ft"][:1],
+        "northcoast eight oh five, speed two one zero": ["callsign NCO805", "speed 210"],
+        "bluewing four mike tango fly heading two niner five": ["callsign BLW4MT", "heading 295"],
+        "bluewing seventy one heading four one zero": ["callsign BLW71"],
+        "cirrus six two golf kilo maintain two thousand": ["callsign N62GK", "altitude 2000ft"],
+        "north coast piper four four one": ["callsign N441"],
+        "tower on one one eight decimal one": ["frequency 118.100"],
+        "try 133.65 or one four one point five": ["frequency 133.650"],
+        "passing level one four zero for level eight five zero": ["flight_level FL140"],
+        "cleared to land rwy zero nine centre, runway three nine is closed": ["runway 09C"],
+        "squawk seven five oh oh": ["squawk 7500"],
+        "sqawk one eight one one": [],
+        "qnh niner niner eight, altimeter two niner fife fower": ["altimeter Q998", "altimeter A2954"],
+        "we have information whisky": ["atis W"],
+        "proceed direct to velmi then overhead tower": ["waypoint VELMI", "waypoint TOWER"],
+        "direct when able": [],
+        "maintain one eight zero kts": ["speed 180"],
+        "descending to one zero thousand": ["altitude 10000ft"],
+        "four thousand six hundred and wind five knots": ["altitude 4600ft"],
+        "at 2600 ft": ["altitude 2600ft"],
+        "nought nought": [],
+    }
+    for text, want in cases.items():
+        assert [f"{s['type']} {s['value']}" for s in E.slots_of(text, air)] == want, text
+    (slot, *_) = E.slots_of("turn heading zero eight five now", air)
+    assert slot["spoken"] == "zero eight five" and slot["critical"]
+    assert E.slots_of("", air) == [] and E.slots_of(None, air) == []
+
+
+def test_number_runs():
+    assert [r[:] for r in E.scan("x one two three four five six seven eight nine zero one two y".split())] == [(1, 13, "123456789012", 123456789012)]
+    assert [r[2:] for r in E.scan("six thousand four hundred and twenty two".split())] == [("", 6400), ("22", 22)]
+    assert E.scan(["hundred", "and"]) == []
 
 
 def test_alignment():
