@@ -133,15 +133,29 @@ def duration_band(c: Column) -> Column:
     return F.when(c < 3, "<3s").when(c < 6, "3-6s").when(c >= 6, ">6s")
 
 
+def most_alike(sorted_words: Column) -> Column:
+    """How often the most frequent entry of a sorted array occurs."""
+
+    def step(seen: Column, word: Column) -> Column:
+        run = F.when(seen["word"] == word, seen["run"] + 1).otherwise(1)
+        return F.struct(word.alias("word"), run.alias("run"), F.greatest(seen["most"], run).alias("most"))
+
+    start = F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+    return F.aggregate(sorted_words, start, step, lambda seen: seen["most"])
+
+
 def repetition_ratio(c: Column, n: int = 4) -> Column:
     """Share of repeated n-grams, or how far the most frequent token is beyond half of the words."""
-    w = words(normalize_atc(c))
-    size = F.size(w)
-    most = F.array_max(F.transform(F.array_distinct(w), lambda x: F.size(F.filter(w, lambda y: y == x))))
-    loop = F.greatest(F.lit(0.0), (most / size - 0.5) / 0.5)
-    grams = F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.slice(w, i, F.lit(n)))
-    repeated = 1.0 - F.size(F.array_distinct(grams)) / F.size(grams)
-    return F.when(size == 0, 0.0).when(size < n, loop).otherwise(F.greatest(repeated, loop))
+
+    def ratio(w: Column) -> Column:
+        size = F.size(w)
+        loop = F.greatest(F.lit(0.0), (most_alike(F.array_sort(w)) / size - 0.5) / 0.5)
+        grams = F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+        repeated = 1.0 - F.size(F.array_distinct(grams)) / F.size(grams)
+        return F.when(size == 0, 0.0).when(size < n, loop).otherwise(F.greatest(repeated, loop))
+
+    # as the only entry of an array the words are worked out once
+    return F.element_at(F.transform(F.array(words(normalize_atc(c))), ratio), 1)
 
 
 def length_deviation(ref: Column, hyp: Column, tol: float = 0.3, clip: float = 2.0) -> Column:

@@ -13,26 +13,80 @@ from cliploom.functions.text import normalize_atc, words
 COUNTS = StructType([StructField(n, LongType()) for n in ("hits", "substitutions", "deletions", "insertions")])
 
 
-def align(ref: list[str], hyp: list[str]) -> tuple[int, int, int, int]:
-    """Hits, substitutions, deletions, insertions of a shortest edit; of equal ones the diagonal, then the deletion goes first."""
-    codes = {w: i for i, w in enumerate(dict.fromkeys(ref + hyp))}
-    r, h = np.array([codes[w] for w in ref], np.int64), np.array([codes[w] for w in hyp], np.int64)
-    steps = np.arange(len(h) + 1)
-    cost = np.empty((len(r) + 1, len(h) + 1), np.int32)
-    cost[0] = steps
+FAR = 1 << 40
+
+
+def banded(r: np.ndarray, h: np.ndarray, band: int) -> np.ndarray:
+    """Errors, substitutions, deletions and insertions of a shortest edit that keeps within band places of the diagonal.
+
+    Two rows are held. A cell comes from its diagonal neighbour, else by a deletion,
+    else by an insertion, whichever comes first among the cheapest.
+    """
+    m, width = len(h), 2 * band + 1
+    places = np.arange(width)
+    # column k of row i stands for place i - band + k of the hypothesis
+    first = places - band
+    row = np.full((4, width + 1), FAR)  # one more column: nothing lies beyond the band
+    inside = (first >= 0) & (first <= m)
+    row[:, :width][:, inside] = 0
+    row[0, :width][inside] = row[3, :width][inside] = first[inside]
+    padded = np.concatenate([np.full(band + 1, -1), h, np.full(band + len(r) + 1, -1)])
     for i in range(1, len(r) + 1):
-        row = np.minimum(cost[i - 1] + 1, np.concatenate([[i], cost[i - 1, :-1] + (h != r[i - 1])]))
-        cost[i] = np.minimum.accumulate(row - steps) + steps  # insertions
-    i, j, hits, sub, dele, ins = len(r), len(h), 0, 0, 0, 0
-    while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (r[i - 1] != h[j - 1]):
-            hits, sub = hits + (r[i - 1] == h[j - 1]), sub + (r[i - 1] != h[j - 1])
-            i, j = i - 1, j - 1
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
-            dele, i = dele + 1, i - 1
-        else:
-            ins, j = ins + 1, j - 1
-    return int(hits), int(sub), dele, ins
+        other = padded[i : i + width] != r[i - 1]
+        diagonal, above = row[0, :width] + other, row[0, 1:] + 1
+        best = np.minimum(diagonal, above)
+        deleted = above < diagonal
+        moved = np.where(deleted, row[:, 1:], row[:, :width])
+        moved[0] = best
+        moved[1] += ~deleted & other
+        moved[2] += deleted
+        j = i - band + places
+        if j[0] <= 0:
+            moved[0, j < 0] = FAR
+        if j[-1] > m:
+            moved[0, j > m] = FAR
+        level = moved[0] - places
+        low = np.minimum.accumulate(level)
+        origin = np.maximum.accumulate(np.where(level == low, places, 0))  # where the insertions that lead here begin
+        row[:, :width] = moved[:, origin]
+        row[0, :width] = low + places
+        row[3, :width] += places - origin
+    return row[:, m - len(r) + band]
+
+
+def align(ref: list[str], hyp: list[str]) -> tuple[int, int, int, int]:
+    """Hits, substitutions, deletions, insertions of a shortest edit; of equal ones the diagonal, then the deletion goes first.
+
+    Equal ends are matched at once. Words that the other side lacks are a least number of
+    errors; word-for-word replacement, or deletions or insertions alone, that reach it are
+    shortest. Else a shortest edit of d errors lies within d places of the diagonal, so a
+    band is doubled until it holds one: time grows with words times errors.
+    """
+    codes: dict[str, int] = {}
+    r, h = (np.array([codes.setdefault(w, len(codes)) for w in x], np.int64) for x in (ref, hyp))
+    n = min(len(r), len(h))
+    unlike = np.nonzero(r[len(r) - n :][::-1] != h[len(h) - n :][::-1])[0]
+    end = int(unlike[0]) if len(unlike) else n
+    r, h = r[: len(r) - end], h[: len(h) - end]
+    if not len(r) or not len(h):
+        return end, 0, len(r), len(h)
+    known = len(codes)
+    least = max(len(r), len(h)) - int(np.minimum(np.bincount(r, minlength=known), np.bincount(h, minlength=known)).sum())
+    if len(r) == len(h):
+        if (sub := int((r != h).sum())) == least:
+            return end + len(r) - sub, sub, 0, 0
+    elif abs(len(r) - len(h)) == least:
+        short, long = (r, h) if len(r) < len(h) else (h, r)
+        rest = iter(long.tolist())
+        if all(w in rest for w in short.tolist()):
+            return (end + len(r), 0, 0, least) if short is r else (end + len(h), 0, least, 0)
+    band = max(least, 8)
+    while True:
+        band = min(band, max(len(r), len(h)))
+        errors, sub, dele, ins = map(int, banded(r, h, band))
+        if errors <= band or band == max(len(r), len(h)):
+            return end + len(r) - sub - dele, sub, dele, ins
+        band *= 2
 
 
 @F.pandas_udf(COUNTS)

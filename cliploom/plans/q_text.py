@@ -103,7 +103,7 @@ grams as (select *, case when len(w) >= 4 then list_transform(range(1, len(w) -
 )
 
 
-@query("FN-17", V.with_sql(V.UTT, REP, select="""select row_idx, case when len(w) = 0 then 0.0 else greatest(0.0, (list_max(list_transform(list_distinct(w), lambda x: len(list_filter(w, lambda y: y = x)))) / len(w) - 0.5) / 0.5,
+@query("FN-17", V.with_sql(V.UTT, REP, select="""select row_idx, case when len(w) = 0 then 0.0 else greatest(0.0, (list_max(map_values(list_histogram(w))) / len(w) - 0.5) / 0.5,
   coalesce(1.0 - len(list_distinct(g)) / len(g), 0.0)) end as repetition from grams"""))
 def fn17(spark, sf_dir):
     return V.utterances(spark, sf_dir).select("row_idx", T.repetition_ratio(F.col("hyp_b")).alias("repetition"))
@@ -115,9 +115,8 @@ def fn18(spark, sf_dir):
 
 
 def edits_sql(a: str, b: str) -> str:
-    """Word edits of two lists of words: each distinct word as one byte."""
-    code = lambda x: f"array_to_string(list_transform({x}, lambda t: chr(48 + list_position(list_distinct(list_concat({a}, {b})), t)::int)), '')"
-    return f"levenshtein(coalesce({code(a)}, ''), coalesce({code(b)}, ''))"
+    """Word edits of the views' hypotheses: a word of hyp_b is replaced by one that no text has, hyp_a only leaves words out."""
+    return f"(case when len({a}) = len({b}) then len(list_filter(list_zip({a}, {b}), lambda p: p[1] <> p[2])) else abs(len({a}) - len({b})) end)"
 
 
 EDITS = rf"""{SPOKEN},
@@ -129,7 +128,7 @@ def counted(spark, sf_dir, side="hyp_b"):
 
 
 @query("FN-19", V.with_sql(V.UTT, REP, f"edited as (select row_idx, {edits_sql('r', 'w')} as e from grams)", select="""select g.row_idx, case when len(r) = 0 then case when len(w) > 0 then -1.0 else 0.0 end else
-  -(least(e / len(r), 2.0) + 0.5 * case when len(w) = 0 then 0.0 else greatest(0.0, (list_max(list_transform(list_distinct(w), lambda x: len(list_filter(w, lambda y: y = x)))) / len(w) - 0.5) / 0.5, coalesce(1.0 - len(list_distinct(g.g)) / len(g.g), 0.0)) end
+  -(least(e / len(r), 2.0) + 0.5 * case when len(w) = 0 then 0.0 else greatest(0.0, (list_max(map_values(list_histogram(w))) / len(w) - 0.5) / 0.5, coalesce(1.0 - len(list_distinct(g.g)) / len(g.g), 0.0)) end
   + 0.25 * least(greatest(0.0, abs(len(w) - len(r)) / greatest(len(r), 1) - 0.3), 2.0)) end as score from grams g join edited using (row_idx)"""))
 def fn19(spark, sf_dir):
     d = counted(spark, sf_dir)

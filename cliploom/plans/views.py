@@ -42,7 +42,7 @@ clips as (
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """row_idx, category, source, duration, reference, hyp_a (words deleted), hyp_b (words replaced); every 33rd has no words."""
     d = table(spark, sf_dir, "documents")
-    words = F.slice(F.filter(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}_\s']|\s+", " "), " "), lambda w: w != ""), 1, 20)
+    words = F.filter(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\s']|\s+", " "), " "), lambda w: w != "")
     words = F.when(F.col("doc_id") % 33 == 0, F.array().cast("array<string>")).otherwise(words)
 
     def u(side: str, i: Column) -> Column:
@@ -65,7 +65,7 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
 UTT = rf"""
 utt_words as (
   select doc_id, lang, source, n_chars, case when doc_id % 33 = 0 then []::varchar[] else list_filter(string_split(
-    regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_\s'']|\s+', ' ', 'g'), ' '), lambda w: w <> '')[1:20] end as w from documents),
+    regexp_replace(lower(text), '[^\p{{L}}\s'']|\s+', ' ', 'g'), ' '), lambda w: w <> '') end as w from documents),
 utt as (
   select doc_id as row_idx, lang as category, source, n_chars / 100.0 as duration, array_to_string(w, ' ') as reference,
     coalesce(array_to_string(list_filter(w, lambda x, i: {draw_sql("'a'", "doc_id", "i")} >= 0.1), ' '), '') as hyp_a,
