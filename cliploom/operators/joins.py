@@ -73,17 +73,29 @@ def align_views(base: DataFrame, derived: DataFrame, key: str, digest: str) -> D
 
 
 def multiset_match(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, k, in_a, in_b: the k-th occurrence of a key on one side matches the k-th on the other."""
-    w = Window.partitionBy(*keys).orderBy(F.lit(1))
-    number = lambda df, side: df.select(*keys).withColumn("k", F.row_number().over(w)).withColumn(side, F.lit(True))
-    both = number(a, "in_a").join(number(b, "in_b"), [*keys, "k"], "full")
-    return both.select(*keys, "k", F.coalesce("in_a", F.lit(False)).alias("in_a"), F.coalesce("in_b", F.lit(False)).alias("in_b"))
+    """keys, k, in_a, in_b: the k-th occurrence of a key on one side matches the k-th on the other.
+
+    Both sides are counted, and numbers made from the counts, so a frequent key is no large group.
+    """
+    marked = a.select(*keys, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(*keys, F.lit(0).alias("a"), F.lit(1).alias("b")))
+    n = marked.groupBy(*keys).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    n = n.withColumn("k", F.explode(F.sequence(F.lit(1), F.greatest("a", "b").cast("int"))))
+    return n.select(*keys, "k", (F.col("k") <= F.col("a")).alias("in_a"), (F.col("k") <= F.col("b")).alias("in_b"))
 
 
 def overlapping(ranges: DataFrame) -> DataFrame:
-    """Pairs of named half-open ranges (name, start, stop; null stop is open) that overlap."""
-    b = ranges.select(*(F.col(c).alias(f"{c}2") for c in ("name", "start", "stop")))
-    both = ranges.join(b, F.expr("name < name2 and (stop2 is null or start < stop2) and (stop is null or start2 < stop)"))
+    """Pairs of named half-open ranges (name, start, stop; null stop is open) that overlap; empty ranges overlap nothing.
+
+    Ranges are cut at multiples of their mean length and joined by part; a pair counts in
+    the part where its overlap begins. Parts are at most about twice as many as ranges.
+    """
+    top = ranges.agg(F.max(F.greatest(F.col("start") + 1, "stop")).alias("top"))
+    closed = ranges.crossJoin(F.broadcast(top)).select("name", "start", F.coalesce("stop", "top").alias("stop")).where("stop > start")
+    width = closed.agg(F.ceil(F.avg(F.col("stop") - F.col("start"))).alias("width"))  # one row
+    closed = closed.crossJoin(F.broadcast(width))
+    cut = closed.withColumn("part", F.explode(F.expr("sequence(start div width, (stop - 1) div width)")))
+    other = cut.select("part", *(F.col(c).alias(f"{c}2") for c in ("name", "start", "stop")))
+    both = cut.join(other, "part").where("name < name2 and start < stop2 and start2 < stop and part = greatest(start, start2) div width")
     return both.select("name", F.col("name2").alias("other"))
 
 

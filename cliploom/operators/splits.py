@@ -7,15 +7,31 @@ from pyspark.sql import functions as F
 
 from cliploom.functions.draws import order_key
 
+#: Hexadecimal digits of a hash that are counted at once, and rows about a boundary that may be ordered.
+STEP, EDGE = 3, 100_000
+
 
 def capture_blocks(df: DataFrame, gap_minutes: float, group: str = "station", ts: str = "ts", order: str = "row_idx") -> DataFrame:
-    """df with block_id: a new block where the gap to the last clip is longer; rows without a time are blocks of their own, after the others."""
-    timed = F.col(ts).isNotNull()
-    w = Window.partitionBy(group).orderBy(F.col(ts).asc_nulls_last(), order)
+    """df with block_id: a new block where the gap to the last clip is longer; rows without a time are blocks of their own, after the others.
+
+    Gaps are found within the days of a group, so that no task holds a whole group; a small
+    table of days tells whether a day's first clip begins a block, and the blocks before it.
+    """
+    limit = int(gap_minutes * 60_000_000)
+    w = Window.partitionBy(group, "__day").orderBy(ts, order)
+    rows = df.withColumn("__day", F.to_date(ts))
     gap = F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))
-    new = F.when(~timed, 1).when(F.lag(order).over(w).isNull(), 1).when(gap > int(gap_minutes * 60_000_000), 1).otherwise(0)
-    number = F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1
-    return df.withColumn("__new", new).withColumn("__b", number).drop("__new").withColumn("block_id", F.concat(group, F.lit("/b"), F.lpad(F.col("__b").cast("string"), F.greatest(F.lit(2), F.length(F.col("__b").cast("string"))), "0"))).drop("__b")
+    rows = rows.withColumn("__new", F.when(F.col(ts).isNull() | (gap > limit), 1).otherwise(0))
+    days = rows.groupBy(group, "__day").agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.sum("__new").alias("inside"))
+    by_day = Window.partitionBy(group).orderBy(F.col("__day").asc_nulls_last())
+    apart = F.unix_micros("first") - F.unix_micros(F.lag("last").over(by_day))
+    days = days.withColumn("edge", F.when(F.col("__day").isNull(), 0).when(F.lag("last").over(by_day).isNull() | (apart > limit), 1).otherwise(0))
+    start = F.sum(F.col("inside") + F.col("edge")).over(by_day.rowsBetween(Window.unboundedPreceding, 0)) - F.col("inside") - 1
+    days = days.select(F.col(group).alias("__group"), F.col("__day").alias("__of"), start.alias("__start"))
+    rows = rows.withColumn("__b", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.join(days, F.col(group).eqNullSafe(F.col("__group")) & F.col("__day").eqNullSafe(F.col("__of")))
+    number = (F.col("__b") + F.col("__start")).cast("string")
+    return rows.withColumn("block_id", F.concat(group, F.lit("/b"), F.lpad(number, F.greatest(F.lit(2), F.length(number)), "0"))).select(*df.columns, "block_id")
 
 
 def pseudo_split(df: DataFrame, group: str = "station", ts: str = "ts", order: str = "row_idx") -> DataFrame:
@@ -24,10 +40,10 @@ def pseudo_split(df: DataFrame, group: str = "station", ts: str = "ts", order: s
     all_of = Window.partitionBy(group)
     rank = F.row_number().over(w)
     gap = F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))
-    df = df.withColumns({"__r": rank, "__gap": gap, "__blocks": F.size(F.collect_set("block_id").over(all_of))})
+    df = df.withColumns({"__r": rank, "__gap": gap, "__one": F.min("block_id").over(all_of) == F.max("block_id").over(all_of)})
     cut = F.max(F.when(F.col("__gap").isNotNull(), F.struct("__gap", (-F.col("__r")).alias("r")))).over(all_of)
-    df = df.withColumn("__cut", cut).withColumn("pseudo", (F.col("__blocks") == 1) & F.col("__cut").isNotNull())
-    return df.withColumn("part", F.when(F.col("pseudo") & (F.col("__r") >= -F.col("__cut.r")), 1).otherwise(0)).drop("__r", "__gap", "__blocks", "__cut")
+    df = df.withColumn("__cut", cut).withColumn("pseudo", F.col("__one") & F.col("__cut").isNotNull())
+    return df.withColumn("part", F.when(F.col("pseudo") & (F.col("__r") >= -F.col("__cut.r")), 1).otherwise(0)).drop("__r", "__gap", "__one", "__cut")
 
 
 def first_of(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -91,4 +107,24 @@ def day_split(df: DataFrame, day: str, dev_day: str, locked_day: str, n_dev: int
 
 
 def exact_sample(df: DataFrame, n: int, seed: str, key: str) -> DataFrame:
-    return df.orderBy(order_key(seed, F.col(key)), key).limit(n)
+    """The n rows that come first in hash order, or all.
+
+    The hash below which they lie is found by counts of its digits, STEP at a time, so
+    that only rows about the boundary are ordered.
+    """
+    hashed = order_key(seed, F.col(key))
+    bound, left = "", n
+    for _ in range(32 // STEP):
+        counts = df.where(hashed.startswith(bound)).groupBy(F.substring(hashed, len(bound) + 1, STEP).alias("d")).count().orderBy("d").collect()
+        if sum(r["count"] for r in counts) <= left:
+            break
+        for r in counts:  # at most 16 ** STEP
+            if r["count"] > left:
+                break
+            left -= r["count"]
+        bound += r["d"]
+        if r["count"] <= EDGE:
+            break
+    if not bound:
+        return df
+    return df.where(hashed < bound).unionByName(df.where(hashed.startswith(bound)).orderBy(hashed, key).limit(left))

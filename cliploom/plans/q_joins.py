@@ -9,7 +9,7 @@ from cliploom.plans import views as V
 from cliploom.plans.registry import query
 
 SNAPSHOT = """
-snap as (select d.doc_id as row_idx, coalesce(l.toxic, 0) = 1 as suspect, case when d.doc_id % 40 = 0 then '' when d.doc_id % 41 = 0 then '[static]' else substr(d.text, 1, 20) end as text,
+snap as (select d.doc_id as row_idx, coalesce(l.toxic, 0) = 1 as suspect, case when d.doc_id % 40 = 0 then '' when d.doc_id % 41 = 0 then '[static]' else d.text end as text,
   case when d.doc_id % 10 = 0 then 'old' || d.doc_id % 400 when d.doc_id % 11 = 0 then 'gone' || d.doc_id else 'clip' || d.doc_id % 400 end as audio
   from documents d left join labels l on l.doc_id = d.doc_id),
 joined as (select row_idx, case when audio like 'clip%' then audio when audio like 'old%' then replace(audio, 'old', 'clip') end as clip, audio like 'clip%' as direct,
@@ -20,7 +20,7 @@ outcomes as (select row_idx, clip, coalesce(reason, case when row_number() over
 def snapshot(spark, sf_dir):
     d = V.table(spark, sf_dir, "documents").join(V.table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
     i = F.col("doc_id")
-    text = F.when(i % 40 == 0, "").when(i % 41 == 0, "[static]").otherwise(F.substring("text", 1, 20))
+    text = F.when(i % 40 == 0, "").when(i % 41 == 0, "[static]").otherwise(F.col("text"))
     audio = F.when(i % 10 == 0, F.concat(F.lit("old"), (i % 400).cast("string"))).when(i % 11 == 0, F.concat(F.lit("gone"), i.cast("string"))).otherwise(F.concat(F.lit("clip"), (i % 400).cast("string")))
     return d.select(i.alias("row_idx"), (F.coalesce("toxic", F.lit(0)) == 1).alias("suspect"), text.alias("text"), audio.alias("audio"))
 
@@ -111,15 +111,16 @@ def join7(spark, sf_dir):
     return J.multiset_match(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0"), ["type", "value"])
 
 
-@query("JOIN-9", V.with_sql(V.CLIPS, f"""noise as (select row_idx as segment, station, row_number() over (partition by station order by row_idx) - 1 as slot, count(*) over (partition by station) as many from clips where row_idx % 10 = 0 and station <> 'ST5_TOWER'),
-s as (select station, many, coalesce(lead(station) over (order by station), min(station) over ()) as next from (select distinct station, many from noise)),
-p as (select c.row_idx as name, c.station, case when s.next is null then (select min(station) from s) when {V.draw_sql("'n'", 'c.row_idx')} < 0.3 then s.next else c.station end as from_station from clips c left join s on s.station = c.station where c.row_idx % 7 = 0)""",
-  select="select count(*) as n, station, from_station, min(many) as many from p join s using (station) where false group by 2, 3").split("select count(*) as n")[0]
-  + "select p.station, p.from_station, count(*) as n from p group by 1, 2")
+@query("JOIN-9", V.with_sql(V.CLIPS, f"""noise as (select o_orderkey as segment, 'ST' || (o_custkey % 5) || '_TOWER' as station from orders),
+numbered as (select *, row_number() over (partition by station order by segment) - 1 as slot, count(*) over (partition by station) as many from noise),
+s as (select station, coalesce(lead(station) over (order by station), min(station) over ()) as next from (select distinct station from noise)),
+p as (select c.row_idx as name, c.station, case when s.next is null then (select min(station) from s) when {V.draw_sql("'n'", 'c.row_idx')} < 0.3 then s.next else c.station end as from_station from clips c left join s on s.station = c.station)""",
+  select="select p.station, p.from_station, count(*) as n from p group by 1, 2"))
 def join9(spark, sf_dir):
     c = V.clips(spark, sf_dir)
-    noise = c.where("row_idx % 10 = 0 and station <> 'ST5_TOWER'").select(F.col("row_idx").alias("segment"), "station")
-    made = J.pair_noise(c.where("row_idx % 7 = 0").select(F.col("row_idx").alias("name"), "station"), noise, 0.3, V.draw("n", F.col("name")))
+    station = F.concat(F.lit("ST"), (F.col("o_custkey") % 5).cast("string"), F.lit("_TOWER"))
+    noise = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("segment"), station.alias("station"))
+    made = J.pair_noise(c.select(F.col("row_idx").alias("name"), "station"), noise, 0.3, V.draw("n", F.col("name")))
     return made.groupBy("station", "from_station").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -134,9 +135,12 @@ def cut(spark, sf_dir):
     return r.crossJoin(F.broadcast(most)).where(F.col("start") < F.col("size")).drop("size")
 
 
-@query("JOIN-10", f"with {RANGES_SQL} select least(a.name, b.name) as name, greatest(a.name, b.name) as other from ranges a join ranges b on a.name < b.name and (b.stop is null or a.start < b.stop) and (a.stop is null or b.start < a.stop) where (select count(*) from lineitem) > 3000")
+@query("JOIN-10", """with b as (select 'b' || o_orderkey // 1000 as name, min(o_orderkey) as start, max(o_orderkey) + 1 + sum(o_custkey)::bigint % 1500 as stop from orders group by 1)
+select a.name, b.name as other from b a join b on a.name < b.name and a.start < b.stop and b.start < a.stop""")
 def join10(spark, sf_dir):
-    return J.overlapping(cut(spark, sf_dir))
+    o = V.table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("b"), F.expr("o_orderkey div 1000").cast("string")).alias("name"))
+    stop = F.max("o_orderkey") + 1 + F.sum("o_custkey") % 1500
+    return J.overlapping(o.agg(F.min("o_orderkey").alias("start"), stop.alias("stop")))
 
 
 @query("JOIN-13", f"with {RANGES_SQL} select o_orderkey as row_idx, name from orders left join ranges on o_orderkey >= start and (stop is null or o_orderkey < stop)")

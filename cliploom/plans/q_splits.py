@@ -24,11 +24,14 @@ def win1(spark, sf_dir):
     return blocks(spark, sf_dir).select("row_idx", "block_id")
 
 
-@query("WIN-2", V.with_sql(V.CLIPS, "g as (select *, row_number() over w as r, epoch_us(ts) - epoch_us(lag(ts) over w) as gap from clips window w as (partition by station order by ts, row_idx))",
-  "c as (select station, arg_max(r, (gap, -r)) as cut from g where gap is not null group by station)", select="select row_idx, case when r >= cut then 1 else 0 end as part, cut is not null as pseudo from g left join c using (station)"))
+#: A gap of fifty hours ends a user's block, so that some have one block and others more.
+@query("WIN-2", """with e as (select event_id as row_idx, user_id as station, date_trunc('second', ts) as ts from events where user_id is not null),
+g as (select *, row_number() over w as r, epoch_us(ts) - epoch_us(lag(ts) over w) as gap from e window w as (partition by station order by ts, row_idx)),
+c as (select station, arg_max(r, (gap, -r)) as cut, max(gap) as widest from g where gap is not null group by station)
+select row_idx, case when c.cut is not null and widest <= 180000000000 and r >= cut then 1 else 0 end as part, c.cut is not null and widest <= 180000000000 as pseudo from g left join c using (station)""")
 def win2(spark, sf_dir):
-    whole = V.clips(spark, sf_dir).withColumn("block_id", F.col("station"))
-    return S.pseudo_split(whole).select("row_idx", "part", "pseudo")
+    e = V.table(spark, sf_dir, "events").where("user_id is not null").select(F.col("event_id").alias("row_idx"), F.col("user_id").alias("station"), F.date_trunc("second", "ts").alias("ts"))
+    return S.pseudo_split(S.capture_blocks(e, 50 * 60)).select("row_idx", "part", "pseudo")
 
 
 @query("WIN-4", "select doc_id as row_idx, row_number() over (partition by sha256(text) order by doc_id) > 1 as duplicate from documents")

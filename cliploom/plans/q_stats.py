@@ -131,10 +131,12 @@ def fid2(spark, sf_dir):
     return D.wasserstein(V.table(spark, sf_dir, "events").select("value", (F.col("event_id") % 2 == 0).alias("in_a")), "value", "in_a")
 
 
-@query("FID-1", "select place, avg(x) as mean, quantile_cont(x, 0.1) as p10, quantile_cont(x, 0.9) as p90 from (select i - 1 as place, embedding[i]::double as x from (select embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings where label < 5)) group by 1")
+@query("FID-1", """select side, place, avg(x) as mean, quantile_cont(x, 0.1) as p10, quantile_cont(x, 0.9) as p90 from (
+  select case when label < 5 then 'a' else 'b' end as side, i - 1 as place, embedding[i]::double as x from (select label, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings)) group by 1, 2""")
 def fid1(spark, sf_dir):
-    e = V.table(spark, sf_dir, "embeddings").where("label < 5").select(F.posexplode(F.col("embedding").cast("array<double>")).alias("place", "x"))
-    return e.groupBy("place").agg(F.avg("x").alias("mean"), F.percentile("x", 0.1).alias("p10"), F.percentile("x", 0.9).alias("p90"))
+    side = F.when(F.col("label") < 5, "a").otherwise("b")
+    e = V.table(spark, sf_dir, "embeddings").select(side.alias("side"), F.posexplode(F.col("embedding").cast("array<double>")).alias("place", "x"))
+    return e.groupBy("side", "place").agg(F.avg("x").alias("mean"), F.percentile("x", 0.1).alias("p10"), F.percentile("x", 0.9).alias("p90"))
 
 
 @query("FID-3", "select event_type as metric, min(p10) as p10, max(p90) as p90 from (select event_type, user_id % 4 as report, quantile_cont(value, 0.1) as p10, quantile_cont(value, 0.9) as p90 from events group by 1, 2) group by 1")

@@ -190,3 +190,34 @@ def test_append_once(spark, tmp_path):
     assert M.append_once(df, f"{tmp_path}/log", "pull") == 2
     assert M.append_once(df.union(spark.createDataFrame([(3, "c")], df.schema)), f"{tmp_path}/log", "pull") == 1
     assert spark.read.parquet(f"{tmp_path}/log").count() == 3
+
+
+def test_exact_sample_at_every_size(spark, monkeypatch):
+    from cliploom.operators import splits
+
+    df = spark.range(3000).withColumnRenamed("id", "row_idx").union(spark.createDataFrame([(5,)] * 40, "row_idx long"))
+    hashed = splits.order_key("s", F.col("row_idx"))
+    ordered = [r.row_idx for r in df.orderBy(hashed, "row_idx").collect()]
+    for edge in (0, 2, 100_000):
+        monkeypatch.setattr(splits, "EDGE", edge)
+        for n in (0, 1, 37, 1500, 3039, 3040, 5000):
+            assert sorted(r.row_idx for r in splits.exact_sample(df, n, "s", "row_idx").collect()) == sorted(ordered[:n]), (edge, n)
+    assert splits.exact_sample(df.limit(0), 5, "s", "row_idx").count() == 0
+
+
+def test_long_texts_align_like_a_whole_table():
+    rnd = random.Random(4)
+    for _ in range(20):
+        a = rnd.choices("abcdefgh", k=rnd.randrange(150, 250))
+        b = [x for x in a if rnd.random() > 0.2]
+        for _ in range(30):
+            b.insert(rnd.randrange(len(b)), rnd.choice("abz"))
+        h, s, d, i = wer.align(a, b)
+        row = list(range(len(b) + 1))
+        for x in a:
+            last, row = row, [row[0] + 1]
+            for j, y in enumerate(b):
+                row.append(min(last[j] + (x != y), last[j + 1] + 1, row[j] + 1))
+        assert (s + d + i, h + s + d, h + s + i) == (row[-1], len(a), len(b))
+    n = 20_000
+    assert wer.align(["a"] * n, ["a"] * (n - 5)) == (n - 5, 0, 5, 0)
