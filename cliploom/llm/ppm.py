@@ -40,13 +40,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import forget, map_arrow, slices, with_columns, written
+from cliploom.llm.common import forget, give_back, map_arrow, slices, with_columns, written
 from cliploom.llm.neardup import WordHashes
 
 ORDER = 5
 MAX_NODES = 1 << 19
 MAX_WORDS = 1 << 20
-MAX_CODES = 1 << 22
+MAX_CODES = 1 << 21
 FLUSH = 1_000_000
 GRAM, WORD = 0, 1
 
@@ -229,8 +229,10 @@ def build_words(counts: DataFrame) -> tuple[Words, DataFrame]:
     words = counts.where(F.col("kind") == WORD).select("key", "n")
     tokens, distinct = words.agg(F.sum("n"), F.count(F.lit(1))).first()
     often = F.col("n") * MAX_WORDS >= F.lit(tokens or 0)
-    rows = words.where(often).toPandas().sort_values("key")
-    return Words(rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), tokens or 0, distinct), words.where(~often)
+    rows = words.where(often).toArrow()
+    key, n = (rows.column(c).to_numpy() for c in ("key", "n"))
+    order = np.argsort(key, kind="stable")
+    return Words(key[order], n[order], tokens or 0, distinct), words.where(~often)
 
 
 def mask(column: str, length: int) -> Column:
@@ -283,8 +285,13 @@ def build_strings(counts: DataFrame) -> Strings:
     codes = written(codes.select("code", "n", (F.log10("n") - F.col("log_all")).alias("log")), "codes")
     root = contexts[0].first()
     total, known = (root["total"], root["q"]) if root else (0, 0)
-    rows = codes.where(F.col("n") * MAX_CODES >= F.lit(total)).select("code", "log").toPandas().sort_values("code")
-    return Strings(nodes, contexts, codes, rows["code"].to_numpy(np.int64), rows["log"].to_numpy(np.float64), -float(np.log10(256 - known)) if known < 256 else 0.0)
+    rows = codes.where(F.col("n") * MAX_CODES >= F.lit(total)).select("code", "log").toArrow()
+    often, logs = (rows.column(c).to_numpy() for c in ("code", "log"))
+    order = np.argsort(often, kind="stable")
+    often, logs = often[order], logs[order]
+    del rows, order
+    give_back()
+    return Strings(nodes, contexts, codes, often, logs, -float(np.log10(256 - known)) if known < 256 else 0.0)
 
 
 def unseen_logs(strings: Strings, wanted: DataFrame) -> DataFrame:
