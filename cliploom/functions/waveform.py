@@ -99,7 +99,7 @@ def to_mono_rate(x: np.ndarray, rate: int, target: int = 16_000, taps: int = 32)
     """Windowed-sinc resampling of mono samples."""
     if rate == target or not len(x):
         return np.asarray(x, np.float32)
-    at = np.arange(int(len(x) * target / rate)) * rate / target
+    at = np.arange(-(-len(x) * target // rate)) * rate / target
     cut = min(1.0, target / rate)
     base = np.floor(at).astype(int)[:, None] + np.arange(-taps, taps + 1)
     t = at[:, None] - base
@@ -108,12 +108,29 @@ def to_mono_rate(x: np.ndarray, rate: int, target: int = 16_000, taps: int = 32)
     return (kernel * np.where(inside, np.asarray(x, float)[np.clip(base, 0, len(x) - 1)], 0)).sum(1).astype(np.float32)
 
 
+def to_mono_16k(df: DataFrame, samples: str = "samples", rate: str = "sr", channels: str = "channels") -> DataFrame:
+    """df with samples at 16 kHz, and whether they were resampled and mixed from several channels; null samples stay."""
+
+    @F.pandas_udf("array<float>")
+    def run(x: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None else to_mono_rate(np.asarray(a, np.float32), int(b)) for a, b in zip(x, r, strict=True)], dtype=object)
+
+    known = F.col(samples).isNotNull()
+    flags = {"resampled": known & (F.col(rate) != 16_000), "mixed": known & (F.col(channels) > 1)}
+    return df.withColumns(flags).withColumn(samples, run(samples, rate)).withColumn(rate, F.when(known, F.lit(16_000)))
+
+
+#: Fixed values in dB: a clip whose levels lie closer is all speech; the least distance of strong and weak
+#: speech frames to the 20th percentile of levels, and the greatest to the 90th.
+FLAT, STRONG, WEAK = 6, (6, 15), (3, 20)
+
+
 def speech_mask(db: np.ndarray) -> np.ndarray:
     """Frames of speech: over the strong level, or over the weak one in a run that holds a strong frame; all of a flat clip."""
     low, high = np.percentile(db, [20, 90])
-    if high - low < 6:
+    if high - low < FLAT:
         return np.ones(len(db), bool)
-    strong, weak = db >= low + 0.6 * (high - low), db >= low + 0.35 * (high - low)
+    strong, weak = (db >= max(low + up, high - down) for up, down in (STRONG, WEAK))
     run = np.cumsum(np.diff(weak.astype(int), prepend=0) != 0)
     return weak & np.isin(run, np.unique(run[strong]))
 
@@ -233,3 +250,8 @@ def per_clip(f, kind: str):
         return samples.map(lambda x: None if x is None else f(np.asarray(x, float)))
 
     return run
+
+
+def active_share(x: np.ndarray, frame: int, hop: int) -> float:
+    """Share of speech frames."""
+    return float(speech_mask(10 * np.log10((frames(np.asarray(x, float), frame, hop) ** 2).mean(1) + 1e-20)).mean()) if len(x) else 0.0

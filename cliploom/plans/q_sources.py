@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from cliploom.functions import waveform as W
 from cliploom.functions.register import register_functions
+from cliploom.operators.ingest import ingest_clips
 from cliploom.plans import views as V
 from cliploom.plans.q_stats import place
 from cliploom.plans.registry import query
 from cliploom.sources import readers as R
+from cliploom.sources import writers as O
 
 
 @query("SRC-1", V.with_sql(V.ATC, select="select row_idx, text, kind, category from atc"))
@@ -55,6 +57,70 @@ def src5(spark, sf_dir):
     return R.read_rename_log(spark, path)
 
 
+def clip_files(spark, sf_dir, plain=False):
+    """A folder of a WAV file for each vector: some unreadable, empty, all alike or silent; pairs share a base name."""
+    path, i = place(spark, "clips"), F.col("vec_id")
+    v = V.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    scale = F.when(i % 29 == 0, 0.01).otherwise(1.0)
+    pcm = F.transform("embedding", lambda x: F.greatest(F.lit(-32768), F.least(F.lit(32767), F.floor(x.cast("double") * scale * 32768 + 0.5))).cast("int"))
+    pcm = F.when(i % 50 == 0, F.array().cast("array<int>")).when(i % 25 == 0, F.transform("embedding", lambda x: F.lit(3000))).otherwise(pcm)
+    half = F.floor(i / 2).cast("string")
+    name = F.concat(F.lit("d"), (i % 2).cast("string"), F.lit("/ST"), (F.floor(i / 2) % 4).cast("string"), F.lit("_20240101_"), F.lpad(half, 6, "0"), F.lit(".wav"))
+    rate, channels = (F.lit(16000), F.lit(1)) if plain else (F.when(i % 3 == 0, 8000).otherwise(16000), 1 + i % 2)
+    content = F.when(i % 37 == 0, F.lit("no clip").cast("binary")).otherwise(O.wav_bytes(pcm, rate, channels))
+    O.write_files(v.select(name.alias("name"), content.alias("content")), path)
+    return path
+
+
+WAVS = """
+scaled as (select vec_id, embedding, case when vec_id % 29 = 0 then 0.01 else 1.0 end::double as scale from embeddings),
+wavs as (select vec_id, 1 + vec_id % 2 as channels, case when vec_id % 3 = 0 then 8000 else 16000 end as sr, 'ST' || ((vec_id // 2) % 4) as station,
+  'ST' || ((vec_id // 2) % 4) || '_20240101_' || lpad((vec_id // 2)::varchar, 6, '0') as stem, 'd' || (vec_id % 2) as folder,
+  case when vec_id % 50 = 0 then []::int[] when vec_id % 25 = 0 then list_transform(embedding, lambda x: 3000::int)
+    else list_transform(embedding, lambda x: greatest(-32768, least(32767, floor(x::double * scale * 32768 + 0.5)))::int) end as pcm,
+  case when vec_id % 37 = 0 then 'unreadable' when vec_id % 50 = 0 then 'zero_length' end as problem from scaled)"""
+
+
+def clip_name(c):
+    return F.regexp_extract(c, r"([^/]*/[^/]*)$", 1).alias("clip")
+
+
+#: Sums of samples in units of 1 / 65536, which are whole also where two channels are mixed.
+@query("SRC-6", V.with_sql(WAVS, select="""select folder || '/' || stem || '.wav' as clip, problem, case when problem is null or problem <> 'unreadable' then sr end as sr,
+  case when problem is null or problem <> 'unreadable' then channels end as channels, case when problem is null then len(pcm) // channels end as n,
+  case when problem is null then list_sum(pcm)::bigint * 2 // channels end as total from wavs"""))
+def src6(spark, sf_dir):
+    c = R.read_clips(spark, clip_files(spark, sf_dir))
+    x = F.when(F.col("problem").isNull(), F.col("samples"))
+    total = F.round(F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double")) * 65536).cast("long")
+    return c.select(clip_name("path"), "problem", "sr", "channels", F.size(x).alias("n"), total.alias("total"))
+
+
+#: Of clips at 8 kHz every other sample at 16 kHz is one of theirs.
+@query("WAV-1", V.with_sql(WAVS, select="""select folder || '/' || stem || '.wav' as clip, sr = 8000 as resampled, channels = 2 as mixed, (len(pcm) // channels) * (16000 // sr) as n,
+  list_sum(pcm)::bigint * 2 // channels as total from wavs where problem is null"""))
+def wav1(spark, sf_dir):
+    c = W.to_mono_16k(R.read_clips(spark, clip_files(spark, sf_dir)).where("problem is null"))
+    own = F.filter("samples", lambda v, i: ~F.col("resampled") | (i % 2 == 0))
+    total = F.round(F.aggregate(own, F.lit(0.0), lambda a, v: a + v.cast("double")) * 65536).cast("long")
+    return c.select(clip_name("path"), "resampled", "mixed", F.size("samples").alias("n"), total.alias("total"))
+
+
+@query("WAV-5", V.with_sql(WAVS, f"""
+firsts as (select *, row_number() over (partition by problem, pcm order by folder, stem) as copy, list_max(list_transform(pcm, lambda x: abs(x))) as top from wavs),
+judged as (select *, coalesce(problem, case when copy > 1 then 'duplicate' when top / 32768.0 < 0.015 then 'silence_only' end) as reason from firsts),
+named as (select folder, stem, stem || case when row_number() over w > 1 then '_' || row_number() over w else '' end as clip_id, station from judged where reason is null window w as (partition by stem order by folder)),
+split as (select *, row_number() over (partition by station order by {V.order('ingest', 'clip_id')}, clip_id) as r, count(*) over (partition by station) as many from named)""",
+  select="""select folder || '/' || stem || '.wav' as clip, station, reason, clip_id,
+  case when reason is null then top end as top, case when reason is null then 0.004::double end as duration,
+  case when clip_id is null then null when r <= case when many > 1 then least(greatest(round_even(many * 0.15, 0), 1), many - 1) else 0 end then 'holdout' else 'train' end as split
+  from judged left join (select folder, stem, clip_id, r, many from split) using (folder, stem)"""))
+def wav5(spark, sf_dir):
+    c = ingest_clips(R.read_clips(spark, clip_files(spark, sf_dir, plain=True)), place(spark, "ingested"))
+    top = F.round(F.col("peak") * 32768).cast("long")
+    return c.select(clip_name("path"), "station", "reason", "clip_id", top.alias("top"), "duration", "split")
+
+
 def clips64(spark, sf_dir):
     return V.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("samples"), F.lit(64).alias("sr"))
 
@@ -82,9 +148,10 @@ def wav10(spark, sf_dir):
     return clips64(spark, sf_dir).select("vec_id", start("samples").alias("start"))
 
 
-@query("WAV-11", "select vec_id, 96 as n from embeddings")
+@query("WAV-11", "select vec_id, 96 as n, embedding[63]::double as next, embedding[32]::double as last from embeddings")
 def wav11(spark, sf_dir):
-    return clips64(spark, sf_dir).select("vec_id", F.size(W.per_clip(lambda x: W.padded(x, 96), "array<double>")("samples")).alias("n"))
+    c = clips64(spark, sf_dir).select("vec_id", W.per_clip(lambda x: W.padded(x, 96), "array<double>")("samples").alias("x"))
+    return c.select("vec_id", F.size("x").alias("n"), F.element_at("x", 65).alias("next"), F.element_at("x", 96).alias("last"))
 
 
 @query("WAV-13", None)

@@ -96,30 +96,40 @@ def read_split(df: DataFrame, name: str, registry: dict[str, tuple[int, int | No
     return df.where(own if stop is None else own & (F.col(index) < stop))
 
 
-CLIP = "path string, sr int, samples array<float>, problem string"
+CLIP = "path string, channels int, sr int, samples array<float>, problem string"
+#: Clips whose samples a task holds at once.
+TOGETHER = 64
+
+
+def _pcm(raw: bytes, width: int) -> np.ndarray:
+    """Little-endian samples of 1 to 4 bytes as shares of the full range."""
+    if width == 1:
+        return (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
+    parts = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    wide = np.zeros((len(parts), 4), np.uint8)
+    wide[:, 4 - width :] = parts
+    return (wide.view("<i4")[:, 0] / 2147483648).astype(np.float32)
+
+
+def _clip(path: str, content: bytes) -> tuple:
+    try:
+        with wave.open(io.BytesIO(content)) as w:
+            width, channels, rate, raw = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.readframes(w.getnframes())
+        x = _pcm(raw, width).reshape(-1, channels).mean(axis=1, dtype=np.float32)
+        return path, channels, rate, x, None if len(x) else "zero_length"
+    except (wave.Error, EOFError, ValueError):
+        return path, None, None, None, "unreadable"
 
 
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = []
-        for path, content in zip(pdf["path"], pdf["content"], strict=True):
-            try:
-                with wave.open(io.BytesIO(content)) as w:
-                    width, channels, rate, raw = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.readframes(w.getnframes())
-                if width == 2:
-                    x = np.frombuffer(raw, "<i2").astype(np.float32) / 32768
-                elif width == 1:
-                    x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
-                else:
-                    x = np.frombuffer(raw, "<i4").astype(np.float32) / 2147483648
-                x = x.reshape(-1, channels).mean(axis=1, dtype=np.float32)
-                rows.append((path, rate, x, None if len(x) else "zero_length"))
-            except (wave.Error, EOFError, ValueError):
-                rows.append((path, None, None, "unreadable"))
-        yield pd.DataFrame(rows, columns=["path", "sr", "samples", "problem"])
-
-
-def read_clips(spark: SparkSession, path: str, batch: int = 64) -> DataFrame:
-    """path, sr, samples (mono) and problem of WAV files."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").mapInPandas(_decode, CLIP)
+        for i in range(0, len(pdf), TOGETHER):
+            part = pdf.iloc[i : i + TOGETHER]
+            out = pd.DataFrame([_clip(*x) for x in zip(part["path"], part["content"], strict=True)], columns=["path", "channels", "sr", "samples", "problem"])
+            yield out.astype({"channels": "Int32", "sr": "Int32"})
+
+
+def read_clips(spark: SparkSession, path: str) -> DataFrame:
+    """path, channels, sr, samples (mono) and problem (unreadable, zero_length or null) of WAV files; Spark passes over files without a byte."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "content").mapInPandas(_decode, CLIP)

@@ -1,9 +1,17 @@
-"""Writers of manifests, corpus CSV files and shards."""
+"""Writers of manifests, corpus CSV files, shards and clip files."""
 
 from __future__ import annotations
 
+import io
+import re
+import wave
+
+import numpy as np
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 
 def write_manifest(df: DataFrame, path: str, kind: str = "json") -> None:
@@ -32,3 +40,36 @@ def with_shard(df: DataFrame, n: int, index: str = "row_idx") -> DataFrame:
 def write_shards(df: DataFrame, n: int, path: str, index: str = "row_idx") -> None:
     """Row i goes to shard i mod n."""
     with_shard(df, n, index).write.partitionBy("shard").json(path)
+
+
+@F.pandas_udf(BinaryType())
+def wav_bytes(pcm: pd.Series, rate: pd.Series, channels: pd.Series) -> pd.Series:
+    """A WAV file of 16-bit samples, those of a frame side by side."""
+
+    def one(x, r, c) -> bytes:
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(int(c))
+            w.setsampwidth(2)
+            w.setframerate(int(r))
+            w.writeframes(np.asarray(x, "<i2").tobytes())
+        return out.getvalue()
+
+    return pd.Series([one(*x) for x in zip(pcm, rate, channels, strict=True)])
+
+
+def write_files(df: DataFrame, path: str) -> None:
+    """A file below path for each row of name and content; a task that runs again writes the same files."""
+    root = re.sub(r"^(file:)?/+", "file:///", path)
+
+    def run(batches):
+        fs, at = pyarrow.fs.FileSystem.from_uri(root)
+        for pdf in batches:
+            for folder in {n.rpartition("/")[0] for n in pdf["name"]}:
+                fs.create_dir(f"{at}/{folder}", recursive=True)
+            for name, content in zip(pdf["name"], pdf["content"], strict=True):
+                with fs.open_output_stream(f"{at}/{name}") as f:
+                    f.write(content)
+            yield pdf[["name"]]
+
+    df.select("name", "content").mapInPandas(run, "name string").write.format("noop").mode("overwrite").save()

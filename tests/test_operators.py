@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cliploom.functions import entities as E
 from cliploom.functions import text as T
 from cliploom.functions import waveform as W
+from cliploom.operators.ingest import ingest_clips
 from cliploom.operators import gate as G
 from cliploom.operators import sampling as P
 from cliploom.operators import splits as S
@@ -221,3 +222,30 @@ def test_long_texts_align_like_a_whole_table():
         assert (s + d + i, h + s + d, h + s + i) == (row[-1], len(a), len(b))
     n = 20_000
     assert wer.align(["a"] * n, ["a"] * (n - 5)) == (n - 5, 0, 5, 0)
+
+
+def test_ingested_clips(spark, tmp_path):
+    def wav(name: str, x, rate: int, width: int) -> None:
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        with wave.open(str(tmp_path / "in" / name), "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(width)
+            w.setframerate(rate)
+            wide = np.round(np.asarray(x) * 2147483647).astype("<i4").view(np.uint8).reshape(-1, 4)
+            w.writeframes(wide[:, 4 - width :].tobytes())
+
+    tone = 0.5 * np.sin(2 * np.pi * 440 * np.arange(4000) / 8000)
+    wav("a/ST1_20240101_000000.wav", tone, 8000, 3)
+    wav("b/ST1_20240101_000000.wav", tone, 16000, 4)
+    wav("b/again.wav", tone, 16000, 4)
+    wav("b/quiet.wav", tone / 100, 16000, 2)
+    wav("c/empty.wav", [], 16000, 2)
+    (tmp_path / "in" / "c" / "broken.wav").write_bytes(b"no clip")
+    clips = R.read_clips(spark, str(tmp_path / "in"))
+    assert np.abs(np.array(next(r.samples for r in clips.collect() if "/a/" in r.path)) - tone).max() < 1e-6
+    rows = {r.path.split("/in/")[1]: r for r in ingest_clips(clips, str(tmp_path / "out")).collect()}
+    assert {k: r.reason for k, r in rows.items() if r.reason} == {"b/again.wav": "duplicate", "b/quiet.wav": "silence_only", "c/empty.wav": "zero_length", "c/broken.wav": "unreadable"}
+    a, b = rows["a/ST1_20240101_000000.wav"], rows["b/ST1_20240101_000000.wav"]
+    assert (a.clip_id, b.clip_id) == ("ST1_20240101_000000", "ST1_20240101_000000_2") and {a.split, b.split} == {"train", "holdout"}
+    assert (a.duration, b.duration, a.station) == (0.5, 0.25, "ST1") and abs(b.rms_db + 9.031) < 0.01
+    assert ingest_clips(clips.where("path is null"), str(tmp_path / "none")).count() == 0
