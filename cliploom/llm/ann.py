@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from cliploom.llm.common import map_arrow, written
 
-TABLES, PROBES, CELL = 8, 48, 2048
+TABLES, PROBES, CELL = 8, 28, 2048
 
 
 def hadamard(y: np.ndarray) -> np.ndarray:
