@@ -6,17 +6,17 @@ smallest hashes. Inverted lists of retained values give candidate pairs, the
 union sketch estimates their similarity, and the exact Jaccard value of the full
 sets decides.
 
-No list is cut. Two sets of the wanted similarity share at least MIN_SHARE of
-their sketches: always when the sketch is the whole set; else the bound lies five
-standard deviations below the mean at SKETCH = 64, so that about two links in a
-million, of documents of over 64 shingles, may be missed. So each document enters only
+No list is cut. Two sets of the wanted similarity share at least least_share() of
+their sketches: always when the sketch is the whole set; else the bound lies DEVIATIONS
+standard deviations below the mean, so that about two links in ten thousand millions
+(at 80 %), of documents of over 64 shingles, may be missed. So each document enters only
 the lists of its rarest values, as many as that bound requires. Pairs of lists of up to
 SMALL members are compared directly. Documents of longer lists are looked at again
 with their full sets: lists of their rarest shingles by the exact bound, members held
 against one hub of each list (one with few rarer shingles), which joins large groups
 of copies in rows in proportion to their size, and then every pair of a list that
 still lies in two components, but for those whose rarer shingles, which they don't
-share, already make them too different; this second look misses no link.
+share, already make them too different; its lists and bounds are exact.
 
 Defined results: a text without words, or null, has an empty set and is linked
 with nothing; rows with one id are one document (of its smallest set digest);
@@ -26,6 +26,7 @@ rows with a null id are left out; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +37,18 @@ from pyspark.sql import functions as F
 from cliploom.llm.common import forget, list_array, map_arrow, slices, written
 
 SKETCH = 64
-MIN_SHARE = 0.55
+DEVIATIONS = 7
 SMALL = 32
 HUB_ROUNDS = 2
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
+def least_share(percent: int) -> float:
+    """The share of a sketch that two sets of this similarity have in common, but for chances of DEVIATIONS."""
+    p = percent / 100
+    return max(1 / SKETCH, p - DEVIATIONS * math.sqrt(p * (1 - p) / SKETCH))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads the bits of each 64-bit number."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -131,7 +138,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     twice = low[1:] == low[:-1]
     union = np.concatenate([low[:1], low[1:][~twice]])
     k = min(SKETCH, len(union))
-    if (low[1:][twice] <= union[k - 1]).sum() < MIN_SHARE * k:
+    if (low[1:][twice] <= union[k - 1]).sum() < least_share(percent) * k:
         return False
     common = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * common >= percent * (len(a) + len(b) - common)
@@ -244,7 +251,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str =
     one = written(one, "classes")
     rep = one.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("rep"))
     reps = slim.join(rep, (slim.id == rep.rep) & (slim.digest == rep.digest)).select("id", "n_shingles", "sketch").dropDuplicates(["id"])
-    lists = written(rarest(reps.select("id", F.col("n_shingles").alias("n"), F.col("sketch").alias("values")), MIN_SHARE * F.col("s")), "lists")
+    lists = written(rarest(reps.select("id", F.col("n_shingles").alias("n"), F.col("sketch").alias("values")), least_share(percent) * F.col("s")), "lists")
     label = one.join(rep, "digest", "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep"))
     if not lists.isEmpty():
         ids = lists.select("id").distinct()
