@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import map_arrow, ragged, slices, with_columns
+from cliploom.llm.common import give_back, map_arrow, ragged, slices, with_columns
 
 WINDOW, STRIDE = 32, 16
 PART = 64
@@ -83,8 +83,15 @@ def split(text: str) -> list[bytes]:
     return words if max(map(len, words), default=0) <= PART else [p for w in words for p in parts(w)]
 
 
-def grams(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+def grams(words: list[str], buckets: int = BUCKETS, each: int = 5_000) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the byte n-grams of 2 to 6 of each word, with marks at both ends, and how many each word has."""
+    made = [grams_at_once(words[i : i + each], buckets) for i in range(0, len(words), each)]  # a part at a time holds less
+    if not made:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    return np.concatenate([x for x, _ in made]), np.concatenate([n for _, n in made])
+
+
+def grams_at_once(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     raw = [b"<" + w.encode("utf-8", "replace") + b">" for w in words]
     size = np.array([len(w) for w in raw])
     data = np.frombuffer(b"".join(raw) + bytes(6), np.uint8).astype(np.uint32)
@@ -479,7 +486,9 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 800, max_clean: i
     texts, toxic = training_sample(docs, labels, max_toxic, max_clean, key, text, label)
     if not toxic.any() or toxic.all():
         raise ValueError("labelled texts of both kinds are needed")
-    return fit(texts, toxic)
+    made = fit(texts, toxic)
+    give_back()
+    return made
 
 
 def score(df: DataFrame, network: Network, text: str = "text", to: str = "score", threshold: float = 0.7) -> DataFrame:
