@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -85,7 +86,8 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
 
 
 #: Letters with punctuation behind them, perhaps; each of the two parts is one piece of the tokenizer.
-SIMPLE = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u017f]+)([.,!?;:%&#*$|]*)")
+#: Not U+0130: its lower form ends with a mark that joins the punctuation.
+SIMPLE = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u017f]+)([.,!?;:%&#*$|]*)")
 #: Strings that the tokenizer reads as one id wherever they stand, in this case of letters alone.
 SPECIAL = re.compile(rb"(<\|(?:start|end)oftext\|>)")
 
@@ -192,8 +194,11 @@ def windows(df: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, key
     return map_arrow(df, [key, text], run, "start long, length long, doc_tokens long, ids binary", without=[text])
 
 
-def place(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
-    """pieces (with length from 1 to capacity) and each one's sequence_id and offset."""
+def place(pieces: DataFrame, capacity: int = 4096, fit: Callable = best_fit) -> DataFrame:
+    """pieces (with length from 1 to capacity) and each one's sequence_id and offset.
+
+    fit places the lengths of a shard, longest first: windows and offsets of a capacity.
+    """
     numbered = written(pieces.withColumn("__piece", F.monotonically_increasing_id()), "pieces")
     shards = max(1, -(-numbered.count() // SHARD_PIECES))
     dealt = numbered.withColumn("__shard", F.pmod(F.xxhash64("__piece"), F.lit(shards)))
@@ -202,7 +207,7 @@ def place(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "__piece"], ascending=[False, True])
-        window, offset = best_fit(pdf["length"].tolist(), capacity)
+        window, offset = fit(pdf["length"].tolist(), capacity)
         pdf["sequence_id"] = (int(pdf["__shard"].iloc[0]) << 32) + np.array(window, np.int64)
         pdf["offset"] = np.array(offset, np.int64)
         return pdf[names]
