@@ -2,15 +2,17 @@
 
 A is a byte-level BPE of the tokenizers library, read over a space and the text;
 B is a sentencepiece model, read over the text, to which it adds the space. Spans
-of both libraries are coarse cuts: A's character offsets, turned into bytes, and
-B's proto spans. Where they are too coarse (tokens that share a character, byte
-fallback) the lengths of the decoded tokens refine them, from the last sure cut on.
+of both libraries, in characters, are coarse cuts in bytes. (The installed release of
+sentencepiece has no immutable proto any more; its offset mapping has the same spans.)
+Where they are too coarse (tokens that share a character, byte fallback) the lengths
+of the decoded tokens refine them, from the last sure cut on.
 A link is a pair of tokens whose byte ranges overlap; between two neighbouring
 cuts of either tokenizer lies exactly one link.
 
 Texts are read in chunks that begin at a space behind a character which isn't
 white space: neither tokenizer joins across it, so each distinct chunk is aligned
-once and texts are put together from chunks.
+once and texts are put together from chunks. For the same reason new chunks are
+tokenized many in one text.
 
 Defined results: null and empty texts, and texts whose joined token bytes differ
 from space and text (those with U+2581, for instance), have no tokens: counts of
@@ -36,15 +38,35 @@ from cliploom.llm.common import list_array, map_arrow, ragged, slices, unused, w
 HOT_PAIRS = 1 << 18
 #: Chunks and bytes of chunks that a worker remembers.
 MOST_CHUNKS, MOST_BYTES = 300_000, 16_000_000
+#: New chunks that are tokenized in one text.
+TOGETHER = 500
 
 CHUNK = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*")
 COMMA, BAR, SEMICOLON = b",|;"
+#: What stands for a space in B's pieces.
+SPACE = "\u2581"
 
 
 
 
+def flattened(made: list[tuple[list, list]], parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, and a row of two places for each: spans within the parts turned into those within the joined parts."""
+    count = np.array([len(ids) for ids, _ in made], np.int64)
+    total = int(count.sum())
+    ids = np.fromiter(itertools.chain.from_iterable(ids for ids, _ in made), np.int64, total)
+    places = itertools.chain.from_iterable(itertools.chain.from_iterable(spans for _, spans in made))
+    span = np.fromiter(places, np.int64, 2 * total).reshape(-1, 2)
+    chars = np.array([len(x) for x in parts], np.int64)
+    return ids, span + np.repeat(np.cumsum(chars) - chars, count)[:, None]
+
+
+def byte_places(data: np.ndarray) -> np.ndarray:
+    """The byte where each character begins, and the end."""
+    return np.append(np.nonzero((data & 0xC0) != 0x80)[0], len(data))
+
+
 class Tokens:
-    """Ids of chunks by one tokenizer, with the byte ends of all tokens in the joined chunks."""
+    """Ids of texts by one tokenizer, with the byte ends of all tokens in the joined texts."""
 
     def __init__(self, names: list[bytes]):
         self.size = np.array([len(x) for x in names], np.int64)
@@ -90,19 +112,11 @@ class ByteLevel(Tokens):
             names[i] = bytes(letter[c] for c in w) if all(c in letter for c in w) else w.encode()
         super().__init__(names)
 
-    def __call__(self, chunks: list[str], data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        made = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
-        lists = [x.ids for x in made]
-        count = np.array([len(x) for x in lists], np.int64)
-        total = int(count.sum())
-        ids = np.fromiter(itertools.chain.from_iterable(lists), np.int64, total)
-        pairs = itertools.chain.from_iterable(itertools.chain.from_iterable(x.offsets for x in made))
-        span = np.fromiter(pairs, np.int64, 2 * total).reshape(-1, 2)
-        chars = np.array([len(x) for x in chunks], np.int64)
-        span += np.repeat(np.cumsum(chars) - chars, count)[:, None]
-        byte_of = np.append(np.nonzero((data & 0xC0) != 0x80)[0], len(data))
+    def __call__(self, parts: list[str], data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        made = self.tokenizer.encode_batch(parts, add_special_tokens=False)
+        ids, span = flattened([(x.ids, x.offsets) for x in made], parts)
         sure = np.append(span[1:, 0] >= span[:-1, 1], True)
-        return ids, count, self.refined(ids, byte_of[span[:, 1]], sure)
+        return ids, self.refined(ids, byte_places(data)[span[:, 1]], sure)
 
 
 class Pieces(Tokens):
@@ -115,19 +129,14 @@ class Pieces(Tokens):
         every = range(self.model.get_piece_size())
         self.byte = np.array([self.model.is_byte(i) for i in every])
         names = [self.model.id_to_piece(i) for i in every]
-        super().__init__([bytes([int(w[1:-1], 16)]) if b else w.replace("▁", " ").encode() for w, b in zip(names, self.byte, strict=True)])
-        self.space = self.model.piece_to_id("▁")
+        super().__init__([bytes([int(w[1:-1], 16)]) if b else w.replace(SPACE, " ").encode() for w, b in zip(names, self.byte, strict=True)])
+        self.space = self.model.piece_to_id(SPACE)
 
-    def __call__(self, chunks: list[str], data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        made = self.model.encode([x[1:] for x in chunks], return_type="proto", num_threads=1)
+    def __call__(self, parts: list[str], data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        made = self.model.encode([x[1:] for x in parts], return_type="offset_mapping", num_threads=1)
         # of an empty text the library makes no token, but a last single space is one
-        lists = [[(p.id, p.begin, p.end) for p in x.pieces] or [(self.space, 0, 0)] for x in made]
-        count = np.array([len(x) for x in lists], np.int64)
-        flat = itertools.chain.from_iterable(itertools.chain.from_iterable(lists))
-        ids, begin, end = np.fromiter(flat, np.int64, 3 * int(count.sum())).reshape(-1, 3).T
-        sizes = np.array([len(x.encode("utf-8", "replace")) for x in chunks], np.int64)
-        coarse = end + 1 + np.repeat(np.cumsum(sizes) - sizes, count)
-        return ids, count, self.refined(ids, coarse, (end > begin) | ~self.byte[ids])
+        ids, span = flattened([(x["ids"], x["offsets"]) if x["ids"] else ([self.space], [(0, 0)]) for x in made], parts)
+        return ids, self.refined(ids, byte_places(data)[span[:, 1] + 1], (span[:, 1] > span[:, 0]) | ~self.byte[ids])
 
 
 class Digits:
@@ -165,11 +174,17 @@ class Aligner:
         self.pair = np.zeros(0, np.int64)
 
     def _add(self, chunks: list[str]) -> None:
+        # behind white space, which only ends a text, and behind U+2581, which B reads as a space, another chunk would be joined
+        alone = [x for x in chunks if x[-1].isspace() or x[-1] == SPACE]
+        chunks = [x for x in chunks if not (x[-1].isspace() or x[-1] == SPACE)]
+        parts = ["".join(chunks[i : i + TOGETHER]) for i in range(0, len(chunks), TOGETHER)] + alone
+        chunks += alone
         raw = [x.encode("utf-8", "replace") for x in chunks]
         data = np.frombuffer(b"".join(raw), np.uint8)
         sizes = np.array([len(x) for x in raw], np.int64)
         ends = np.cumsum(sizes)
-        (a, n_a, end_a), (b, n_b, end_b) = self.a(chunks, data), self.b(chunks, data)
+        (a, end_a), (b, end_b) = self.a(parts, data), self.b(parts, data)
+        n_a, n_b = (np.diff(np.searchsorted(x, ends, "right"), prepend=0) for x in (end_a, end_b))
         good = self.a.spell(a, n_a, data, sizes) & self.b.spell(b, n_b, data, sizes)
         of_a, of_b = np.repeat(good, n_a), np.repeat(good, n_b)
         a, end_a, b, end_b = a[of_a], end_a[of_a], b[of_b], end_b[of_b]
