@@ -16,31 +16,35 @@ from __future__ import annotations
 
 import numpy as np
 
-NEVER = np.iinfo(np.int64).max
+NEVER = 1 << 40
 
 
 def sum_of_squares(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
     """Sequence and offset of each piece, in the order given; lengths are from 1 to capacity."""
-    gaps = np.zeros(capacity + 1, np.int64)  # how many open sequences have each gap; full and empty ones aren't counted
-    members: list[list[int]] = [[] for _ in range(capacity)]
+    members: list[list[int]] = [[] for _ in range(capacity)]  # open sequences by gap
+    # with c sequences of a gap, one less changes the sum by 1 - 2c, and one more by 1 + 2c; closed ones (gap 0) don't count
+    less = np.full(capacity, NEVER, np.int64)
+    more = np.ones(capacity, np.int64)
+    more[0] = 0
     sequences, offsets, n = [], [], 0
+
+    def count(gap: int) -> None:
+        c = len(members[gap])
+        less[gap], more[gap] = 1 - 2 * c if c else NEVER, 1 + 2 * c
+
     for length in lengths:
-        # a gap g becomes g - length: (c[g-length] + 1)^2 - c[g-length]^2 + (c[g] - 1)^2 - c[g]^2
-        source, target = gaps[length:capacity], gaps[: capacity - length]
-        change = 2 * (target - source) + 2
-        change[:1] -= 1  # a gap of 0 is not counted
-        change[source == 0] = NEVER
-        best = int(change.argmin()) if len(change) else 0
-        if len(change) and change[best] != NEVER:
-            gap = best + length
-            sequence = members[gap].pop()
-            gaps[gap] -= 1
-        else:
-            gap, sequence = capacity, n
-            n += 1
+        gap, sequence = capacity, n
+        if length < capacity:
+            change = less[length:] + more[: capacity - length]
+            best = int(change.argmin())
+            if change[best] < NEVER // 2:
+                gap = best + length
+                sequence = members[gap].pop()
+                count(gap)
+        n += gap == capacity
         sequences.append(sequence)
         offsets.append(capacity - gap)
         if gap > length:
             members[gap - length].append(sequence)
-            gaps[gap - length] += 1
+            count(gap - length)
     return sequences, offsets
