@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from cliploom.functions.draws import draw, order_key
-from cliploom.operators.sampling import category_distribution
+from cliploom.functions.entities import LETTERS, NO_WAYPOINT, NUMBERS, SCALES, SIGNS, SLOT, extract_entities
+from cliploom.functions.text import check_value
+from cliploom.operators.gate import unmatched
+from cliploom.operators.sampling import category_distribution, drawn, weight_bins, weighted_draw
 from cliploom.operators.splits import exact_sample
 
-RESERVED = ("audio", "duration", "gen", "lineage")
+#: Columns of a built manifest, which text records must not bring along.
+RESERVED = ("audio", "duration", "gen", "lineage", "text_display", "tier", "gate")
+DEFAULTS = {"role": "unknown", "kind": "external", "category": "routine"}
 
 
 def telephony_key(c: Column) -> Column:
@@ -27,18 +33,76 @@ def telephony_code(c: Column, known: dict[str, str]) -> Column:
     return F.coalesce(table[telephony_key(c)], F.upper(F.substring(telephony_key(c), 1, 3)))
 
 
-def validate_text_records(df: DataFrame) -> DataFrame:
-    """df with defaults filled in and problems: missing text, weight not positive, reserved or nested extra columns."""
+def entity_problem(slot: Column) -> Column:
+    """Why a slot of a label isn't legal; null for a legal one."""
+    return F.when(slot["type"].isNull() | slot["value"].isNull(), "incomplete").otherwise(check_value(slot["type"], slot["value"]))
+
+
+def validate_text_records(df: DataFrame, fail: bool = False) -> DataFrame:
+    """df with defaults filled in and problems: missing text, weight not positive, reserved or nested extra columns, slots that aren't legal.
+
+    With fail, reading a row with problems is an error that names them.
+    """
     nested = [n for n, t in df.dtypes if t.startswith(("array", "map", "struct")) and n != "entities"]
     reserved = [n for n in df.columns if n in RESERVED]
     weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in df.columns else F.lit(1.0)
     checks = [
         F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "no_text"),
-        F.when(weight <= 0, "weight"),
+        F.when(~(weight > 0) | F.isnan(weight), "weight"),
         *(F.when(F.col(n).isNotNull(), f"reserved_{n}") for n in reserved),
         *(F.when(F.col(n).isNotNull(), f"nested_{n}") for n in nested),
     ]
-    return df.withColumn("weight", weight).withColumn("problems", F.array_compact(F.array(*checks)))
+    problems = F.array_compact(F.array(*checks))
+    if "entities" in df.columns:
+        told = F.transform("entities", lambda e: F.concat_ws("_", F.lit("entity"), e["type"], entity_problem(e)))
+        wrong = F.filter(F.arrays_zip(told.alias("told"), F.transform("entities", entity_problem).alias("why")), lambda x: x["why"].isNotNull())
+        problems = F.concat(problems, F.coalesce(F.transform(wrong, lambda x: x["told"]), F.array().cast("array<string>")))
+    own = {n: F.coalesce(F.col(n), F.lit(v)) if n in df.columns else F.lit(v) for n, v in DEFAULTS.items()}
+    df = df.withColumns({**own, "weight": weight, "problems": problems})
+    if fail:
+        df = df.withColumn("problems", F.when(F.size("problems") > 0, F.raise_error(F.concat(F.lit("text record: "), F.array_join("problems", ", ")))).otherwise(F.col("problems")))
+    return df
+
+
+def validate_labels(df: DataFrame, airlines: dict[str, str], text: str = "text", label: str = "entities") -> DataFrame:
+    """df with problems (type, value, problem): what keeps the slots of a text from being its labels, by row.
+
+    A label's value isn't legal, or its spoken form isn't in the text; the text doesn't
+    give the label (lost), or gives a critical slot that no label has (unlabelled). Equal
+    slots are counted.
+    """
+    df = df.withColumns({"__said": extract_entities(airlines)(F.col(text)), "__label": F.coalesce(label, F.array().cast(SLOT))})
+    problem = lambda e, why: F.struct(e["type"], e["value"], why.alias("problem"))
+    silent = lambda e: (F.length(e["spoken"]) > 0) & ~F.coalesce(F.col(text).contains(e["spoken"]), F.lit(False))
+    own = F.transform("__label", lambda e: problem(e, F.coalesce(entity_problem(e), F.when(silent(e), "not_spoken"))))
+    lost = F.transform(unmatched(F.col("__label"), F.col("__said")), lambda e: problem(e, F.lit("lost")))
+    more = F.transform(F.filter(unmatched(F.col("__said"), F.col("__label")), lambda e: e["critical"]), lambda e: problem(e, F.lit("unlabelled")))
+    return df.withColumn("problems", F.concat(F.filter(own, lambda x: x["problem"].isNotNull()), lost, more)).drop("__said", "__label")
+
+
+def tallied(df: DataFrame, *entries: Column) -> DataFrame:
+    """part, value, n: counts of all entries that aren't null, in one pass."""
+    return df.select(F.inline(F.array_compact(F.array(*entries)))).groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def entry(part: str, value: Column, where: Column) -> Column:
+    return F.when(where, F.struct(F.lit(part).alias("part"), value.cast("string").alias("value")))
+
+
+def corpus_stats(clips: DataFrame) -> DataFrame:
+    """part, value, n of ingested clips (reason, resampled, mixed, station, split): kept, dropped by reason, and of kept ones resampled, mixed, per station, per split."""
+    kept = F.col("reason").isNull()
+    flags = [entry("kept", F.lit(n), kept & F.coalesce(F.col(n), F.lit(False))) for n in ("resampled", "mixed")]
+    groups = [entry(n, F.coalesce(F.col(n), F.lit("unknown")), kept) for n in ("station", "split")]
+    return tallied(clips, entry("kept", F.lit("all"), kept), entry("dropped", F.col("reason"), ~kept), *flags, *groups)
+
+
+def qc_tally(clips: DataFrame) -> DataFrame:
+    """part, value, n and rate of checked clips (reason, null for good ones): total, kept, discarded, and each reason."""
+    good = F.col("reason").isNull()
+    n = tallied(clips, entry("all", F.lit("total"), F.lit(True)), entry("all", F.when(good, "kept").otherwise("discarded"), F.lit(True)), entry("reason", F.col("reason"), ~good))
+    rows = n.where("value = 'total' and part = 'all'").select(F.col("n").alias("__rows"))
+    return n.crossJoin(F.broadcast(rows)).withColumn("rate", F.col("n") / F.col("__rows")).drop("__rows")
 
 
 def cohort_by_step(df: DataFrame, steps: str, primitive: str) -> DataFrame:
@@ -100,14 +164,10 @@ def pick_val_blocks(blocks: DataFrame, fraction: float, seed: str, group: str =
 
 def sample_quota(pool: DataFrame, n: int, quotas: dict[str, float], seed: str, item: str) -> DataFrame:
     """n draws with replacement: a category by its share, then an item by weight; draw counts from 0."""
-    shares = category_distribution(pool, quotas)
-    w = Window.orderBy("category")  # categories are few
-    edges = shares.withColumn("hi", F.sum("share").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("share").over(Window.partitionBy()))
-    asked = pool.sparkSession.range(n).withColumnRenamed("id", "draw").withColumns({"u": draw(seed, F.lit("c"), F.col("draw")), "v": draw(seed, F.lit("i"), F.col("draw"))})
-    chosen = asked.join(F.broadcast(edges), F.expr("u * total >= hi - share and u * total < hi")).select("draw", "category", "v")
-    own = Window.partitionBy("category")
-    items = pool.withColumns({"__hi": F.sum("weight").over(own.orderBy(item).rowsBetween(Window.unboundedPreceding, 0)), "__all": F.sum("weight").over(own)})
-    return chosen.join(items, "category").where("v * __all >= __hi - weight and v * __all < __hi").select("draw", "category", item)
+    shares = category_distribution(pool, quotas).withColumn("__one", F.lit(0))
+    asked = pool.sparkSession.range(n).select(F.col("id").alias("draw"), F.lit(0).alias("__one"), draw(seed, F.lit("c"), F.col("id")).alias("__u"))
+    chosen = drawn(asked, weight_bins(shares, "__one", "category", "share"), "__one").select("draw", "category")
+    return weighted_draw(chosen.withColumn("__i", F.concat(F.lit("i:"), F.col("draw").cast("string"))), pool, seed, "__i", "category", item).select("draw", "category", item)
 
 
 def synthetic_quotas(real: DataFrame, quotas: dict[str, float], total: int) -> DataFrame:
@@ -154,61 +214,124 @@ def top_deviations(trials: DataFrame, ranges: DataFrame, k: int, least: float =
     return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("trial", "rank", "knob", "move")
 
 
-def harvest_vocab(tokens: DataFrame, is_number: Callable[[Column], Column], least: int) -> DataFrame:
-    """phrase and n: the word, and the two words, before a number run, at least so often."""
-    t = F.col("tokens")
-    number = lambda i: is_number(F.get(t, i))
-    starts = F.filter(F.sequence(F.lit(1), F.size(t) - 1), lambda i: number(i) & ~number(i - 1))
-    grams = F.flatten(F.transform(starts, lambda i: F.array(F.get(t, i - 1), F.when((i >= 2) & ~number(i - 2), F.concat_ws(" ", F.get(t, i - 2), F.get(t, i - 1))))))
-    each = tokens.where(F.size(t) > 1).select(F.explode(F.array_compact(grams)).alias("phrase"))
-    return each.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+#: Words of facilities, words before a waypoint, and the default words that are no names.
+FACILITIES = ("radar", "approach", "tower", "ground", "apron", "control", "director", "delivery", "arrival", "departure", "information")
+ANCHORS = ("direct", "overhead", "abeam", "via")
+NO_NAME = tuple(sorted({w for w in SIGNS if w not in ANCHORS} | NO_WAYPOINT | set(NUMBERS) | set(LETTERS) | set(ANCHORS) | set(FACILITIES)))
+
 
+def harvest_vocab(df: DataFrame, least: int = 3, tokens: str = "tokens", no_name: Sequence[str] = NO_NAME) -> DataFrame:
+    """kind, phrase, n: names of airlines, stations and waypoints in token arrays, found at least so often.
 
-def prune_airlines(counts: DataFrame, places: list[str], known: list[str]) -> DataFrame:
-    """counts without place words, single words that are short or end in -ing, single words half of whose count is one pair, and tails of known names."""
+    Airline: the word, and the two words, before a run of two or more number words that
+    isn't a frequency (no decimal word behind it, no "contact" before the name). Station:
+    a word and the facility behind it, or a facility behind "contact". Waypoint: the word
+    behind an anchor, perhaps with "to" between. no_name are words that are no names.
+    """
+    t = F.col(tokens)
+    at = lambda i: F.get(t, i)  # noqa: E731  null outside of the array
+    number = lambda i: F.coalesce(at(i).isin(*NUMBERS) | at(i).rlike("^[0-9]+$"), F.lit(False))
+    name = lambda i: (i >= 0) & at(i).isNotNull() & ~at(i).isin(*no_name) & ~number(i)
+    entry = lambda kind, phrase, where: F.when(F.coalesce(where, F.lit(False)), F.struct(F.lit(kind).alias("kind"), phrase.alias("phrase")))
+    pair = lambda i: F.concat_ws(" ", at(i - 1), at(i))
+
+    def behind_run(i: Column) -> Column:
+        """The word behind the run of numbers that begins at i; an empty text at the end."""
+        rest = F.slice(t, i + 1, F.size(t))
+        first = F.array_position(F.transform(rest, lambda w: ~(w.isin(*NUMBERS) | w.rlike("^[0-9]+$"))), True)
+        return F.when(first > 0, F.get(rest, (first - 1).cast("int"))).otherwise("")
+
+    def found(word: Column, i: Column) -> Column:
+        starts = number(i) & ~number(i - 1) & ~word.isin(*SCALES) & number(i + 1) & ~behind_run(i).isin("decimal", "point")
+        airline = starts & name(i - 1) & ~F.coalesce((i >= 2) & (at(i - 2) == "contact"), F.lit(False))
+        long_name = F.length(at(i)) >= 4
+        return F.array_compact(
+            F.array(
+                entry("airline", at(i - 1), airline),
+                entry("airline", pair(i - 1), airline & name(i - 2)),
+                entry("station", pair(i), word.isin(*FACILITIES) & name(i - 1) & (F.length(at(i - 1)) >= 4)),
+                entry("station", word, word.isin(*FACILITIES) & (at(i - 1) == "contact")),
+                entry("waypoint", word, long_name & name(i) & ((at(i - 1).isin(*ANCHORS) & (word != "to")) | ((at(i - 1) == "to") & at(i - 2).isin(*ANCHORS)))),
+            )
+        )
+
+    each = df.select(F.explode(F.flatten(F.transform(t, found))).alias("x")).select("x.*")
+    each = each.where(F.col("phrase").rlike("^[a-z ]+$"))
+    return each.groupBy("kind", "phrase").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
+def prune_airlines(counts: DataFrame, places: Sequence[str], known: Sequence[str]) -> DataFrame:
+    """counts (phrase, n) without names that hold a place word, and of single words without short ones, those in -ing, those half of whose count is one pair, and ends of known names."""
     one = ~F.col("phrase").contains(" ")
-    x = counts.where(~F.col("phrase").isin(places) & ~(one & ((F.length("phrase") < 3) | F.col("phrase").endswith("ing"))))
-    pairs = counts.where(F.col("phrase").contains(" ")).select(F.col("phrase").alias("pair"), F.col("n").alias("pair_n"))
-    last = pairs.select(F.element_at(F.split("pair", " "), -1).alias("phrase"), "pair_n").groupBy("phrase").agg(F.max("pair_n").alias("pair_n"))
-    x = x.join(last, "phrase", "left").where(~(one & (F.coalesce("pair_n", F.lit(0)) >= F.col("n") / 2))).drop("pair_n")
-    tails = [" ".join(k.split()[i:]) for k in known for i in range(1, len(k.split()))]
-    return x.where(~F.col("phrase").isin(tails)) if tails else x
+    in_place = F.exists(F.split("phrase", " "), lambda w: w.isin(*places)) if places else F.lit(False)
+    ends = F.exists(F.array(*map(F.lit, known)), lambda k: k.endswith(F.col("phrase")) & (k != F.col("phrase"))) if known else F.lit(False)
+    x = counts.where(~in_place & ~(one & ((F.length("phrase") < 4) | F.col("phrase").endswith("ing") | ends)))
+    pairs = counts.where(~one).select(F.substring_index("phrase", " ", -1).alias("phrase"), F.col("n").alias("pair_n"))
+    last = pairs.groupBy("phrase").agg(F.max("pair_n").alias("pair_n"))
+    return x.join(last, "phrase", "left").where(~(one & (F.coalesce("pair_n", F.lit(0)) >= F.col("n") / 2))).drop("pair_n")
 
 
 def assign_codes(vocabulary: DataFrame, known: dict[str, str]) -> DataFrame:
-    """phrase, n, code: unique codes in descending count: known, else three letters, else two and the first free one. The counted vocabulary is small."""
+    """phrase, n, code: unique codes in descending count: known, else three letters, else two of them and the first free one (null if none is).
+
+    Only codes that share their first two letters can meet, so each such family, of
+    which there are 26 * 26, gets its codes in a task of its own.
+    """
+    letters = F.rpad(F.substring(F.upper(telephony_key(F.col("phrase"))), 1, 3), 3, "X")
+    own = F.create_map(*(F.lit(x) for p in known.items() for x in p))[F.col("phrase")] if known else F.lit(None).cast("string")
+    df = vocabulary.select("phrase", "n", own.alias("own"), F.coalesce(own, letters).alias("wish"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         used, codes = set(known.values()), []
         pdf = pdf.sort_values(["n", "phrase"], ascending=[False, True])
-        for p in pdf["phrase"]:
-            letters = "".join(c for c in p.upper() if c.isalpha()).ljust(3, "X")
-            options = [known[p]] if p in known else [letters[:3], *(letters[:2] + chr(65 + i) for i in range(26))]
-            code = next((c for c in options if p in known or c not in used), None)
+        for mine, wish in zip(pdf["own"], pdf["wish"], strict=True):
+            free = (c for c in [wish, *(wish[:2] + chr(65 + i) for i in range(26))] if c not in used)
+            code = mine if isinstance(mine, str) else next(free, None)
             used.add(code)
             codes.append(code)
         return pdf.assign(code=codes)[["phrase", "n", "code"]]
 
-    return vocabulary.groupBy().applyInPandas(run, "phrase string, n long, code string")
+    return df.groupBy(F.substring("wish", 1, 2)).applyInPandas(run, "phrase string, n long, code string")
 
 
 def transcribe_with(df: DataFrame, models: dict[str, Callable[[list], list[str]]], key: str, samples: str, batch: int = 8) -> DataFrame:
-    """key, teacher, hypothesis: user models from a list of waveforms to as many texts."""
+    """key, teacher, hypothesis and seconds (the share of the batch's model time): user models from a list of waveforms to as many texts."""
 
     def run(batches):
         for pdf in batches:
             for name, model in models.items():
-                texts = []
+                texts, seconds = [], []
                 for i in range(0, len(pdf), batch):
                     own = list(pdf[samples].iloc[i : i + batch])
+                    begin = time.perf_counter()
                     got = list(model(own))
+                    seconds += [(time.perf_counter() - begin) / len(own)] * len(own)
                     if len(got) != len(own):
                         raise ValueError(f"{name} gave {len(got)} texts for {len(own)} clips")
                     texts += got
-                yield pd.DataFrame({key: pdf[key], "teacher": name, "hypothesis": texts})
+                yield pd.DataFrame({key: pdf[key], "teacher": name, "hypothesis": texts, "seconds": seconds})
 
     kind = dict(df.dtypes)[key]
-    return df.select(key, samples).mapInPandas(run, f"{key} {kind}, teacher string, hypothesis string")
+    return df.select(key, samples).mapInPandas(run, f"{key} {kind}, teacher string, hypothesis string, seconds double")
+
+
+def with_throughput(transcribed: DataFrame, teachers: Sequence[str], name: str = "throughput") -> tuple[DataFrame, Observation]:
+    """The same rows, and an observation that holds clips_<teacher> and seconds_<teacher> once an action has run.
+
+    Failed tasks don't count. A stage that runs again for lost shuffle files may count
+    twice; teacher_throughput() of the written rows doesn't.
+    """
+    seen = Observation(name)
+    of = lambda t: F.col("teacher") == t
+    counts = [F.count_if(of(t)).alias(f"clips_{t}") for t in teachers]
+    sums = [F.coalesce(F.sum(F.when(of(t), F.col("seconds"))), F.lit(0.0)).alias(f"seconds_{t}") for t in teachers]
+    return transcribed.observe(seen, *counts, *sums), seen
+
+
+def teacher_throughput(transcribed: DataFrame) -> DataFrame:
+    """teacher, clips, seconds and clips a second."""
+    n = transcribed.groupBy("teacher").agg(F.count(F.lit(1)).alias("clips"), F.sum("seconds").alias("seconds"))
+    return n.withColumn("clips_per_second", F.try_divide("clips", "seconds"))
 
 
 def embed_with(df: DataFrame, model: Callable, key: str, samples: str) -> DataFrame:

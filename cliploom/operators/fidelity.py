@@ -8,29 +8,68 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliploom.functions.draws import order_key
+from cliploom.functions.waveform import CLIP_STATS
+from cliploom.operators.ranks import percentiles, ranked
+from cliploom.sources.shared import written
 
 
-def wasserstein(df: DataFrame, value: str, in_a: str) -> DataFrame:
-    """1-D distance of two sets in one table, by running counts over distinct values.
+def wasserstein(df: DataFrame, value: str, in_a: str, by: list[str] = ()) -> DataFrame:
+    """distance: of two sets in one table, along one axis, for each group of by.
 
-    Values are counted first, so the window runs over distinct values. It runs inside
-    ranges of values; the counts before a range come from the sums of the ranges.
+    Values are counted first; the shares of both sets up to a value come from running
+    sums over distinct values, which are exact for groups of any size.
     """
-    counts = df.groupBy(F.col(value).alias("x")).agg(F.count_if(in_a).alias("a"), F.count_if(~F.col(in_a)).alias("b"))
-    edges = df.stat.approxQuantile(value, [i / 64 for i in range(1, 64)], 0.001)
-    part = F.lit(0)
-    for e in sorted(set(edges)):
-        part = part + (F.col("x") >= e).cast("int")
-    counts = counts.withColumn("part", part)
-    sums = counts.groupBy("part").agg(F.sum("a").alias("pa"), F.sum("b").alias("pb"), F.min("x").alias("first"))
-    w = Window.orderBy("part")  # at most 64 rows
-    before = sums.select("part", (F.sum("pa").over(w) - F.col("pa")).alias("ba"), (F.sum("pb").over(w) - F.col("pb")).alias("bb"), F.lead("first").over(w).alias("then"), F.sum("pa").over(Window.partitionBy()).alias("na"), F.sum("pb").over(Window.partitionBy()).alias("nb"))
-    w = Window.partitionBy("part").orderBy("x")
-    run = counts.join(F.broadcast(before), "part").select(
-        (F.abs((F.sum("a").over(w) + F.col("ba")) / F.col("na") - (F.sum("b").over(w) + F.col("bb")) / F.col("nb"))).alias("gap"),
-        (F.coalesce(F.lead("x").over(w), F.col("then")) - F.col("x")).alias("step"),
+    by = list(by)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__x")).agg(F.count_if(in_a).alias("a"), F.count_if(~F.col(in_a)).alias("b"))
+    r = ranked(counts, by, F.col("__x"), [], ["a", "b"], previous=True)
+    gap = F.abs(F.expr("try_divide(upto_a - a, all_a) - try_divide(upto_b - b, all_b)"))  # null where a set is empty
+    step = F.when(F.col("previous").isNull(), gap * 0).otherwise(gap * (F.col("__x") - F.col("previous")))
+    own = r.select(*by, step.alias("step"))
+    return (own.groupBy(*by) if by else own).agg(F.sum("step").alias("distance"))
+
+
+def stats_long(clips: DataFrame, stats: str = "stats", keep: list[str] = ()) -> DataFrame:
+    """keep, stat, x: the seven clip statistics and the bands of the long-term spectrum of each clip that has any."""
+    own = [F.struct(F.lit(n).alias("stat"), F.col(f"{stats}.{n}").alias("x")) for n in CLIP_STATS]
+    bands = F.transform(f"{stats}.ltas_db", lambda x, i: F.struct(F.concat(F.lit("ltas_"), F.lpad(i.cast("string"), 2, "0")).alias("stat"), x.alias("x")))
+    return clips.where(F.col(f"{stats}.duration").isNotNull()).select(*keep, F.inline(F.concat(F.array(*own), bands)))
+
+
+def channel_set_stats(clips: DataFrame, by: list[str], stats: str = "stats") -> DataFrame:
+    """by, stat, n, mean, p10, p50, p90 of the seven clip statistics, and n and mean of each band of the spectrum (ltas_00 and so on)."""
+    long = stats_long(clips, stats, by)
+    is_band = F.col("stat").startswith("ltas_")
+    seven = percentiles(long.where(~is_band), "x", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, [*by, "stat"]).drop("max")
+    bands = long.where(is_band).groupBy(*by, "stat").agg(F.count("x").alias("n"), F.avg("x").alias("mean"))
+    return seven.unionByName(bands, allowMissingColumns=True)
+
+
+def compare_sets(clips: DataFrame, is_real: str, stats: str = "stats") -> DataFrame:
+    """A row for each clip statistic: distance of the two sets, normalized by the real p90 - p10, the other set's median, the real p10 and p90, and whether it lies within.
+
+    The row ltas has the mean absolute gap of the mean spectra as distance; the row all
+    tells whether all medians lie within. The long form is written, as it is read twice.
+    """
+    long = written(stats_long(clips, stats, [is_real]), "stats")
+    seven = long.where(~F.col("stat").startswith("ltas_"))
+    distances = wasserstein(seven, "x", is_real, ["stat"])
+    shares = percentiles(seven, "x", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, [is_real, "stat"])
+    of = lambda real, name: F.max(F.when(F.col(is_real) == real, F.col(name)))
+    shares = shares.groupBy("stat").agg(of(False, "p50").alias("p50"), of(True, "p10").alias("real_p10"), of(True, "p90").alias("real_p90"))
+    spread = F.col("real_p90") - F.col("real_p10")
+    rows = distances.join(shares, "stat").select(
+        "stat", "distance", F.when(spread > 0, F.col("distance") / spread).alias("normalized"), "p50", "real_p10", "real_p90", F.col("p50").between(F.col("real_p10"), F.col("real_p90")).alias("in_range")
     )
-    return run.agg(F.sum(F.col("gap") * F.col("step")).alias("distance"))
+    bands = long.where(F.col("stat").startswith("ltas_")).groupBy("stat").agg(*(F.avg(F.when(F.col(is_real) == r, F.col("x"))).alias(f"m{int(r)}") for r in (True, False)))
+    gap = bands.agg(F.lit("ltas").alias("stat"), F.avg(F.abs(F.col("m1") - F.col("m0"))).alias("distance"))
+    every = rows.agg(F.lit("all").alias("stat"), F.bool_and("in_range").alias("in_range"))
+    return rows.unionByName(gap, allowMissingColumns=True).unionByName(every, allowMissingColumns=True)
+
+
+def measure_envelope(df: DataFrame, metric: str, report: str, value: str) -> DataFrame:
+    """metric, p10, p90: the widest 10th and 90th percentiles over the reports."""
+    each = percentiles(df, value, {"p10": 0.1, "p90": 0.9}, [metric, report])
+    return each.groupBy(F.col(metric).alias("metric")).agg(F.min("p10").alias("p10"), F.max("p90").alias("p90"))
 
 
 def mean_arrays(df: DataFrame, column: str, by: list[str]) -> DataFrame:
@@ -106,8 +145,16 @@ def kid(df: DataFrame, vector: str, in_a: str, key: str, subsets: int = 20, size
 
 
 def validation_folds(blocks: DataFrame, least: int) -> DataFrame:
-    """blocks (block_id, n) with fold: a block of enough clips is a fold, the others are pooled."""
-    return blocks.withColumn("fold", F.when(F.col("n") >= least, F.col("block_id")).otherwise("pool"))
+    """blocks (block_id, n) with fold: a block of enough clips is a fold, the others are pooled.
+
+    A pool of one clip, which can't be compared, joins the fold of the first name;
+    without any fold all blocks are one pool.
+    """
+    big = F.col("n") >= least
+    whole = blocks.agg(F.sum(F.when(~big, F.col("n"))).alias("__pool"), F.min(F.when(big, F.col("block_id"))).alias("__first"))
+    df = blocks.crossJoin(F.broadcast(whole))
+    pool = F.when((F.col("__pool") == 1) & F.col("__first").isNotNull(), F.col("__first")).otherwise(F.lit("pool"))
+    return df.withColumn("fold", F.when(big, F.col("block_id")).otherwise(pool)).drop("__pool", "__first")
 
 
 def select_candidate(evals: DataFrame) -> DataFrame:

@@ -2,42 +2,109 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cliploom.functions.entities import extract_entities
+from cliploom.functions.text import normalize_atc, words
+from cliploom.operators.stats import distribution
+from cliploom.sources.shared import written
+
 GOLD, SILVER, CEILING, RECALL = 0.25, 0.50, 0.90, 0.5
 
 
-def numbered(slots: DataFrame, keys: list[str]) -> DataFrame:
-    """slots with k: the k-th occurrence of a key in its row."""
-    return slots.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("at")))
+#: Verdicts on a slot of the label.
+VERDICTS = ("verified", "substituted", "missed")
+
+
+def same_slot(a: Column, b: Column) -> Column:
+    return (a["type"] == b["type"]) & (a["value"] == b["value"])
+
+
+def times(slots: Column, slot: Column) -> Column:
+    return F.size(F.filter(slots, lambda x: same_slot(x, slot)))
+
+
+def first_of_each(slots: Column) -> Column:
+    """slots without those that repeat the type and value of an earlier one."""
+    return F.filter(slots, lambda x, i: times(F.slice(slots, F.lit(1), i), x) == 0)
+
 
+def unmatched(slots: Column, others: Column) -> Column:
+    """What is left of slots when the k-th of a type and value goes with the k-th among the others."""
+    return F.filter(slots, lambda x, i: times(F.slice(slots, F.lit(1), i), x) >= times(others, x))
 
-def verify_entities(ref: DataFrame, hyp: DataFrame) -> DataFrame:
-    """ref (row_idx, at, type, value, critical) with verdict.
 
-    hyp has row_idx, teacher, at, type, value. Verified: a teacher has the value, the
-    k-th time for the k-th in the label. Substituted: every teacher that has the type
-    has a value there that the label lacks. Else missed. All joins are on the row.
+def teacher_slots(df: DataFrame, hypotheses: dict[str, str], airlines: dict[str, str], wers: dict[str, str] | None = None) -> DataFrame:
+    """df with teachers: an array of teacher, hyp, hyp_normalized, words, wer, entities and asserted.
+
+    hypotheses and wers name the columns of each teacher, in their order. entities are the
+    slots of the text as written and as normalized; asserted those as written alone. All
+    texts of a row go through the parser together; nothing is shuffled.
+    """
+    parse, made = extract_entities(airlines), {}
+    for i, column in enumerate(hypotheses.values()):
+        made[f"__n{i}"] = normalize_atc(F.coalesce(F.col(column), F.lit("")))
+    df = df.withColumns(made)
+    df = df.withColumns({f"__{kind}{i}": parse(F.col(c)) for i, column in enumerate(hypotheses.values()) for kind, c in (("raw", column), ("plain", f"__n{i}"))})
+    each = [
+        F.struct(
+            F.lit(name).alias("teacher"),
+            F.trim(F.coalesce(F.col(column), F.lit(""))).alias("hyp"),
+            F.col(f"__n{i}").alias("hyp_normalized"),
+            F.size(words(F.col(f"__n{i}"))).cast("long").alias("words"),
+            (F.col(wers[name]) if wers else F.lit(None)).cast("double").alias("wer"),
+            F.concat(f"__raw{i}", f"__plain{i}").alias("entities"),
+            F.col(f"__raw{i}").alias("asserted"),
+        )
+        for i, (name, column) in enumerate(hypotheses.items())
+    ]
+    df = df.withColumn("teachers", F.array(*each)).drop(*made, *(f"__{kind}{i}" for i in range(len(each)) for kind in ("raw", "plain")))
+    return df.withColumn("teachers", F.transform("teachers", lambda t: t.withField("entities", first_of_each(t["entities"]))))
+
+
+def verdicts_of(label: Column, teachers: Column) -> Column:
+    """type, value, critical, verdict, verified_by and heard of each slot of the label.
+
+    Verified: a teacher has the value, the k-th time for the k-th in the label.
+    Substituted: every teacher that asserts the type asserts a value there that the label
+    lacks (heard tells which). Else missed.
     """
-    r = numbered(ref, ["row_idx", "type", "value"])
-    h = numbered(hyp, ["row_idx", "teacher", "type", "value"])
-    heard = h.groupBy("row_idx", "type", "value", "k").agg(F.collect_set("teacher").alias("verified_by"))
-    stray = hyp.join(ref.select("row_idx", "type", "value", F.lit(True).alias("known")).distinct(), ["row_idx", "type", "value"], "left")
-    by_teacher = stray.groupBy("row_idx", "type", "teacher").agg(F.bool_or(F.col("known").isNull()).alias("strayed"))
-    all_stray = by_teacher.groupBy("row_idx", "type").agg(F.bool_and("strayed").alias("all_stray"))
-    out = r.join(heard, ["row_idx", "type", "value", "k"], "left").join(all_stray, ["row_idx", "type"], "left")
-    verdict = F.when(F.col("verified_by").isNotNull(), "verified").when(F.col("all_stray"), "substituted").otherwise("missed")
-    return out.withColumn("verdict", verdict).drop("k", "all_stray")
-
-
-def critical_totals(verdicts: DataFrame) -> DataFrame:
-    """Per row: critical slots by verdict, recall (1 without any), and whether one is substituted."""
-    c = verdicts.groupBy("row_idx").agg(
-        F.count_if("critical").alias("critical_total"),
-        *(F.count_if(F.col("critical") & (F.col("verdict") == v)).alias(f"critical_{v}") for v in ("verified", "substituted", "missed")),
-    )
-    return c.withColumn("recall", F.when(F.col("critical_total") > 0, F.col("critical_verified") / F.col("critical_total")).otherwise(1.0))
+
+    def evidence(slot: Column, i: Column) -> Column:
+        before = times(F.slice(label, F.lit(1), i), slot)
+        stray = lambda t: F.filter(t["asserted"], lambda x: (x["type"] == slot["type"]) & (times(label, x) == 0))
+        by = F.filter(teachers, lambda t: times(t["entities"], slot) > before)
+        heard = F.filter(teachers, lambda t: F.exists(t["asserted"], lambda x: x["type"] == slot["type"]))
+        values = F.transform(heard, lambda t: F.struct(t["teacher"], F.array_sort(F.array_distinct(F.transform(stray(t), lambda x: x["value"]))).alias("values")))
+        return F.struct(slot["type"], slot["value"], slot["critical"], F.transform(by, lambda t: t["teacher"]).alias("verified_by"), values.alias("heard"))
+
+    def judge(e: Column) -> Column:
+        strayed = (F.size(e["heard"]) > 0) & F.forall(e["heard"], lambda x: F.size(x["values"]) > 0)
+        verdict = F.when(F.size(e["verified_by"]) > 0, VERDICTS[0]).when(strayed, VERDICTS[1]).otherwise(VERDICTS[2])
+        return e.withField("verdict", verdict)
+
+    def told(e: Column) -> Column:
+        heard = F.filter(e["heard"], lambda x: e["verdict"] == VERDICTS[1])
+        return F.struct(e["type"], e["value"], e["critical"], e["verdict"], e["verified_by"], heard.alias("heard"))
+
+    return F.transform(F.transform(F.transform(label, evidence), judge), told)
+
+
+def verify_entities(df: DataFrame, label: str = "entities") -> DataFrame:
+    """df (label and teachers) with verdicts, and of its critical slots the total, the number of each verdict and recall (1 without any)."""
+    df = df.withColumn("verdicts", verdicts_of(F.col(label), F.col("teachers")))
+    critical = lambda more: F.size(F.filter("verdicts", lambda v: v["critical"] & more(v))).cast("long")
+    df = df.withColumn("critical_total", critical(lambda v: F.lit(True)))
+    df = df.withColumns({f"critical_{x}": critical(lambda v, x=x: v["verdict"] == x) for x in VERDICTS})
+    return df.withColumn("recall", F.when(F.col("critical_total") > 0, F.col("critical_verified") / F.col("critical_total")).otherwise(1.0))
+
+
+def with_best_teacher(df: DataFrame) -> DataFrame:
+    """df (teachers) with best_teacher and best_wer: the lowest rate, the first in order at a tie; without any rate null and 1."""
+    rated = F.filter(F.transform("teachers", lambda t, i: F.struct(t["wer"], i.alias("i"), t["teacher"])), lambda t: t["wer"].isNotNull())
+    df = df.withColumn("__best", F.array_min(rated))
+    return df.withColumns({"best_teacher": F.col("__best.teacher"), "best_wer": F.coalesce("__best.wer", F.lit(1.0))}).drop("__best")
 
 
 def noise_verdict(words: DataFrame, strict: bool = False, loud: int = 2) -> DataFrame:
@@ -76,50 +143,81 @@ def best_teacher(scores: DataFrame) -> DataFrame:
 
 
 def gate_stats(tiered: DataFrame) -> DataFrame:
-    """part (tier or reason), value, n, share of all rows; a row may have several reasons."""
-    parts = F.concat(F.array(F.struct(F.lit("tier").alias("part"), F.col("tier").alias("value"))), F.transform("reasons", lambda r: F.struct(F.lit("reason").alias("part"), r.alias("value"))))
-    whole = tiered.agg(F.count(F.lit(1)).alias("all"))
-    n = tiered.select(F.explode(parts).alias("x")).groupBy("x.part", "x.value").agg(F.count(F.lit(1)).alias("n"))
-    return n.crossJoin(F.broadcast(whole)).select("part", "value", "n", (F.col("n") / F.col("all")).alias("share"))
+    """part, value, n, share of all rows, and for rates mean, p10, p50 and p90.
 
+    Parts: tier, reason (a row may have several), best_teacher, and teacher_wer (of each
+    teacher, and of the best ones as "best"), where n counts rates.
+    """
+    entry = lambda part, value: F.struct(F.lit(part).alias("part"), value.alias("value"))
+    slim = written(
+        tiered.select(
+            F.concat(
+                F.array(entry("tier", F.col("tier"))),
+                F.transform("reasons", lambda r: entry("reason", r)),
+                F.filter(F.array(entry("best_teacher", F.col("best_teacher"))), lambda x: x["value"].isNotNull()),
+            ).alias("parts"),
+            F.concat(
+                F.transform("teachers", lambda t: F.struct(t["teacher"].alias("value"), t["wer"].alias("wer"))),
+                F.array(F.struct(F.lit("best").alias("value"), F.when(F.col("best_teacher").isNotNull(), F.col("best_wer")).alias("wer"))),
+            ).alias("rates"),
+        ),
+        "gate",
+    )
+    counts = slim.select(F.inline("parts")).groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"))
+    rates = distribution(slim.select(F.inline("rates")), "wer", ["value"]).drop("max").withColumn("part", F.lit("teacher_wer"))
+    # a row has one tier, so the few counts of tiers add up to all rows
+    rows = counts.where("part = 'tier'").agg(F.sum("n").alias("__rows"))
+    both = counts.unionByName(rates, allowMissingColumns=True).crossJoin(F.broadcast(rows))
+    return both.select("part", "value", "n", (F.col("n") / F.col("__rows")).alias("share"), "mean", "p10", "p50", "p90")
 
-def entity_recovery(verdicts: DataFrame) -> DataFrame:
+
+def entity_recovery(gated: DataFrame) -> DataFrame:
     """Per slot type, and for all: slots by verdict and the verified share."""
-    n = verdicts.rollup("type").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("verdict") == v).alias(v) for v in ("verified", "substituted", "missed")))
-    return n.select(F.coalesce("type", F.lit("all")).alias("type"), "n", "verified", "substituted", "missed", (F.col("verified") / F.col("n")).alias("rate"))
+    each = gated.select(F.explode("verdicts").alias("v")).select("v.type", "v.verdict")
+    n = each.rollup("type").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS))
+    return n.select(F.coalesce("type", F.lit("all")).alias("type"), "n", *VERDICTS, (F.col("verified") / F.col("n")).alias("rate"))
+
 
+def score_entities(df: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+    """df with scores: per type of its slots tp, fp, fn and sub; what is left of a type on both sides pairs into substitutions."""
+    r, h = F.col(ref), F.col(hyp)
+    df = df.withColumns({"__left": unmatched(r, h), "__extra": unmatched(h, r)})
+    of = lambda slots, kind: F.size(F.filter(slots, lambda x: x["type"] == kind)).cast("long")
 
-def score_entities(ref: DataFrame, hyp: DataFrame) -> DataFrame:
-    """Per row and type: tp, fp, fn and sub; what is left of a type on both sides pairs into substitutions."""
-    keys = ["row_idx", "type", "value", "k"]
-    r, h = (numbered(x, ["row_idx", "type", "value"]).select(*keys, F.lit(True).alias(n)) for x, n in ((ref, "r"), (hyp, "h")))
-    both = r.join(h, keys, "full")
-    n = both.groupBy("row_idx", "type").agg(F.expr("count_if(r and h)").alias("tp"), F.expr("count_if(r and h is null)").alias("left"), F.expr("count_if(h and r is null)").alias("extra"))
-    sub = F.least("left", "extra")
-    return n.select("row_idx", "type", "tp", (F.col("extra") - sub).alias("fp"), (F.col("left") - sub).alias("fn"), sub.alias("sub"))
+    def scored(kind: Column) -> Column:
+        left, extra = of("__left", kind), of("__extra", kind)
+        sub = F.least(left, extra)
+        return F.struct(kind.alias("type"), (of(ref, kind) - left).alias("tp"), (extra - sub).alias("fp"), (left - sub).alias("fn"), sub.alias("sub"))
+
+    kinds = F.array_distinct(F.transform(F.concat(r, h), lambda x: x["type"]))
+    return df.withColumn("scores", F.transform(kinds, scored)).drop("__left", "__extra")
 
 
 def entity_panel(scored: DataFrame) -> DataFrame:
-    """Per type, and for all: precision, recall, F1 and support, over rows with reference slots."""
-    has = scored.groupBy("row_idx").agg(F.sum(F.expr("tp + fn + sub")).alias("s")).where("s > 0").select("row_idx")
-    n = scored.join(has, "row_idx", "left_semi").rollup("type").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "sub")))
+    """Per type, and for all: precision, recall, F1 and support, over rows (scores) with reference slots."""
+    has = F.exists("scores", lambda s: s["tp"] + s["fn"] + s["sub"] > 0)
+    n = scored.where(has).select(F.inline("scores")).rollup("type").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "sub")))
     p, r = F.expr("try_divide(tp, tp + fp + sub)"), F.expr("try_divide(tp, tp + fn + sub)")
     return n.select(F.coalesce("type", F.lit("all")).alias("type"), p.alias("precision"), r.alias("recall"), F.expr("try_divide(2 * tp, 2 * tp + fp + fn + 2 * sub)").alias("f1"), F.expr("tp + fn + sub").alias("support"))
 
 
-def entity_diff(ref: DataFrame, hyp: DataFrame) -> DataFrame:
-    """row_idx, type, outcome, ref_value, hyp_value: what is left of a type pairs in order."""
-    keys = ["row_idx", "type", "value"]
-    r, h = numbered(ref, keys), numbered(hyp, keys)
-    left = r.join(h.select(*keys, "k"), [*keys, "k"], "left_anti")
-    extra = h.join(r.select(*keys, "k"), [*keys, "k"], "left_anti")
-    w = Window.partitionBy("row_idx", "type").orderBy("at")
-    a = left.withColumn("i", F.row_number().over(w)).select("row_idx", "type", "i", F.col("value").alias("ref_value"))
-    b = extra.withColumn("i", F.row_number().over(w)).select("row_idx", "type", "i", F.col("value").alias("hyp_value"))
-    out = F.when(F.col("ref_value").isNull(), "spurious").when(F.col("hyp_value").isNull(), "missed").otherwise("substituted")
-    return a.join(b, ["row_idx", "type", "i"], "full").withColumn("outcome", out).drop("i")
+def entity_diff(df: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+    """df with diff: type, outcome, ref_value and hyp_value; what is left of a type pairs in order."""
+    r, h = F.col(ref), F.col(hyp)
+    df = df.withColumns({"__left": unmatched(r, h), "__extra": unmatched(h, r)})
+    of = lambda slots, kind: F.transform(F.filter(slots, lambda x: x["type"] == kind), lambda x: x["value"])
+
+    def told(kind: Column, pair: Column) -> Column:
+        a, b = pair["0"], pair["1"]
+        outcome = F.when(a.isNull(), "spurious").when(b.isNull(), "missed").otherwise("substituted")
+        return F.struct(kind.alias("type"), outcome.alias("outcome"), a.alias("ref_value"), b.alias("hyp_value"))
+
+    kinds = F.array_distinct(F.transform(F.concat("__left", "__extra"), lambda x: x["type"]))
+    pairs = F.transform(kinds, lambda k: F.transform(F.arrays_zip(of("__left", k), of("__extra", k)), lambda p: told(k, p)))
+    return df.withColumn("diff", F.flatten(pairs)).drop("__left", "__extra")
 
 
-def worst_examples(scored: DataFrame, k: int) -> DataFrame:
-    n = scored.groupBy("row_idx").agg(F.sum("sub").alias("sub"), F.sum(F.expr("fn + fp")).alias("other"))
-    return n.orderBy(F.desc("sub"), F.desc("other"), "row_idx").limit(k)
+def worst_examples(scored: DataFrame, k: int, key: str = "row_idx") -> DataFrame:
+    total = lambda *names: F.aggregate("scores", F.lit(0).cast("long"), lambda n, s: n + sum((s[x] for x in names[1:]), s[names[0]]))
+    n = scored.select(key, total("sub").alias("sub"), total("fn", "fp").alias("other"))
+    return n.orderBy(F.desc("sub"), F.desc("other"), key).limit(k)

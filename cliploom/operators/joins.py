@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cliploom.functions.draws import order_key
+from cliploom.functions.text import relocated
+from cliploom.operators.ranks import ranked
+from cliploom.operators.sampling import order_number
+
 
 def clean_label_reason(text: Column, suspect: Column) -> Column:
     """Why a label can't be used, the first reason; null for a clean one."""
@@ -99,10 +104,33 @@ def overlapping(ranges: DataFrame) -> DataFrame:
     return both.select("name", F.col("name2").alias("other"))
 
 
+#: Ranges that are broadcast at most.
+FEW_RANGES = 10_000
+
+
 def window_cover(rows: DataFrame, ranges: DataFrame, index: str) -> DataFrame:
-    """rows with the name of the range that covers their index; ranges are a few, so they are broadcast."""
-    cover = (F.col(index) >= F.col("start")) & (F.col("stop").isNull() | (F.col(index) < F.col("stop")))
-    return rows.join(F.broadcast(ranges), cover, "left").drop("start", "stop")
+    """rows with the name of the range that covers their index (null if none); ranges don't overlap.
+
+    Up to FEW_RANGES ranges are broadcast. More are sorted in among the rows: a row takes
+    the last start before it, which is exact as ranges don't overlap.
+    """
+    if len(ranges.take(FEW_RANGES + 1)) <= FEW_RANGES:
+        cover = (F.col(index) >= F.col("start")) & (F.col("stop").isNull() | (F.col(index) < F.col("stop")))
+        return rows.join(F.broadcast(ranges), cover, "left").drop("start", "stop")
+    extra = [c for c in ranges.columns if c not in ("start", "stop")]
+    width = ranges.agg(F.max("start") - F.min("start")).first()[0] // FEW_RANGES + 1
+    at = lambda c: F.floor(c / width)  # noqa: E731  stretches of the index; a range stands in the stretch of its start
+    starts = ranges.select(F.col("start").alias("__at"), F.struct("start", "stop", *extra).alias("__range"))
+    both = rows.select(F.col(index).alias("__at"), F.struct("*").alias("__row")).unionByName(starts, allowMissingColumns=True).withColumn("__part", at(F.col("__at")))
+    last = starts.groupBy((at(F.col("__at"))).alias("__part")).agg(F.max_by("__range", "__at").alias("__last"))
+    parts = both.select("__part").distinct().join(last, "__part", "left")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a stretch, about FEW_RANGES
+    parts = parts.select("__part", F.last("__last", ignorenulls=True).over(before).alias("__before"))
+    order = Window.partitionBy("__part").orderBy("__at", F.col("__range").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("__own", F.last("__range", ignorenulls=True).over(order)).join(parts, "__part").where("__row is not null")
+    own = F.coalesce("__own", "__before")
+    inside = own["stop"].isNull() | (F.col("__at") < own["stop"])
+    return both.select("__row.*", *(F.when(inside, own[c]).alias(c) for c in extra))
 
 
 def diff_metrics(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -111,18 +139,38 @@ def diff_metrics(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("delta", F.col("new") - F.col("old"))
 
 
+def pair_hypotheses(a: DataFrame, b: DataFrame, index: str = "index", reference: str = "reference") -> DataFrame:
+    """Rows of a with the other columns of b of the same index, where both have the same reference with text.
+
+    Rows meet by their index; of b's reference only a hash is shuffled.
+    """
+    other = b.withColumn("__same", F.sha2(reference, 256)).drop(reference)
+    return a.where(F.trim(reference) != "").join(other, index).where(F.sha2(reference, 256) == F.col("__same")).drop("__same")
+
+
 def missing_audio(manifest: DataFrame, listing: DataFrame, key: str) -> DataFrame:
     return manifest.join(listing.select(key).distinct(), key, "left_anti")
 
 
+def relocate_paths(df: DataFrame, source: str, target: str, columns: list[str]) -> DataFrame:
+    """df with the paths of these columns under another prefix, in plain slashes."""
+    return df.withColumns({c: relocated(F.col(c), source, target) for c in columns})
+
+
+def missing_targets(df: DataFrame, listing: DataFrame, columns: list[str], path: str = "path") -> DataFrame:
+    """column, path and n of the paths in these columns that the listing lacks; nulls aren't paths."""
+    each = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("__p")) for c in columns)))).where("__p is not null")
+    counts = each.groupBy("column", "__p").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(listing.select(F.col(path).alias("__p")).distinct(), "__p", "left_anti").select("column", F.col("__p").alias("path"), "n")
+
+
 def pair_noise(presets: DataFrame, noise: DataFrame, share_other: float, draw: Column) -> DataFrame:
     """For each preset (name, station) a noise segment by slot: of its station, with this probability of the next one; of any where there is none."""
-    w = Window.partitionBy("station").orderBy("segment")
-    slots = noise.withColumns({"slot": F.row_number().over(w) - 1, "many": F.count(F.lit(1)).over(Window.partitionBy("station"))})
+    slots = ranked(noise, ["station"], order_number(noise, "segment"), ["segment"]).withColumns({"slot": F.col("rank") - 1, "many": F.col("group_rows")})
     sizes = slots.groupBy("station").agg(F.first("many").alias("many"))
     order = sizes.withColumns({"next": F.coalesce(F.lead("station").over(Window.orderBy("station")), F.min("station").over(Window.partitionBy(F.lit(1))))})
     fallback = sizes.agg(F.min("station").alias("any"))
     p = presets.join(order.select("station", "next"), "station", "left").crossJoin(F.broadcast(fallback)).withColumn("u", draw)
     p = p.withColumn("from_station", F.when(F.col("next").isNull(), F.col("any")).when(F.col("u") < share_other, F.col("next")).otherwise(F.col("station")))
-    p = p.join(sizes.select(F.col("station").alias("from_station"), "many"), "from_station").withColumn("slot", F.pmod(F.crc32(F.col("name").cast("string").cast("binary")), F.col("many")).cast("int"))
+    p = p.join(sizes.select(F.col("station").alias("from_station"), "many"), "from_station").withColumn("slot", F.conv(F.substring(order_key("slot", F.col("name")), 1, 8), 16, 10).cast("long") % F.col("many"))
     return p.join(slots.select(F.col("station").alias("from_station"), "slot", "segment"), ["from_station", "slot"]).select("name", "station", "from_station", "segment")

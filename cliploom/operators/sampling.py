@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cliploom.functions.draws import draw, order_key
+from cliploom.operators.ranks import ranked
 from cliploom.operators.splits import exact_sample
 
+#: The fewest bins that the weights of a group are cut into.
+BINS = 64
 TIERS = ("gold", "silver", "adversarial", "rejected", "noise")
 
 
@@ -29,13 +32,39 @@ def category_distribution(pool: DataFrame, quotas: dict[str, float]) -> DataFram
 
 
 def weighted_draw(requests: DataFrame, pool: DataFrame, seed: str, key: str, group: str, item: str) -> DataFrame:
-    """For each request an item of its group, by weight: an interval join on running weights within the group."""
-    w = Window.partitionBy(group).orderBy(item)
-    hi = F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    edges = pool.withColumns({"__hi": hi, "__total": F.sum("weight").over(Window.partitionBy(group))})
-    asked = requests.withColumn("__u", draw(seed, F.col(key)))
-    inside = F.expr("__u * __total >= __hi - weight and __u * __total < __hi")
-    return asked.join(edges, group).where(inside).drop("__u", "__hi", "__total")
+    """For each request an item of its group, by weight; requests of groups without weight get none.
+
+    Items are laid side by side by their running weights, and the whole stretch is cut
+    into as many equal bins as the group has items, at least BINS. An item stands in each
+    bin that it touches, so a request, which looks in one bin, meets two on average at
+    most. Bins also spread the requests of a group with few items.
+    """
+    return drawn(requests.withColumn("__u", draw(seed, F.col(key))), weight_bins(pool, group, item), group).drop("__u")
+
+
+def order_number(df: DataFrame, column: str) -> Column:
+    """A number in the order of the column: itself, or the first six bytes of a text."""
+    if dict(df.dtypes)[column] != "string":
+        return F.col(column)
+    return F.conv(F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("long")
+
+
+def weight_bins(pool: DataFrame, group: str, item: str, weight: str = "weight") -> DataFrame:
+    """pool with a row for each bin that an item touches, and the item's stretch (__low to __high of __total)."""
+    own = ranked(pool.where(F.col(weight) > 0), [group], order_number(pool, item), [item], [weight])
+    own = own.withColumns({"__high": F.col(f"upto_{weight}"), "__low": F.col(f"upto_{weight}") - F.col(weight), "__total": F.col(f"all_{weight}"), "__bins": F.greatest("group_rows", F.lit(BINS))})
+    own = own.drop("rank", "group_rows", f"upto_{weight}", f"all_{weight}")
+    # a little wider than the stretch, as divisions are rounded
+    bin_of = lambda x, wider: F.least(F.floor(F.col(x) / F.col("__total") * F.col("__bins") * wider), F.col("__bins") - 1)
+    return own.withColumn("__bin", F.explode(F.sequence(bin_of("__low", 1 - 1e-12), bin_of("__high", 1 + 1e-12))))
+
+
+def drawn(asked: DataFrame, bins: DataFrame, group: str) -> DataFrame:
+    """asked (with __u from 0 to 1) joined to the item of its group whose stretch holds __u."""
+    sizes = bins.groupBy(group).agg(F.max("__bins").alias("__n"))
+    asked = asked.join(sizes, group).withColumn("__bin", F.floor(F.col("__u") * F.col("__n")))
+    inside = F.expr("__u * __total >= __low and __u * __total < __high")
+    return asked.join(bins, [group, "__bin"]).where(inside).drop("__n", "__bin", "__bins", "__low", "__high", "__total")
 
 
 def mix_ratio(real: DataFrame, other: DataFrame, share: float, seed: str, key: str) -> DataFrame:
@@ -84,7 +113,13 @@ def select_tiers(gated: DataFrame, wanted: list[str], cap: float, order: str) ->
     if "adversarial" not in wanted:
         return plain
     k = int(plain.count() * cap / (1 - cap))
-    return plain.unionByName(gated.where("tier = 'adversarial'").orderBy(order).limit(k))
+    return plain.unionByName(first_rows(gated.where("tier = 'adversarial'"), k, order))
+
+
+def first_rows(df: DataFrame, n: int, order: str) -> DataFrame:
+    """The n rows that come first by a column which tells rows apart; only that column is ranked, in pieces."""
+    bound = ranked(df.select(order), [], order_number(df, order), [order]).where(F.col("rank") <= n).agg(F.max(order).alias("__bound"))
+    return df.crossJoin(F.broadcast(bound)).where(F.col(order) <= F.col("__bound")).drop("__bound")
 
 
 def most_common(df: DataFrame, column: str, k: int) -> DataFrame:

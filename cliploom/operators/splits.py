@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cliploom.functions.draws import order_key
+from cliploom.functions.draws import draw, order_key
+from cliploom.operators.ranks import ranked
 
 #: Hexadecimal digits of a hash that are counted at once, and rows about a boundary that may be ordered.
 STEP, EDGE = 3, 100_000
@@ -36,14 +37,14 @@ def capture_blocks(df: DataFrame, gap_minutes: float, group: str = "station", ts
 
 def pseudo_split(df: DataFrame, group: str = "station", ts: str = "ts", order: str = "row_idx") -> DataFrame:
     """df with part (0 or 1) and pseudo: a group of one block and at least two timed rows is cut at its largest gap, the first at a tie."""
-    w = Window.partitionBy(group).orderBy(F.col(ts).asc_nulls_last(), order)
-    all_of = Window.partitionBy(group)
-    rank = F.row_number().over(w)
-    gap = F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))
-    df = df.withColumns({"__r": rank, "__gap": gap, "__one": F.min("block_id").over(all_of) == F.max("block_id").over(all_of)})
-    cut = F.max(F.when(F.col("__gap").isNotNull(), F.struct("__gap", (-F.col("__r")).alias("r")))).over(all_of)
-    df = df.withColumn("__cut", cut).withColumn("pseudo", F.col("__one") & F.col("__cut").isNotNull())
-    return df.withColumn("part", F.when(F.col("pseudo") & (F.col("__r") >= -F.col("__cut.r")), 1).otherwise(0)).drop("__r", "__gap", "__one", "__cut")
+    timed = ranked(df.where(F.col(ts).isNotNull()).select(group, ts, order), [group], F.unix_micros(ts), [order], previous=True)
+    gap = F.unix_micros(ts) - F.col("previous")
+    cuts = timed.groupBy(group).agg(F.max(F.when(gap.isNotNull(), F.struct(gap.alias("gap"), (-F.col("rank")).alias("r"), F.col(ts).alias("ts"), F.col(order).alias("order")))).alias("__cut"))
+    blocks = df.groupBy(group).agg((F.min("block_id") == F.max("block_id")).alias("__one"))
+    cuts = blocks.where("__one").join(cuts, group).where("__cut is not null").select(F.col(group).alias("__group"), "__cut")
+    df = df.join(cuts, F.col(group).eqNullSafe(F.col("__group")), "left").withColumn("pseudo", F.col("__cut").isNotNull())
+    late = F.col(ts).isNull() | (F.struct(F.col(ts).alias("ts"), F.col(order).alias("order")) >= F.struct("__cut.ts", "__cut.order"))
+    return df.withColumn("part", F.when(F.col("pseudo") & late, 1).otherwise(0)).drop("__group", "__cut")
 
 
 def first_of(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -62,8 +63,16 @@ def unique_ids(df: DataFrame, name: str, order: str) -> DataFrame:
     return ranked.withColumn("clip_id", F.when(F.col("__r") == 1, F.col(name)).otherwise(F.concat_ws("_", name, free.cast("string")))).drop("__r", "__taken")
 
 
-def cap_per_group(df: DataFrame, group: str, n: int, seed: str, key: str) -> DataFrame:
-    """At most n rows of each group, in hash order; a limit that Spark also applies before the shuffle."""
+def cap_per_group(df: DataFrame, group: str, n: int, seed: str, key: str, wanted: list[str] | None = None) -> DataFrame:
+    """At most n rows of each group, in hash order; a limit that Spark also applies before the shuffle.
+
+    With wanted only these groups, and an error if one of them has no rows.
+    """
+    if wanted is not None:
+        df = df.where(F.col(group).isin(*wanted))
+        there = {r[0] for r in df.select(group).distinct().collect()}  # at most the wanted ones
+        if missing := sorted(set(wanted) - there):
+            raise ValueError(f"no rows of {', '.join(missing)}")
     w = Window.partitionBy(group).orderBy(order_key(seed, F.col(key)), key)
     return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
 
@@ -81,19 +90,20 @@ def holdout_size(n: Column, fraction: float) -> Column:
 
 def group_holdout(df: DataFrame, group: str, fraction: float, seed: str, key: str) -> DataFrame:
     """df with held_out: of each group the rounded fraction, between 1 and all but one."""
-    sizes = df.groupBy(group).agg(holdout_size(F.count(F.lit(1)), fraction).alias("__k"))
-    w = Window.partitionBy(group).orderBy(order_key(seed, F.col(key)), key)
-    return df.withColumn("__r", F.row_number().over(w)).join(sizes, group).withColumn("held_out", F.col("__r") <= F.col("__k")).drop("__r", "__k")
+    slim = ranked(df.select(group, key).withColumn("__h", order_key(seed, F.col(key))), [group], draw(seed, F.col(key)), ["__h", key])
+    out = slim.where(F.col("rank") <= holdout_size(F.col("group_rows"), fraction)).select(key, F.lit(True).alias("held_out"))
+    return df.join(out, key, "left").withColumn("held_out", F.coalesce("held_out", F.lit(False)))
 
 
 def transcript_split(df: DataFrame, fraction: float, seed: str, stratum: str = "kind", text: str = "text") -> DataFrame:
     """df with held_out: whole groups of equal text, by stratum, up to the first that would overshoot by more than half its size."""
     groups = df.groupBy(stratum, text).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(stratum).orderBy(order_key(seed, F.col(stratum), F.col(text)), text)
-    before = F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    over = (before + F.col("__n") / 2 > fraction * F.sum("__n").over(Window.partitionBy(stratum))).cast("int")
-    groups = groups.withColumn("__over", over).withColumn("held_out", F.max("__over").over(w.rowsBetween(Window.unboundedPreceding, 0)) == 0)
-    return df.join(groups.select(stratum, text, "held_out"), [stratum, text])
+    parts = (seed, F.col(stratum), F.col(text))
+    r = ranked(groups.withColumn("__h", order_key(*parts)), [stratum], draw(*parts), ["__h", text], ["__n"])
+    over = F.col("upto___n") - F.col("__n") / 2 > fraction * F.col("all___n")
+    first = r.where(over).groupBy(stratum).agg(F.min("rank").alias("__first"))  # one row a stratum
+    r = r.join(first, stratum, "left").withColumn("held_out", F.col("rank") < F.coalesce("__first", F.col("rank") + 1))
+    return df.join(r.select(stratum, text, "held_out"), [stratum, text])
 
 
 def day_split(df: DataFrame, day: str, dev_day: str, locked_day: str, n_dev: int, seed: str, key: str) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cliploom.operators.ranks import percentiles
+
 
 def group_advantages(df: DataFrame, group: str, reward: str = "reward", least: float = 1e-6) -> DataFrame:
     """df with advantage (z-score in its group, population deviation) and used (false in groups without spread)."""
@@ -30,6 +36,18 @@ def paired_by_seed(df: DataFrame, base: str) -> DataFrame:
     return out.withColumns({"t": F.when(F.col("se") > 0, F.col("mean") / F.col("se")), "df": F.col("n") - 1})
 
 
+def additivity(df: DataFrame, base: str, parts: list[str], whole: str) -> DataFrame:
+    """arm, effect (mean base minus arm on shared seeds), share of the parts' sum; the rows sum and residual (sum less the whole arm's effect) come last."""
+    own = paired_by_seed(df.where(F.col("arm").isin(base, whole, *parts)), base).select("arm", F.col("mean").alias("effect"))
+    of = lambda names: F.sum(F.when(F.col("arm").isin(*names), F.col("effect")))
+    known = F.count_if(F.col("arm").isin(*parts)) == len(set(parts))
+    total = own.agg(F.when(known, of(parts)).alias("total"), of([whole]).alias("whole"))  # arms are few
+    rows = own.crossJoin(F.broadcast(total)).select("arm", "effect", F.when(F.col("arm").isin(*parts), F.try_divide("effect", "total")).alias("share"))
+    none = F.lit(None).cast("double")
+    sums = total.select(F.lit("sum").alias("arm"), F.col("total").alias("effect"), none.alias("share"))
+    return rows.unionByName(sums).unionByName(total.select(F.lit("residual").alias("arm"), (F.col("total") - F.col("whole")).alias("effect"), none.alias("share")))
+
+
 def pooled_gap(df: DataFrame, base: str) -> DataFrame:
     """Gap of each arm's mean to the base in units of the deviation pooled by degrees of freedom."""
     arms = df.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.avg("reward").alias("mean"), F.var_samp("reward").alias("v"))
@@ -47,15 +65,27 @@ def block_deltas(df: DataFrame, base: str) -> DataFrame:
 def mad_filter(df: DataFrame, value: str, k: float = 3.0) -> DataFrame:
     """Rows with a finite value of at most median + k * max(MAD, 1e-6)."""
     own = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
-    middle = own.agg(F.percentile(value, 0.5).alias("__m"))
-    spread = own.crossJoin(F.broadcast(middle)).agg(F.first("__m").alias("__m"), F.percentile(F.abs(F.col(value) - F.col("__m")), 0.5).alias("__d"))
+    middle = percentiles(own, value, {"__m": 0.5}).select("__m")
+    apart = own.crossJoin(F.broadcast(middle)).select(F.abs(F.col(value) - F.col("__m")).alias("d"))
+    spread = middle.crossJoin(percentiles(apart, "d", {"__d": 0.5}).select("__d"))  # one row
     return own.crossJoin(F.broadcast(spread)).where(F.col(value) <= F.col("__m") + k * F.greatest("__d", F.lit(1e-6))).drop("__m", "__d")
 
 
 def distribution(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
-    """n, mean, p10, p50, p90 and max of a column."""
-    p = lambda q: F.percentile(value, q)
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), p(0.1).alias("p10"), p(0.5).alias("p50"), p(0.9).alias("p90"), F.max(value).alias("max"))
+    """n, mean, p10, p50, p90 and max of a column, for each group."""
+    return percentiles(df, value, {"p10": 0.1, "p50": 0.5, "p90": 0.9}, by)
+
+
+def preset_summary(presets: DataFrame, fields: list[str], bands: str = "band_gains_db", by: str = "station") -> DataFrame:
+    """by, field, n, mean, p10, p50, p90, max of the fit fields for all presets ("all") and by station, and the mean of each band (band_00 and so on)."""
+    each = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("x")) for f in fields))
+    band = F.transform(F.coalesce(bands, F.array().cast("array<double>")), lambda x, i: F.struct(F.concat(F.lit("band_"), F.lpad(i.cast("string"), 2, "0")).alias("field"), x.cast("double").alias("x")))
+    entries = "array<struct<field:string,x:double>>"
+    groups = F.array_distinct(F.array(F.lit("all"), F.coalesce(F.col(by).cast("string"), F.lit("unknown"))))
+    long = presets.select(F.explode(groups).alias(by), F.concat(each.cast(entries), band.cast(entries)).alias("__x")).select(by, F.inline("__x"))
+    is_band = F.col("field").startswith("band_")
+    means = long.where(is_band).groupBy(by, "field").agg(F.count("x").alias("n"), F.avg("x").alias("mean"))
+    return distribution(long.where(~is_band), "x", [by, "field"]).unionByName(means, allowMissingColumns=True)
 
 
 def histogram(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
@@ -77,14 +107,35 @@ def beta_posteriors(pulls: DataFrame, prior: tuple[float, float] = (1.0, 1.0)) -
     return s.select("arm", a.alias("alpha"), b.alias("beta"), (a / (a + b)).alias("mean"), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))).alias("sd"), (F.col("s") + F.col("f")).alias("observations"))
 
 
+def sample_arm(posteriors: DataFrame, seed: int) -> DataFrame:
+    """posteriors (arm, alpha, beta) with theta, a draw from each arm's distribution, and chosen: the largest, the first arm at a tie.
+
+    The draw hangs on the seed and the arm's name alone, so it is the same in any
+    partitioning, and on a redo. The table has a row an arm.
+    """
+
+    @F.pandas_udf("double")
+    def theta(arm: pd.Series, alpha: pd.Series, beta: pd.Series) -> pd.Series:
+        rng = (np.random.default_rng([seed, zlib.crc32(str(a).encode())]) for a in arm)
+        return pd.Series([r.beta(a, b) for r, a, b in zip(rng, alpha, beta, strict=True)], dtype=float)
+
+    drawn = posteriors.withColumn("theta", theta(F.col("arm").cast("string"), "alpha", "beta"))
+    best = drawn.agg(F.min(F.struct((-F.col("theta")).alias("t"), F.col("arm").alias("arm"))).alias("__best"))
+    return drawn.crossJoin(F.broadcast(best)).withColumn("chosen", F.col("arm") == F.col("__best.arm")).drop("__best")
+
+
 def route_counts() -> list[Column]:
     return [F.count_if(F.col("route") == r).alias(r) for r in ("selected", "spillover", "dropped")]
 
 
 def pull_summary(samples: DataFrame) -> DataFrame:
-    """Per pull: rows by route, and n, mean, p50 and p90 of the teacher's rate."""
-    p = lambda q: F.percentile("teacher", q)
-    return samples.groupBy("pull").agg(F.count(F.lit(1)).alias("n"), *route_counts(), F.avg("teacher").alias("mean"), p(0.5).alias("p50"), p(0.9).alias("p90"))
+    """Per pull: rows by route and by reason (a map, without null reasons), and n, mean, p50 and p90 of the teacher's rate."""
+    reasons = samples.where("reason is not null").groupBy("pull", "reason").agg(F.count(F.lit(1)).alias("k"))
+    reasons = reasons.groupBy("pull").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("reason", "k")))).alias("reasons"))  # one entry a kind of reason
+    counts = samples.groupBy("pull").agg(F.count(F.lit(1)).alias("n"), *route_counts())
+    rates = percentiles(samples, "teacher", {"p50": 0.5, "p90": 0.9}, ["pull"]).select("pull", F.col("n").alias("n_rated"), "mean", "p50", "p90")
+    none = F.create_map().cast("map<string,bigint>")
+    return counts.join(rates, "pull").join(reasons, "pull", "left").withColumn("reasons", F.coalesce("reasons", none))
 
 
 def running_totals(pulls: DataFrame) -> DataFrame:

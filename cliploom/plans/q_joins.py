@@ -97,11 +97,12 @@ def join5(spark, sf_dir):
     return J.align_views(base, made.unionByName(made.where("row_idx % 100 = 3")), "row_idx", "sha")
 
 
-@query("JOIN-6", V.with_sql(V.UTT, select="select row_idx, reference, hyp_a, hyp_b from utt where reference <> ''"))
+@query("JOIN-6", V.with_sql(V.UTT, select="select row_idx, reference, hyp_a, hyp_b from utt where reference <> '' and row_idx % 10 <> 0"))
 def join6(spark, sf_dir):
     u = V.utterances(spark, sf_dir)
-    a, b = u.select("row_idx", "reference", "hyp_a"), u.select("row_idx", "reference", "hyp_b")
-    return a.join(b, ["row_idx", "reference"]).where("reference <> ''").select("row_idx", "reference", "hyp_a", "hyp_b")
+    other = F.when(F.col("row_idx") % 10 == 0, F.concat(F.lit("x "), "reference")).otherwise(F.col("reference"))
+    a, b = u.select("row_idx", "reference", "hyp_a"), u.select("row_idx", other.alias("reference"), "hyp_b")
+    return J.pair_hypotheses(a, b, "row_idx").select("row_idx", "reference", "hyp_a", "hyp_b")
 
 
 @query("JOIN-7", """with n as (select o_orderstatus as type, o_custkey % 50 as value, count(*) filter (o_orderkey % 2 = 0) as a, count(*) filter (o_orderkey % 3 = 0) as b from orders group by 1, 2)
@@ -115,13 +116,12 @@ def join7(spark, sf_dir):
 numbered as (select *, row_number() over (partition by station order by segment) - 1 as slot, count(*) over (partition by station) as many from noise),
 s as (select station, coalesce(lead(station) over (order by station), min(station) over ()) as next from (select distinct station from noise)),
 p as (select c.row_idx as name, c.station, case when s.next is null then (select min(station) from s) when {V.draw_sql("'n'", 'c.row_idx')} < 0.3 then s.next else c.station end as from_station from clips c left join s on s.station = c.station)""",
-  select="select p.station, p.from_station, count(*) as n from p group by 1, 2"))
+  select="select p.name, p.station, p.from_station, n.segment from p join numbered n on n.station = p.from_station and n.slot = ('0x' || substr(md5('slot:' || p.name), 1, 8))::bigint % n.many"))
 def join9(spark, sf_dir):
     c = V.clips(spark, sf_dir)
     station = F.concat(F.lit("ST"), (F.col("o_custkey") % 5).cast("string"), F.lit("_TOWER"))
     noise = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("segment"), station.alias("station"))
-    made = J.pair_noise(c.select(F.col("row_idx").alias("name"), "station"), noise, 0.3, V.draw("n", F.col("name")))
-    return made.groupBy("station", "from_station").agg(F.count(F.lit(1)).alias("n"))
+    return J.pair_noise(c.select(F.col("row_idx").alias("name"), "station"), noise, 0.3, V.draw("n", F.col("name")))
 
 
 RANGES = [("dev", 0, 1000), ("test", 1000, 2500), ("extra", 2400, 3000), ("train", 3000, None)]

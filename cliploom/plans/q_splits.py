@@ -46,9 +46,9 @@ def win5(spark, sf_dir):
     return S.unique_ids(c, "name", "row_idx").select("row_idx", "clip_id")
 
 
-@query("WIN-6", V.with_sql(V.CLIPS, select=f"select station, row_idx from clips qualify row_number() over (partition by station order by {V.order('cap', 'row_idx')}, row_idx) <= 100"))
+@query("WIN-6", V.with_sql(V.CLIPS, select=f"select station, row_idx from clips where station in ('ST0_TOWER', 'ST3_TOWER') qualify row_number() over (partition by station order by {V.order('cap', 'row_idx')}, row_idx) <= 100"))
 def win6(spark, sf_dir):
-    return S.cap_per_group(V.clips(spark, sf_dir), "station", 100, "cap", "row_idx").select("station", "row_idx")
+    return S.cap_per_group(V.clips(spark, sf_dir), "station", 100, "cap", "row_idx", ["ST0_TOWER", "ST3_TOWER"]).select("station", "row_idx")
 
 
 @query("WIN-7", V.with_sql(V.CLIPS, select="""select row_idx, station, row_number() over (order by r, station, row_idx) - 1 as position from (
@@ -113,10 +113,10 @@ def smp7(spark, sf_dir):
     return P.mix_upsample(a.where("category <> 'P'"), a.where("category = 'P'")).select("row_idx", "copy")
 
 
-@query("SMP-8", V.with_sql(V.ATC, select=f"select row_idx, category as region from atc where category in ('O', 'F') qualify row_number() over (partition by category order by {V.order('reg', 'row_idx')}, row_idx) <= 200"))
+@query("SMP-8", V.with_sql(V.ATC, select=f"select row_idx, category as region from atc qualify row_number() over (partition by category order by {V.order('reg', 'row_idx')}, row_idx) <= 25"))
 def smp8(spark, sf_dir):
     a = V.radio(spark, sf_dir)
-    return P.balanced_regions({"O": a.where("category = 'O'"), "F": a.where("category = 'F'")}, 200, "reg", "row_idx").select("row_idx", "region")
+    return P.balanced_regions({c: a.where(F.col("category") == c) for c in "OFP"}, 25, "reg", "row_idx").select("row_idx", "region")
 
 
 @query("SMP-9", V.with_sql(V.CLIPS, select=f"select row_idx from clips order by {V.order('s9', 'row_idx')}, row_idx limit 500"))
@@ -172,10 +172,11 @@ def set2(spark, sf_dir):
     return P.set_report(a.where("row_idx % 5 = 0"), a.where("row_idx % 7 = 0"), "row_idx")
 
 
-@query("SET-1", V.with_sql(V.ATC, select="select row_idx, category as run from atc where category in ('O', 'F')"))
+@query("SET-1", V.with_sql(V.ATC, select="select row_idx, category as run, case when category <> 'F' then category end as category from atc"))
 def set1(spark, sf_dir):
     a = V.radio(spark, sf_dir).select("row_idx", "category")
-    return P.merge_runs({"O": a.where("category = 'O'"), "F": a.where("category = 'F'").drop("category")}, "row_idx").select("row_idx", "run")
+    runs = {c: a.where(F.col("category") == c) for c in "OFP"}
+    return P.merge_runs(runs | {"F": runs["F"].drop("category")}, "row_idx").select("row_idx", "run", "category")
 
 
 @query("JOIN-8", "with " + POOL + f""" select r.id as request, r.grp, p.item from (select o_orderkey as id, 'Brand#' || (1 + o_orderkey % 5) || (1 + o_custkey % 5) as grp, {V.draw_sql(chr(39) + 'd' + chr(39), 'o_orderkey')} as u from orders) r

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cliploom.functions import text as T
+from cliploom.functions.entities import extract_entities
 from cliploom.operators import wer
 from cliploom.plans import views as V
 from cliploom.plans.registry import query
@@ -146,11 +147,18 @@ def fn20(spark, sf_dir):
     return e.select("row_idx", T.hardness_route(F.col("t"), F.col("s"), 0.5, 0.2, 1.0).alias("r")).select("row_idx", "r.route", "r.reason")
 
 
-@query("FN-21", V.with_sql(V.CLIPS, select=r"select row_idx, case when row_idx % 3 = 0 then '/data/new/' || clip_id || '.wav' else 'E:/other/' || clip_id || '.wav' end as path from clips"))
+#: Paths under the new prefix, and whether the listing, which has every second clip, lacks them.
+@query("FN-21", V.with_sql(V.CLIPS, "moved as (select row_idx, case when row_idx % 3 = 0 then '/data/new/' || clip_id || '.wav' else 'E:/other/' || clip_id || '.wav' end as path from clips)",
+  select="select path, count(*) as n, not bool_or(row_idx % 3 = 0 and row_idx % 2 = 0) as missing from moved group by 1"))
 def fn21(spark, sf_dir):
-    c = V.clips(spark, sf_dir)
-    old = F.when(F.col("row_idx") % 3 == 0, F.concat(F.lit("C:\\corpus\\\\old/"), "clip_id", F.lit(".wav"))).otherwise(F.concat(F.lit("E:\\other\\"), "clip_id", F.lit(".wav")))
-    return c.select("row_idx", T.relocated(old, "C:/corpus/old", "/data/new").alias("path"))
+    from cliploom.operators import joins as J
+
+    c, i = V.clips(spark, sf_dir), F.col("row_idx")
+    old = F.when(i % 3 == 0, F.concat(F.lit("C:\\corpus\\\\old/"), "clip_id", F.lit(".wav"))).otherwise(F.concat(F.lit("E:\\other\\"), "clip_id", F.lit(".wav")))
+    moved = J.relocate_paths(c.select("row_idx", old.alias("audio")), "C:/corpus/old", "/data/new", ["audio"])
+    listing = c.where((i % 2 == 0) & (i % 3 == 0)).select(F.concat(F.lit("/data/new/"), "clip_id", F.lit(".wav")).alias("path"))
+    gone = J.missing_targets(moved, listing, ["audio"]).select("path", F.lit(True).alias("missing"))
+    return moved.groupBy(F.col("audio").alias("path")).agg(F.count(F.lit(1)).alias("n")).join(gone, "path", "left").select("path", "n", F.coalesce("missing", F.lit(False)).alias("missing"))
 
 
 @query("FN-22", """select row_idx, substr(sha256('{"category":"' || category || '","ident":"' || ident || '","row_idx":' || row_idx || '}'), 1, 16) as fingerprint from (""" + V.with_sql(V.ATC, select="select * from atc") + ")")
@@ -174,12 +182,21 @@ def wer2(spark, sf_dir):
 BAND = "case when duration < 3 then '<3s' when duration < 6 then '3-6s' else '>6s' end"
 
 
-@query("WER-3", V.with_sql(V.UTT, EDITS, select=f"""select 'all' as slice, 'all' as value, {SLICED}
- union all select 'category', category, {SLICED} group by category union all select 'source', source, {SLICED} group by source
- union all select 'band', {BAND}, {SLICED} group by {BAND}"""))
+BLOCK = "case when row_idx % 24 < 4 then '00-03' when row_idx % 24 < 12 then '04-11' when row_idx % 24 < 16 then '12-15' when row_idx % 24 < 20 then '16-19' else '20-23' end"
+CALLED = "called as (select *, row_idx % 7 = 0 as has_call from (select row_idx, category, source, duration, errors_b, ref_words + case when row_idx % 7 = 0 then 3 else 0 end as ref_words from edits))"
+
+
+#: Every seventh text ends with a callsign, as its hypothesis does; names of clips give the hour.
+@query("WER-3", V.with_sql(V.UTT, EDITS, CALLED, select=" union all ".join(f"select {s} as slice, {v} as value, {SLICED.replace('from edits', 'from called')} {g}" for s, v, g in [
+  ("'all'", "'all'", ""), *((f"'{n}'", v, f"group by {v}") for n, v in (("category", "category"), ("source", "source"), ("band", BAND), ("hour", BLOCK), ("callsign", "case when has_call then 'with' else 'without' end")))])))
 def wer3(spark, sf_dir):
-    d = counted(spark, sf_dir).withColumn("band", T.duration_band(F.col("duration")))
-    return wer.wer_slices(d, ["category", "source", "band"])
+    i = F.col("row_idx")
+    tail = F.when(i % 7 == 0, " csa one two").otherwise("")
+    u = V.utterances(spark, sf_dir).withColumns({"reference": F.concat("reference", tail), "hypothesis": F.concat("hyp_b", tail)})
+    u = u.withColumn("clip_id", F.concat(F.lit("KX_20240101_"), F.lpad((i % 24).cast("string"), 2, "0"), F.lit("0000.wav")))
+    has_call = F.exists(extract_entities({"csa": "CSA"})(F.col("reference")), lambda e: e["type"] == "callsign")
+    d = wer.wer_counts(u.withColumns({"band": T.duration_band(F.col("duration")), "hour": T.hour_block(F.col("clip_id")), "callsign": F.when(has_call, "with").otherwise("without")}))
+    return wer.wer_slices(d, ["category", "source", "band", "hour", "callsign"])
 
 
 @query("WER-4", V.with_sql(V.UTT, EDITS, select="""select sum(least(e, ref_words)) / sum(ref_words) as wer, count(*) filter (e > ref_words) as capped_rows, sum(e - least(e, ref_words))::bigint as discarded_errors

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import wave
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ENTITY = "struct<type:string,value:string,spoken:string,critical:boolean>"
@@ -56,25 +57,52 @@ def read_versioned_snapshot(spark: SparkSession, halves: dict[str, str]) -> Data
     return out
 
 
-def _scenes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    decode = json.JSONDecoder()
+def concatenated_json(spark: SparkSession, path: str) -> DataFrame:
+    """value: the text of each group of JSON objects that ends where a line ends; objects stand one after another, over as many lines as they like.
+
+    Files are read in line-aligned splits by as many tasks. A line never begins inside a
+    JSON string, so all that a line must know of those before it is the depth of open
+    brackets: running sums within a split, and sums of the splits before it. Only the lines
+    of one object meet in a task.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"\\.", ""), '"[^"]*"', "")  # noqa: E731  without strings
+    # objects side by side in a line are put on lines of their own; breaks behind strings do no harm
+    parts = F.split(F.regexp_replace("value", r'("[^"\\]*+(?:\\.[^"\\]*+)*+"|[}\]](?=\s*[{\[]))', "$1\n"), "\n")
+    lines = lines.select("f", "b", "i", F.posexplode(F.when(bare(F.col("value")).rlike(r"[}\]]\s*[{\[]"), parts).otherwise(F.array("value"))).alias("k", "value"))
+    count = lambda c, kept: F.length(F.regexp_replace(c, f"[^{kept}]", ""))
+    lines = lines.withColumn("d", (count(bare(F.col("value")), r"{\[") - count(bare(F.col("value")), r"}\]")).cast("long"))
+
+    split = Window.partitionBy("f", "b").orderBy("i", "k")
+    upto = split.rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("f").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("f", "b").agg(F.sum("d").alias("d"))
+    blocks = blocks.select("f", "b", F.coalesce(F.sum("d").over(before), F.lit(0)).alias("open"))
+    deep = lines.withColumn("d", F.sum("d").over(upto)).join(F.broadcast(blocks), ["f", "b"]).withColumn("end", (F.col("d") + F.col("open") == 0).cast("long"))
+    ends = deep.groupBy("f", "b").agg(F.sum("end").alias("n"))
+    ends = ends.select("f", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ended"))
+    numbered = deep.withColumn("g", F.sum("end").over(upto) - F.col("end")).join(F.broadcast(ends), ["f", "b"])
+    groups = numbered.groupBy("f", (F.col("g") + F.col("ended")).alias("g")).agg(F.sort_array(F.collect_list(F.struct("b", "i", "k", "value"))).alias("x"))
+    return groups.select(F.array_join(F.col("x.value"), "\n").alias("value"))
+
+
+def _objects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    decode, blank = json.JSONDecoder(), re.compile(r"\s*")
     for pdf in batches:
+        found = []
         for text in pdf["value"]:
-            found, at = [], 0
-            while True:
-                while at < len(text) and text[at].isspace():
-                    at += 1
-                if at >= len(text):
-                    break
+            at = blank.match(text).end()
+            while at < len(text):
                 value, at = decode.raw_decode(text, at)
                 found.append(json.dumps(value))
-            yield pd.DataFrame({"scene": found})
+                at = blank.match(text, at).end()
+        yield pd.DataFrame({"scene": found})
 
 
 def read_scenes(spark: SparkSession, path: str) -> DataFrame:
     """A row per message with text: kind (airport), role, category, text, weight. Scenes are JSON values one after another."""
     scene = "struct<airport_ident:string,messages:array<struct<text:string,speaker:string,category:string>>>"
-    rows = spark.read.text(path, wholetext=True).mapInPandas(_scenes, "scene string").select(F.from_json("scene", scene).alias("s"))
+    rows = concatenated_json(spark, path).mapInPandas(_objects, "scene string").select(F.from_json("scene", scene).alias("s"))
     m = rows.select(F.coalesce("s.airport_ident", F.lit("unknown")).alias("kind"), F.explode("s.messages").alias("m"))
     return m.select("kind", F.coalesce("m.speaker", F.lit("unknown")).alias("role"), F.coalesce("m.category", F.lit("routine")).alias("category"), F.trim("m.text").alias("text"), F.lit(1.0).alias("weight")).where("text <> ''")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,9 +17,31 @@ def stream_dedup(clips: DataFrame, key: str = "audio_hash", delay: str = "1 hour
     return clips.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
-def stream_posteriors(pulls: DataFrame) -> DataFrame:
-    """Running successes, failures and posterior mean per arm, in complete or update mode."""
-    n = pulls.groupBy("arm").agg(F.sum("successes").alias("successes"), F.sum("failures").alias("failures"))
+def merge_pulls(table: str, key: str = "pull"):
+    """A foreachBatch function that adds a batch's pulls to a Parquet log, each pull once.
+
+    A batch is a folder of the log. If it runs again it writes its own folder anew, and
+    pulls that another batch holds are left out, also after a restart with new batch ids.
+    """
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        new = batch.dropDuplicates([key])
+        if exists(batch.sparkSession, table):
+            others = batch.sparkSession.read.parquet(table).where(F.col("batch") != batch_id).select(key)
+            new = new.join(others, key, "left_anti")
+        new.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
+
+    return merge
+
+
+def stream_posteriors(pulls: DataFrame, table: str, checkpoint: str) -> None:
+    """Merges all pulls (pull, arm, successes, failures) that are there now into the log; log_posteriors() reads it."""
+    pulls.writeStream.foreachBatch(merge_pulls(table)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def log_posteriors(spark: SparkSession, table: str) -> DataFrame:
+    """Successes, failures and posterior mean per arm of a log of pulls."""
+    n = spark.read.parquet(table).groupBy("arm").agg(F.sum("successes").alias("successes"), F.sum("failures").alias("failures"))
     return n.withColumn("mean", (F.col("successes") + 1) / (F.col("successes") + F.col("failures") + 2))
 
 
@@ -35,13 +57,16 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
     df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
+def exists(spark: SparkSession, table: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def append_once(df: DataFrame, table: str, key: str) -> int:
     """Appends rows whose key the Parquet table lacks; a redo of the same unit adds nothing. Returns how many."""
     spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
     new = df.dropDuplicates([key])
-    if there:
+    if exists(spark, table):
         new = new.join(spark.read.parquet(table).select(key), key, "left_anti")
     new = new.persist()
     n = new.count()

@@ -107,7 +107,7 @@ def test_repeat_score(spark, sf_dir, vectors):
         e -= e.mean()
         lags = range(2, len(e) // 2 + 1)
         best = max([0.0] + [sum(e[k] * e[k + lag] for k in range(len(e) - lag)) / (np.linalg.norm(e[:-lag]) * np.linalg.norm(e[lag:])) for lag in lags])
-        assert got[i].score == pytest.approx(best, abs=1e-9)
+        assert got[i].score == pytest.approx(best, abs=1e-9) and got[i].looped == (best > 0.8)
 
 
 def test_quiet_window(spark, sf_dir, vectors):
@@ -131,6 +131,10 @@ def test_measured_snr(spark, sf_dir, vectors):
         middle = (rest[(len(rest) - 1) // 2] + rest[len(rest) // 2]) / 2 if rest else None
         want = min(60.0, max(0.0, 10 * math.log10(sum(loud) / len(loud)) - middle)) if rest and loud else 60.0
         assert got[i].snr_db == pytest.approx(want)
+        power = [sum(v * v for v in x[k : k + 4]) for k in range(0, 64, 4)]
+        loud = [k for k, p in enumerate(power) if 10 * math.log10(p / max(power)) >= -6]
+        assert (got[i].start, got[i].stop) == (max(0, 4 * loud[0] - 2), min(64, 4 * loud[-1] + 6))
+    assert len({(r.start, r.stop) for r in got.values()}) > 20
 
 
 def test_cohort_spectra(spark, sf_dir, vectors):

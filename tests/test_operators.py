@@ -103,17 +103,6 @@ def test_identical_systems(spark):
     assert [round(x, 12) for x in one] == [round(x, 12) for x in many]
 
 
-def test_verification(spark):
-    ref = spark.createDataFrame([(1, 0, "callsign", "CSA123", True), (2, 0, "heading", "090", True), (3, 0, "heading", "090", True)], "row_idx long, at int, type string, value string, critical boolean")
-    hyp = spark.createDataFrame(
-        [(1, "a", 0, "callsign", "CSA1"), (1, "b", 0, "callsign", "CSA1"), (2, "a", 0, "heading", "090"), (2, "b", 0, "heading", "080")], "row_idx long, teacher string, at int, type string, value string"
-    )
-    v = {r.row_idx: r.verdict for r in G.verify_entities(ref, hyp).collect()}
-    assert v == {1: "substituted", 2: "verified", 3: "missed"}
-    t = {r.row_idx: r.recall for r in G.critical_totals(G.verify_entities(ref, hyp)).collect()}
-    assert t == {1: 0.0, 2: 1.0, 3: 0.0}
-
-
 def test_tiers(spark):
     rows = [(k, k / 14, 1.0, 0, True) for k in (3, 4, 7, 8, 12, 13)]
     df = spark.createDataFrame(rows, "k int, best_wer double, recall double, critical_substituted long, audio_ok boolean")
