@@ -13,7 +13,7 @@ def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counts = ppm.count_strings(docs.where(id_remainder("doc_id", 10) != 0))
     words, rare = ppm.build_words(counts)
-    scored = ppm.score(docs, None, words, rare, strings=ppm.build_strings(counts))
+    scored = ppm.score(docs, words, rare, ppm.build_strings(counts))
     return scored.select(
         "doc_id",
         (id_remainder("doc_id", 10) == 0).alias("held_out"),

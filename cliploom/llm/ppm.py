@@ -19,9 +19,6 @@ at least 1 / MAX_CODES of the training bytes are broadcast; the others that a te
 meet theirs by a shuffle on the string. Strings that no training text holds are worked
 out by depth, each distinct suffix once, so that no join gathers more than 256 strings.
 
-A Trie is the same model with only the strings of at least 1 / MAX_NODES of the training
-bytes as nodes, small enough for one process.
-
 Word counts, for a unigram base score, are handled likewise: words with at least
 1 / MAX_WORDS of the tokens are broadcast, the rest meet by a shuffle on the word.
 
@@ -35,16 +32,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import forget, give_back, map_arrow, slices, with_columns, written
+from cliploom.llm.common import forget, give_back, map_arrow, slices, unused, with_columns, written
 from cliploom.llm.neardup import WordHashes
 
 ORDER = 5
-MAX_NODES = 1 << 19
 MAX_WORDS = 1 << 20
 MAX_CODES = 1 << 21
 FLUSH = 1_000_000
@@ -115,100 +110,6 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1) if len(keys) else np.full(len(wanted), -1)
 
 
-@dataclass
-class Trie:
-    """For depths 1 to ORDER + 1 the sorted byte strings and their counts; total is all training bytes."""
-
-    keys: list[np.ndarray]
-    counts: list[np.ndarray]
-    total: int
-
-    def __post_init__(self):
-        # For a context of each length: its place as a node of depth length, and sums over its children.
-        self.contexts, self.parents = [], []
-        for o in range(ORDER + 1):
-            parent = self.keys[o] >> 8 if len(self.keys[o]) else np.zeros(0, np.int64)
-            # a child's context is all but its last byte
-            order = np.argsort(parent, kind="stable")
-            ctx, first = np.unique(parent[order], return_index=True)
-            q = np.diff(np.append(first, len(parent)))
-            kept = np.add.reduceat(self.counts[o][order], first) if len(first) else np.zeros(0, np.int64)
-            own = np.full(len(ctx), self.total, np.int64)
-            if o:
-                at = find(self.keys[o - 1], ctx)
-                own = np.where(at >= 0, self.counts[o - 1][at] if len(self.counts[o - 1]) else 0, 0)
-            entry = {"ctx": ctx, "total": np.maximum(own, kept), "q": q, "kept": kept, "order": order, "first": first}
-            entry["log_all"] = np.log10(entry["total"] + q)
-            with np.errstate(divide="ignore"):
-                entry["log_escape"] = np.log10(entry["total"] - kept + q) - entry["log_all"]
-            self.contexts.append(entry)
-        for o in range(1, ORDER + 1):  # what a context of length o leaves of the one of length o - 1
-            e, low = self.contexts[o], self.contexts[o - 1]
-            child = self.keys[o][e["order"]]
-            short = find(self.keys[o - 1], child & ((1 << 8 * o) - 1))
-            seen = self.counts[o - 1][short]
-            excluded = np.add.reduceat(seen, e["first"]) if len(e["first"]) else np.zeros(0, np.int64)
-            at = find(low["ctx"], e["ctx"] & ((1 << 8 * (o - 1)) - 1))
-            total, q, kept = low["total"][at] - excluded, low["q"][at] - e["q"], low["kept"][at] - excluded
-            e["low_all"] = np.log10(np.maximum(total + q, 1))
-            e["low_escape"] = np.where(q > 0, np.log10(np.maximum(total - kept + q, 1)) - e["low_all"], 0.0)
-        known = len(self.keys[0])
-        self.flat = -np.log10(256 - known) if known < 256 else 0.0
-        self.logs = [np.log10(c) for c in self.counts]
-
-    def log_probability(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each code, given the bytes before it."""
-        out = np.zeros(len(codes))
-        longer = np.full(len(codes), -1)  # place of the context one byte longer, if coding began there or above
-        todo = np.arange(len(codes))
-        for o in range(ORDER, -1, -1):
-            if not len(todo):
-                break
-            e = self.contexts[o]
-            begun = longer[todo] >= 0
-            code = codes[todo]
-            ctx = find(e["ctx"], (code >> 8) & ((1 << 8 * o) - 1))
-            node = np.where(ctx >= 0, find(self.keys[o], code & ((1 << 8 * (o + 1)) - 1)), -1)
-            hit, miss = node >= 0, (node < 0) & (ctx >= 0)
-            up = longer[todo]
-            if o < ORDER:
-                high = self.contexts[o + 1]
-                x = hit & begun
-                out[todo[x]] += self.logs[o][node[x]] - high["low_all"][up[x]]
-                x = miss & begun
-                out[todo[x]] += high["low_escape"][up[x]]
-            x = hit & ~begun
-            out[todo[x]] += self.logs[o][node[x]] - e["log_all"][ctx[x]]
-            x = miss & ~begun
-            out[todo[x]] += e["log_escape"][ctx[x]]
-            longer[todo] = np.where(ctx >= 0, ctx, longer[todo])
-            todo = todo[~hit]
-        out[todo] += self.flat
-        return out
-
-    def scores(self, texts: list[str]) -> np.ndarray:
-        codes, sizes = byte_strings(texts)
-        unique, inverse = np.unique(codes, return_inverse=True)
-        doc = np.repeat(np.arange(len(texts)), sizes)
-        return np.bincount(doc, self.log_probability(unique)[inverse], minlength=len(texts))
-
-
-def build_trie(counts: DataFrame) -> Trie:
-    """The nodes of at least a share of 1 / MAX_NODES, summed by depth in Spark."""
-    grams = counts.where(F.col("kind") == GRAM)
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    depth = F.explode(F.sequence(F.lit(1), F.lit(ORDER + 1))).alias("depth")
-    cut = F.expr("key & (shiftleft(1L, 8 * depth) - 1L)")
-    nodes = grams.select("key", "n", depth).groupBy("depth", cut.alias("code")).agg(F.sum("n").alias("n"))
-    rows = nodes.where(F.col("n") * MAX_NODES >= F.lit(total)).toPandas() if total else pd.DataFrame({"depth": [], "code": [], "n": []})
-    keys, sizes = [], []
-    for d in range(1, ORDER + 2):
-        own = rows[rows["depth"] == d].sort_values("code")
-        keys.append(own["code"].to_numpy(np.int64))
-        sizes.append(own["n"].to_numpy(np.int64))
-    return Trie(keys, sizes, total)
-
-
 @dataclass
 class Words:
     """Sorted hashes and counts of the frequent words; tokens and distinct words of the training texts."""
@@ -328,19 +229,19 @@ def counted(keys: np.ndarray, doc: np.ndarray, docs: int) -> tuple[pa.Array, pa.
     return tuple(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in zip(*own, strict=True))
 
 
-def pairs_of(table: DataFrame, keys: str, many: str) -> DataFrame:
-    """__row, key, many: a row for each key of the lists."""
-    pairs = table.select("__row", F.explode(F.arrays_zip(keys, many)).alias("x"))
-    return pairs.select("__row", F.col(f"x.{keys}").alias("key"), F.col(f"x.{many}").alias("many"))
+def pairs_of(table: DataFrame, row: str, keys: str, many: str) -> DataFrame:
+    """row, key, many: a row for each key of the lists."""
+    return table.select(row, F.inline(F.arrays_zip(keys, many)).alias("key", "many"))
 
 
-def score(df: DataFrame, trie: Trie | None, words: Words, rare: DataFrame, text: str = "text", strings: Strings | None = None) -> DataFrame:
-    """df without its text, with n_tokens, n_known, base_score and score: by the whole model of strings, else by the trie."""
-    often = (strings.often, strings.logs) if strings else None
-    both = df.sparkSession.sparkContext.broadcast((None if strings else trie, often, words))
+def score(df: DataFrame, words: Words, rare: DataFrame, strings: Strings, text: str = "text") -> DataFrame:
+    """df without its text, with n_tokens, n_known, base_score and score."""
+    both = df.sparkSession.sparkContext.broadcast((strings.often, strings.logs, words))
+    lists = {unused(df, x): "array<long>" for x in ("keys", "many", "codes", "times")}
+    keys, many, codes, times = lists
 
     def run(batches):
-        trie, often, words = both.value
+        often, logs, words = both.value
         hashes = WordHashes()
         for batch, texts in slices(batches, text):
             key, sizes = words_of(texts, hashes)
@@ -350,45 +251,40 @@ def score(df: DataFrame, trie: Trie | None, words: Words, rare: DataFrame, text:
             c = np.where(known, words.counts[at] if len(words.counts) else 0, 0)
             base = np.log10((c + words.add) / words.all) if words.all else np.zeros(len(key))
             names = counted(key[~known], doc[~known], len(texts))
-            if often:
-                codes, sizes_b = byte_strings(texts)
-                place = np.repeat(np.arange(len(texts)), sizes_b)
-                unique, inverse = np.unique(codes, return_inverse=True)
-                at = find(often[0], unique)
-                logs = np.where(at >= 0, often[1][at] if len(often[1]) else 0.0, 0.0)[inverse]
-                scores, new = np.bincount(place, logs, minlength=len(texts)), (at < 0)[inverse]
-                rest = counted(codes[new], place[new], len(texts))
-            else:
-                scores, rest = trie.scores(texts), counted(np.zeros(0, np.int64), np.zeros(0, np.int64), len(texts))
+            strings_of, sizes_b = byte_strings(texts)
+            place = np.repeat(np.arange(len(texts)), sizes_b)
+            unique, inverse = np.unique(strings_of, return_inverse=True)
+            at = find(often, unique)
+            own = np.where(at >= 0, logs[at] if len(logs) else 0.0, 0.0)[inverse]
+            new = (at < 0)[inverse]
+            rest = counted(strings_of[new], place[new], len(texts))
             made = {
                 "n_tokens": pa.array(sizes),
                 "n_known": pa.array(np.bincount(doc[known], minlength=len(texts)).astype(np.int64)),
-                "base_score": pa.array(np.bincount(doc, base, minlength=len(texts))),
-                "score": pa.array(scores),
-                "__keys": names[0],
-                "__many": names[1],
-                "__codes": rest[0],
-                "__times": rest[1],
+                "base_score": pa.array(np.bincount(doc, base, minlength=len(texts)).astype(np.float64)),
+                "score": pa.array(np.bincount(place, own, minlength=len(texts)).astype(np.float64)),  # of nothing bincount makes integers
+                keys: names[0],
+                many: names[1],
+                codes: rest[0],
+                times: rest[1],
             }
             yield with_columns(batch, made).drop_columns([text])
 
-    added = "n_tokens long, n_known long, base_score double, score double, __keys array<long>, __many array<long>, __codes array<long>, __times array<long>"
-    made = map_arrow(df, df.columns, run, added, without=[text]).withColumn("__row", F.monotonically_increasing_id())
-    table = written(made, "scores")
+    added = "n_tokens long, n_known long, base_score double, score double, " + ", ".join(f"{n} {t}" for n, t in lists.items())
+    row = unused(df, "row")
+    table = written(map_arrow(df, df.columns, run, added, without=[text]).withColumn(row, F.monotonically_increasing_id()), "scores")
     more = F.log10(F.col("n") + words.add) - float(np.log10(words.add))
-    found = pairs_of(table, "__keys", "__many").join(rare, "key").groupBy("__row").agg(F.sum("many").alias("__known"), F.sum(F.col("many") * more).alias("__more"))
-    out = table.drop("__keys", "__many", "__codes", "__times").join(found, "__row", "left")
-    if strings:
-        pairs = pairs_of(table, "__codes", "__times").withColumnRenamed("key", "code")
-        wanted = written(pairs.select("code").distinct().join(strings.codes.select("code"), "code", "left_anti"), "unseen")
-        logs = strings.codes.select("code", "log").unionByName(unseen_logs(strings, wanted))
-        out = out.join(pairs.join(logs, "code").groupBy("__row").agg(F.sum(F.col("many") * F.col("log")).alias("__rest")), "__row", "left")
-    else:
-        out = out.withColumn("__rest", F.lit(0.0))
+    found = pairs_of(table, row, keys, many).join(rare, "key").groupBy(row).agg(F.sum("many").alias("known"), F.sum(F.col("many") * more).alias("more"))
+    pairs = pairs_of(table, row, codes, times).withColumnRenamed("key", "code")
+    wanted = written(pairs.select("code").distinct().join(strings.codes.select("code"), "code", "left_anti"), "unseen")
+    logs = strings.codes.select("code", "log").unionByName(unseen_logs(strings, wanted))
+    rest = pairs.join(logs, "code").groupBy(row).agg(F.sum(F.col("many") * F.col("log")).alias("rest"))
+    sums = found.join(rest, row, "full").select(row, F.struct("known", "more", "rest").alias(keys))  # one name that no column has
+    out = table.drop(*lists).join(sums, row, "left")
     return out.select(
         *[c for c in df.columns if c not in (text, "n_tokens", "n_known", "base_score", "score")],
         "n_tokens",
-        (F.col("n_known") + F.coalesce("__known", F.lit(0))).alias("n_known"),
-        (F.col("base_score") + F.coalesce("__more", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("__rest", F.lit(0.0))).alias("score"),
+        (F.col("n_known") + F.coalesce(F.col(keys)["known"], F.lit(0))).alias("n_known"),
+        (F.col("base_score") + F.coalesce(F.col(keys)["more"], F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce(F.col(keys)["rest"], F.lit(0.0))).alias("score"),
     )

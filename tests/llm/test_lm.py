@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 
 from cliploom.llm import ppm
+from cliploom.llm.common import written
 from cliploom.llm.op06_lm import op6_lm
 
 
@@ -55,7 +56,7 @@ def test_query(spark, sf_dir):
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
     counts = Counter(w for i, t in texts.items() if not held[i] for w in tokens(t))
     n, v = sum(counts.values()), len(counts)
-    model, _ = plain_model([t for i, t in texts.items() if not held[i]], ppm.MAX_NODES)
+    model, _ = plain_model([t for i, t in texts.items() if not held[i]], 1 << 40)
     rows = op6_lm(spark, sf_dir).collect()
     assert len(rows) == len(texts)
     for r in rows:
@@ -70,38 +71,48 @@ def test_query(spark, sf_dir):
 
 
 def test_probabilities_sum_to_one_and_rare_words_meet(spark, monkeypatch):
-    monkeypatch.setattr(ppm, "MAX_NODES", 40)
+    monkeypatch.setattr(ppm, "MAX_CODES", 40)
     monkeypatch.setattr(ppm, "MAX_WORDS", 4)
     texts = ["abracadabra abra", "the theatre there", "", "é zz"] * 5 + ["once only"]
     df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
     counts = ppm.count_strings(df)
-    trie = ppm.build_trie(counts)
-    _, log_probability = plain_model(texts, 40)
+    strings = ppm.build_strings(counts)
+    _, log_probability = plain_model(texts, 1 << 40)
     for history in (b"\0\0\0\0\0", b"abrac", b"e the", b"zzzzz", b"\0\0the"):
         code = int.from_bytes(history, "big")
-        got = trie.log_probability(np.array([code << 8 | s for s in range(256)]))
-        assert math.isclose((10**got).sum(), 1, rel_tol=1e-9)
-        assert np.allclose(got, [log_probability(history, s) for s in range(256)])
+        wanted = spark.createDataFrame([(code << 8 | s,) for s in range(256)], "code long")
+        known = wanted.join(strings.codes.select("code", "log"), "code")
+        unseen = ppm.unseen_logs(strings, written(wanted.join(known, "code", "left_anti"), "unseen"))
+        got = {r.code & 255: r.log for r in known.unionByName(unseen).collect()}
+        assert len(got) == 256 and math.isclose(sum(10**x for x in got.values()), 1, rel_tol=1e-9)
+        assert np.allclose([got[s] for s in range(256)], [log_probability(history, s) for s in range(256)])
     words, rare = ppm.build_words(counts)
     assert len(words.keys) < words.distinct
     own = Counter(w for t in [*texts, ""] for w in tokens(t))
-    rows = ppm.score(df.withColumn("score", df.text), trie, words, rare).collect()
+    clashing = df.withColumn("score", df.text).withColumn("__row", df.text).withColumn("__keys", df.text)
+    rows = ppm.score(clashing, words, rare, strings).collect()
+    assert sorted(str(r["__row"]) for r in rows) == sorted(map(str, [*texts, None])) and rows[0]["__keys"] == rows[0]["__row"]
     want = sorted(sum(math.log10((own[w] + 0.1) / words.all) for w in tokens(t)) for t in [*texts, ""])
     assert np.allclose(sorted(r.base_score for r in rows), want)
     assert sorted(r.n_known for r in rows) == sorted(len(tokens(t)) for t in [*texts, ""])
 
 
-def test_without_training_texts(spark):
+def test_without_training_texts_and_without_any_text(spark):
     df = spark.createDataFrame([("ab",)], "text string")
     counts = ppm.count_strings(df.limit(0))
     words, rare = ppm.build_words(counts)
-    (row,) = ppm.score(df, ppm.build_trie(counts), words, rare).collect()
+    strings = ppm.build_strings(counts)
+    (row,) = ppm.score(df, words, rare, strings).collect()
     assert math.isclose(row.score, -2 * math.log10(256)) and row.n_known == 0
-    assert ppm.score(df.limit(0), ppm.build_trie(counts), words, rare).count() == 0
+    assert ppm.score(df.limit(0), words, rare, strings).count() == 0
+    none = spark.createDataFrame([(None,), ("",), (None,)], "text string").coalesce(1)
+    assert [r.score for r in ppm.score(none, words, rare, strings).collect()] == [0.0] * 3
+    counts = ppm.count_strings(none)
+    rows = ppm.score(none, *ppm.build_words(counts), ppm.build_strings(counts)).collect()
+    assert [(r.score, r.n_tokens, r.n_known) for r in rows] == [(0.0, 1, 1)] * 3
 
 
 def test_contexts_below_the_broadcast_share_count(spark, monkeypatch):
-    monkeypatch.setattr(ppm, "MAX_NODES", 40)
     monkeypatch.setattr(ppm, "MAX_CODES", 40)
     train = ["abracadabra abra", "the theatre there", "", "é zz"] * 5 + ["once only"]
     new = ["once only", "once more", "abrupt theatre", "é é zebra", "", "QQ"]
@@ -110,15 +121,14 @@ def test_contexts_below_the_broadcast_share_count(spark, monkeypatch):
     assert 0 < len(strings.often) < strings.codes.count()
     model, _ = plain_model(train, 1 << 40)
     df = spark.createDataFrame(list(enumerate([*train, *new])), "id int, text string")
-    rows = {r.id: r.score for r in ppm.score(df, None, *ppm.build_words(counts), strings=strings).collect()}
+    rows = {r.id: r.score for r in ppm.score(df, *ppm.build_words(counts), strings).collect()}
     assert len(rows) == len(train) + len(new)
     for i, t in enumerate([*train, *new]):
         assert math.isclose(rows[i], model(t), rel_tol=1e-9, abs_tol=1e-9)
 
 
 def test_query_keeps_every_context(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(ppm, "MAX_NODES", 1000)  # stands for a corpus many times as large
-    monkeypatch.setattr(ppm, "MAX_CODES", 1000, raising=False)
+    monkeypatch.setattr(ppm, "MAX_CODES", 1000)  # stands for a corpus many times as large
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     model, _ = plain_model([t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10], 1 << 40)
     for r in op6_lm(spark, sf_dir).collect()[:25]:
