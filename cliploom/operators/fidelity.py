@@ -166,29 +166,125 @@ def select_candidate(evals: DataFrame) -> DataFrame:
     return d.where("diff <= coalesce(se, 0) or diff = 0").orderBy("step").limit(1).select("step", "diff")
 
 
-def separability_probe(df: DataFrame, vector: str, in_a: str, key: str, folds: int = 5, seed: str = "probe") -> DataFrame:
-    """accuracy (balanced, over held-out folds), verdict, and null (of a split of one set in half, which nothing should tell apart)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import array_to_vector
-
-    def balanced(rows: DataFrame) -> DataFrame:
-        fold = F.pmod(F.conv(F.substring(order_key(seed, F.col(key)), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
-        own = rows.select(F.col("label").cast("double").alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("raw"), fold.alias("fold")).persist()
-        parts = None
-        for i in range(folds):
-            train, test = own.where(F.col("fold") != i), own.where(F.col("fold") == i)
-            scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
-            got = LogisticRegression(maxIter=50, regParam=0.01).fit(scaler.transform(train)).transform(scaler.transform(test)).select("label", "prediction")
-            parts = got if parts is None else parts.unionByName(got)
-        by_class = parts.groupBy("label").agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("hit"))
-        return by_class.agg(F.avg("hit").alias("accuracy"))
-
-    real = balanced(df.withColumn("label", F.col(in_a).cast("int")))
-    half = F.pmod(F.conv(F.substring(order_key(seed, F.lit("half"), F.col(key)), 1, 8), 16, 10).cast("long"), F.lit(2))
-    null = balanced(df.where(F.col(in_a)).withColumn("label", half)).withColumnRenamed("accuracy", "null")
-    verdict = F.when(F.col("accuracy") > 0.65, "separable").when(F.col("accuracy") > 0.55, "unclear").otherwise("alike")
-    return real.crossJoin(null).withColumn("verdict", verdict)
+class Probes:
+    """Logistic probes for all layers, both tasks (the sets; halves of one set) and all folds, fitted together.
+
+    Every pass over the rows gives sums of the size of the models, which tasks add up by
+    layer; only they reach the driver. A model is fitted on all folds but its own, on
+    standardized features, with mean loss and an L2 penalty, by gradient steps of
+    Barzilai and Borwein.
+    """
+
+    def __init__(self, rows: DataFrame, layers: int, folds: int, l2: float):
+        self.rows, self.layers, self.folds, self.l2 = rows, layers, folds, l2
+
+    def summed(self, of) -> list[np.ndarray]:
+        """For each layer the sum over all rows of of(layer, x, known, y, fold): an array for x, and labels of both tasks."""
+        n = self.layers
+
+        def part(batches):
+            total: list = [None] * n
+            for pdf in batches:
+                x = np.stack([np.stack(v) for v in pdf["layers"]]).astype(float) if len(pdf) else None
+                if x is None:
+                    continue
+                y = np.stack([pdf["in_a"].to_numpy(), pdf["half"].to_numpy()])
+                known, fold = np.stack([np.ones(len(pdf), bool), pdf["in_a"].to_numpy() == 1]), pdf["fold"].to_numpy()
+                for k in range(n):
+                    own = of(k, x[:, k], known, y, fold)
+                    total[k] = own if total[k] is None else total[k] + own
+            yield pd.DataFrame({"layer": [k for k in range(n) if total[k] is not None], "total": [t.ravel() for t in total if t is not None]})
+
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:  # a row for each task that has rows
+            return pd.DataFrame({"layer": [int(pdf["layer"].iloc[0])], "total": [np.sum(np.stack(pdf["total"].to_numpy()), axis=0)]})
+
+        kind = "layer int, total array<double>"
+        rows = self.rows.mapInPandas(part, kind).groupBy("layer").applyInPandas(add, kind).collect()  # a row a layer
+        return [np.array(r["total"]) for r in sorted(rows, key=lambda r: r["layer"])]
+
+    def moments(self) -> None:
+        folds = self.folds
+
+        def of(k, x, known, y, fold):
+            both = np.concatenate([np.ones((len(x), 1)), x, x * x], axis=1)
+            return np.stack([[both[m & (fold == f)].sum(0) for f in range(folds)] for m in known])
+
+        own = np.stack([t.reshape(2, folds, -1) for t in self.summed(of)])
+        train = own.sum(2, keepdims=True) - own  # layer, task, fold, 1 + 2 * d
+        d = (train.shape[-1] - 1) // 2
+        self.n = np.maximum(train[..., :1], 1)
+        self.mean = train[..., 1 : d + 1] / self.n
+        spread = (train[..., d + 1 :] - self.n * self.mean**2) / np.maximum(self.n - 1, 1)
+        self.sd = np.where(spread > 1e-12, np.sqrt(np.maximum(spread, 0)), 1.0)
+
+    def in_rows(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and offsets for features as they are."""
+        a = w[..., :-1] / self.sd
+        return a, w[..., -1] - (self.mean * a).sum(-1)
+
+    def gradient(self, w: np.ndarray) -> np.ndarray:
+        folds, (a, c) = self.folds, self.in_rows(w)
+
+        def of(k, x, known, y, fold):
+            out = []
+            for t in range(2):
+                off = 1 / (1 + np.exp(-np.clip(x @ a[k, t].T + c[k, t], -30, 30))) - y[t][:, None]
+                off *= known[t][:, None] & (fold[:, None] != np.arange(folds))
+                out.append(np.concatenate([off.T @ x, off.sum(0)[:, None]], axis=1))
+            return np.stack(out)
+
+        g = np.stack([t.reshape(2, folds, -1) for t in self.summed(of)]) / self.n
+        inner = (g[..., :-1] - self.mean * g[..., -1:]) / self.sd + self.l2 * w[..., :-1]
+        return np.concatenate([inner, g[..., -1:]], axis=-1)
+
+    def fit(self, steps: int, tolerance: float = 1e-3) -> np.ndarray:
+        self.moments()
+        w = np.zeros((*self.mean.shape[:-1], self.mean.shape[-1] + 1))
+        g, rate = self.gradient(w), 0.5
+        for _ in range(steps):
+            if np.abs(g).max(initial=0) < tolerance:
+                break
+            new = w - rate * g
+            after = self.gradient(new)
+            s, y = new - w, after - g
+            rate = np.clip((s * s).sum(-1, keepdims=True) / np.maximum((s * y).sum(-1, keepdims=True), 1e-12), 1e-2, 50.0)
+            w, g = new, after
+        return w
+
+    def hits(self, w: np.ndarray) -> np.ndarray:
+        """By layer, task and class: rows, and rows that the model without their fold gets right."""
+        a, c = self.in_rows(w)
+
+        def of(k, x, known, y, fold):
+            said = np.stack([(x * a[k, t][fold]).sum(1) + c[k, t][fold] > 0 for t in range(2)])
+            return np.array([[[(m := known[t] & (y[t] == v)).sum(), (m & (said[t] == v)).sum()] for v in (0, 1)] for t in range(2)], float)
+
+        return np.stack([t.reshape(2, 2, 2) for t in self.summed(of)])
+
+
+def separability_probe(df: DataFrame, vector: str, in_a: str, key: str, folds: int = 5, seed: str = "probe", steps: int = 60) -> DataFrame:
+    """layer, accuracy (balanced, over held-out folds), verdict, and null (of a split of one set in half, which nothing should tell apart).
+
+    vector is an array for one layer, or an array of arrays for a stack of layers, which
+    are fitted together. Accuracies are null where a class has no rows.
+    """
+    spark = df.sparkSession
+    stack = F.col(vector) if dict(df.dtypes)[vector].startswith("array<array") else F.array(vector)
+    number = lambda *parts: F.conv(F.substring(order_key(seed, *parts, F.col(key)), 1, 8), 16, 10).cast("long")
+    own = df.where(F.col(vector).isNotNull()).select(stack.alias("layers"), F.col(in_a).cast("int").alias("in_a"), (number() % folds).cast("int").alias("fold"), (number(F.lit("half")) % 2).cast("int").alias("half"))
+    rows = written(own, "probe")
+    kind = "layer int, accuracy double, `null` double, verdict string"
+    first = rows.select(F.size("layers")).first()
+    if not first:
+        return spark.createDataFrame([], kind)
+    probes = Probes(rows, first[0], folds, 0.01)
+    hits = probes.hits(probes.fit(steps))
+    out = []
+    for k, tasks in enumerate(hits):
+        accuracy, null = (float((t[:, 1] / t[:, 0]).mean()) if t[:, 0].all() else None for t in tasks)
+        verdict = None if accuracy is None else "separable" if accuracy > 0.65 else "unclear" if accuracy > 0.55 else "alike"
+        out.append((k, accuracy, null, verdict))
+    return spark.createDataFrame(out, kind)
 
 
 def cohort_ltas(df: DataFrame, samples: str, cohort: str, frame: int, points: int = 16) -> DataFrame:

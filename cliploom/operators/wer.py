@@ -11,7 +11,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from cliploom.functions.text import normalize_atc, words
 
 COUNTS = StructType([StructField(n, LongType()) for n in ("hits", "substitutions", "deletions", "insertions")])
-
+PAIR = StructType([StructField(n, LongType()) for n in ("errors_a", "errors_b", "ref_words")])
 
 FAR = 1 << 40
 
@@ -89,24 +89,43 @@ def align(ref: list[str], hyp: list[str]) -> tuple[int, int, int, int]:
         band *= 2
 
 
-@F.pandas_udf(COUNTS)
-def _counts(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+def aligned(ref: pd.Series, *hypotheses: pd.Series) -> list[tuple[int, ...]]:
+    """Counts of each hypothesis against the same reference, side by side; equal rows are aligned once."""
     known: dict = {}
     rows = []
-    for pair in zip(ref.fillna(""), hyp.fillna(""), strict=True):
-        if pair not in known:
-            known[pair] = align(pair[0].split(), pair[1].split())
-        rows.append(known[pair])
-    return pd.DataFrame(rows, columns=["hits", "substitutions", "deletions", "insertions"])
+    for texts in zip(ref.fillna(""), *(h.fillna("") for h in hypotheses), strict=True):
+        if texts not in known:
+            r = texts[0].split()
+            known[texts] = sum((align(r, h.split()) for h in texts[1:]), ())
+        rows.append(known[texts])
+    return rows
+
+
+@F.pandas_udf(COUNTS)
+def _counts(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame(aligned(ref, hyp), columns=COUNTS.names)
+
+
+@F.pandas_udf(PAIR)
+def _pairs(ref: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    x = np.array(aligned(ref, a, b), np.int64).reshape(-1, 2, 4)
+    errors = x[:, :, 1:].sum(2)
+    return pd.DataFrame({"errors_a": errors[:, 0], "errors_b": errors[:, 1], "ref_words": x[:, 0, :3].sum(1)})
 
 
 def wer_counts(df: DataFrame, ref: str = "reference", hyp: str = "hypothesis", raw: bool = False) -> DataFrame:
     """df with hits, substitutions, deletions, insertions, errors and ref_words."""
     text = (lambda c: F.col(c)) if raw else (lambda c: normalize_atc(F.col(c)))
     df = df.withColumn("__c", _counts(text(ref), text(hyp)))
-    names = ["hits", "substitutions", "deletions", "insertions"]
-    df = df.withColumns({n: F.col(f"__c.{n}") for n in names}).drop("__c")
-    return df.withColumns({"errors": F.expr("substitutions + deletions + insertions"), "ref_words": F.size(words(text(ref))).cast("long")})
+    df = df.withColumns({n: F.col(f"__c.{n}") for n in COUNTS.names}).drop("__c")
+    # each word of the reference is a hit, replaced or left out
+    return df.withColumns({"errors": F.expr("substitutions + deletions + insertions"), "ref_words": F.expr("hits + substitutions + deletions")})
+
+
+def pair_counts(df: DataFrame, a: str, b: str, ref: str = "reference") -> DataFrame:
+    """df with errors_a, errors_b and ref_words of two systems: each text is normalized once, each row aligned in one call."""
+    made = _pairs(normalize_atc(F.col(ref)), normalize_atc(F.col(a)), normalize_atc(F.col(b)))
+    return df.withColumn("__c", made).select(*df.columns, "__c.*")
 
 
 def rate(errors: Column, total: Column) -> Column:
@@ -157,20 +176,26 @@ def paired_bootstrap(counted: DataFrame, replicates: int = 200, seed: int = 0, k
     base = pd.util.hash_array
 
     def sums(batches):
-        total = np.zeros((replicates, 3))
+        total, rows = np.zeros((replicates + 1, 3)), 0
         cut = np.cumsum(np.exp(-1) / np.cumprod(np.concatenate([[1.0], np.arange(1, 12)])))
         for pdf in batches:
             keys = base(pdf[key].to_numpy(np.int64).astype(np.uint64))
             values = pdf[["errors_a", "errors_b", "ref_words"]].to_numpy(float)
+            total[-1] += values.sum(0)
+            rows += len(pdf)
             for r in range(replicates):
                 mixed = base(keys ^ np.uint64((seed * 1_000_003 + r + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
                 total[r] += np.searchsorted(cut, (mixed >> np.uint64(11)) / 2.0**53, side="right") @ values
-        yield pd.DataFrame(total, columns=["a", "b", "n"]).assign(r=range(replicates))
+        yield pd.DataFrame(total, columns=["a", "b", "n"]).assign(rows=rows, r=[*range(replicates), -1])
 
     own = counted.where("ref_words > 0").select(key, "errors_a", "errors_b", "ref_words")
-    parts = own.mapInPandas(sums, "a double, b double, n double, r int").groupBy("r").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("n").alias("n"))
-    d = parts.select(((F.col("a") - F.col("b")) / F.col("n")).alias("d"))
-    tail = F.least(F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double")))
-    interval = d.agg(F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"), F.least(F.lit(1.0), 2 * tail).alias("p"))
-    point = own.agg(((F.sum("errors_a") - F.sum("errors_b")) / F.sum("ref_words")).alias("delta"), F.count(F.lit(1)).alias("n_rows"))
-    return point.crossJoin(interval)
+    # replicate -1 has a weight of 1 for each row: the point estimate comes from the same pass
+    parts = own.mapInPandas(sums, "a double, b double, n double, rows long, r int").groupBy("r").agg(*(F.sum(c).alias(c) for c in ("a", "b", "n", "rows")))
+    d = parts.select("r", "rows", F.try_divide(F.col("a") - F.col("b"), F.col("n")).alias("d"))
+    drawn = lambda c: F.when(F.col("r") >= 0, c)
+    tail = F.least(F.avg(drawn((F.col("d") <= 0).cast("double"))), F.avg(drawn((F.col("d") >= 0).cast("double"))))
+    quantile = lambda q: F.percentile(drawn(F.col("d")), q)  # noqa: E731  of as many values as there are replicates
+    return d.agg(
+        F.max(F.when(F.col("r") < 0, F.col("d"))).alias("delta"), F.max(F.when(F.col("r") < 0, F.col("rows"))).alias("n_rows"),
+        quantile(0.025).alias("low"), quantile(0.975).alias("high"), F.least(F.lit(1.0), 2 * tail).alias("p"),
+    )

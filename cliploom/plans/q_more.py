@@ -177,8 +177,12 @@ def udf2(spark, sf_dir):
 
 @query("FID-7", None)
 def fid7(spark, sf_dir):
-    e = V.table(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("label") < 5).alias("in_a"))
-    return D.separability_probe(e, "embedding", "in_a", "vec_id", folds=3)
+    """Three layers: the vectors, draws that tell nothing, and the vectors with a place that tells the sets apart."""
+    e = V.table(spark, sf_dir, "embeddings").withColumn("in_a", F.col("label") < 5)
+    x = F.col("embedding").cast("array<double>")
+    noise = F.transform(x, lambda v, i: V.draw("layer", F.col("vec_id"), i))
+    plain = F.transform(x, lambda v, i: v + F.when((i == 0) & F.col("in_a"), 0.5).otherwise(0.0))
+    return D.separability_probe(e.select("vec_id", "in_a", F.array(x, noise, plain).alias("layers")), "layers", "in_a", "vec_id", folds=3)
 
 
 @query("FID-4", None)

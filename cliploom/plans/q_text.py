@@ -219,9 +219,7 @@ def wer6(spark, sf_dir):
 
 @query("STA-3", None)
 def sta3(spark, sf_dir):
-    a = counted(spark, sf_dir, "hyp_a").select("row_idx", F.col("errors").alias("errors_a"), "ref_words")
-    b = counted(spark, sf_dir, "hyp_b").select("row_idx", F.col("errors").alias("errors_b"))
-    return wer.paired_bootstrap(a.join(b, "row_idx"))
+    return wer.paired_bootstrap(wer.pair_counts(V.utterances(spark, sf_dir), "hyp_a", "hyp_b"))
 
 
 @query("STA-11", V.with_sql(V.UTT, EDITS, select="""select row_idx, case when sd > 1e-6 then (reward - m) / sd else 0.0 end as advantage, sd > 1e-6 as used from (

@@ -187,12 +187,16 @@ def logistic(x, y, penalty):
 
 
 def test_probe(spark, sf_dir, vectors):
-    (got,) = QUERIES["FID-7"](spark, sf_dir).collect()
+    got = {r.layer: r for r in QUERIES["FID-7"](spark, sf_dir).collect()}
+    assert set(got) == {0, 1, 2}
     head = lambda *p: int(hashlib.md5(":".join(map(str, p)).encode()).hexdigest()[:8], 16)
 
-    def balanced(labels):
+    draw = lambda i, k: int(hashlib.md5(f"layer:{i}:{k}".encode()).hexdigest()[:13], 16) / 2**52
+    layers = {i: (x, np.array([draw(i, k) for k in range(len(x))]), x + 0.5 * (y < 5) * (np.arange(len(x)) == 0)) for i, (x, y) in vectors.items()}
+
+    def balanced(labels, layer):
         ids = sorted(labels)
-        x, y = np.array([vectors[i][0] for i in ids]), np.array([labels[i] for i in ids])
+        x, y = np.array([layers[i][layer] for i in ids]), np.array([labels[i] for i in ids])
         fold, said = np.array([head("probe", i) % 3 for i in ids]), np.zeros(len(ids))
         for k in range(3):
             train = fold != k
@@ -201,10 +205,12 @@ def test_probe(spark, sf_dir, vectors):
             said[~train] = ((x[~train] - mean) / sd) @ w[:-1] + w[-1] > 0
         return np.mean([(said[y == v] == v).mean() for v in (0, 1)])
 
-    real = balanced({i: int(y < 5) for i, (_, y) in vectors.items()})
-    null = balanced({i: head("probe", "half", i) % 2 for i, (_, y) in vectors.items() if y < 5})
-    assert got.accuracy == pytest.approx(real, abs=0.01) and got["null"] == pytest.approx(null, abs=0.01)
-    assert got.verdict == ("separable" if got.accuracy > 0.65 else "unclear" if got.accuracy > 0.55 else "alike")
+    for k, r in got.items():
+        real = balanced({i: int(y < 5) for i, (_, y) in vectors.items()}, k)
+        null = balanced({i: head("probe", "half", i) % 2 for i, (_, y) in vectors.items() if y < 5}, k)
+        assert r.accuracy == pytest.approx(real, abs=0.01) and r["null"] == pytest.approx(null, abs=0.01)
+        assert r.verdict == ("separable" if r.accuracy > 0.65 else "unclear" if r.accuracy > 0.55 else "alike")
+    assert got[2].verdict == "separable"
 
 
 def test_paired_bootstrap(spark, sf_dir):

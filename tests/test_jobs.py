@@ -163,3 +163,59 @@ def test_folds_of_small_blocks(spark):
     assert folds([("a", 5), ("b", 1), ("c", 2)]) == {"a": "a", "b": "pool", "c": "pool"}
     assert folds([("b", 5), ("c", 9), ("a", 1)]) == {"b": "b", "c": "c", "a": "b"}
     assert folds([("a", 1)]) == {"a": "pool"}
+
+
+def test_corpus_manifest_does_not_hang_on_order(spark):
+    from cliploom.sources.writers import corpus_manifest
+
+    df = spark.createDataFrame([(f"a{i}", f"t{i % 7}", "gold" if i % 3 else "silver") for i in range(50)], "audio string, text string, tier string")
+    one, many = ({r.tier: tuple(r) for r in corpus_manifest(x, "v1").collect()} for x in (df, df.repartition(5).orderBy(F.desc("audio"))))
+    assert one == many and one["all"][2] == 50 and one["gold"][2] + one["silver"][2] == 50
+    other = {r.tier: r.digest for r in corpus_manifest(df.withColumn("text", F.when(F.col("audio") == "a4", "x").otherwise(F.col("text"))), "v1").collect()}
+    assert other["all"] != one["all"][3] and other["silver"] == one["silver"][3]
+
+
+def test_errors_of_mixed_edits_in_whole_texts(spark, sf_dir):
+    """Words left out, replaced and put in, in one hypothesis: distances by a plain table."""
+    from cliploom.operators import wer
+
+    rnd = random.Random(8)
+    texts = [r.text.split()[:1500] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 4 = 1").collect() if r.text]
+    rows = []
+    for i, ref in enumerate(texts):
+        hyp = []
+        for w in ref:
+            u = rnd.random()
+            hyp += [] if u < 0.07 else ["zz"] if u < 0.14 else [w, rnd.choice(ref)] if u < 0.2 else [w]
+        rows.append((i, " ".join(ref), " ".join(hyp), " ".join(hyp[::2])))
+
+    def distance(a, b):
+        codes = {}
+        a, b = (np.array([codes.setdefault(w, len(codes)) for w in x]) for x in (a.split(), b.split()))
+        last = np.arange(len(b) + 1)
+        for x in a:
+            row = np.minimum(last[1:] + 1, last[:-1] + (b != x))
+            row = np.concatenate([[last[0] + 1], row])
+            last = np.minimum.accumulate(row - np.arange(len(row))) + np.arange(len(row))
+        return int(last[-1])
+
+    df = spark.createDataFrame(rows, "row_idx long, reference string, hypothesis string, other string").repartition(8)
+    got = {r.row_idx: r for r in wer.wer_counts(df, raw=True).collect()}
+    assert len(got) == len(rows) > 20
+    for i, ref, hyp, _ in rows:
+        r = got[i]
+        assert r.errors == distance(ref, hyp) and r.hits + r.substitutions + r.insertions == len(hyp.split()) and r.ref_words == len(ref.split())
+    assert sum(bool(r.substitutions and r.deletions and r.insertions) for r in got.values()) > 15
+    both = {r.row_idx: r for r in wer.pair_counts(df.withColumn("n", F.lit(1)), "hypothesis", "other").limit(10).collect()}
+    plain = {r.row_idx: (r.errors, r.ref_words) for r in wer.wer_counts(df.drop("other")).collect()}
+    assert all((r.errors_a, r.ref_words) == plain[i] and r.n == 1 for i, r in both.items())
+
+
+def test_normal_forms_agree(spark, sf_dir):
+    from cliploom.functions.register import normal_form
+    from cliploom.functions.text import normalize_atc
+
+    odd = [(None,), ("",), ("  X-Ray 35R! niner,fife  street don't_stop  ",), ("tree\\tfower\\n7",), ("\\u00e9t\\u00e9 12\\u00b2 \\u65e5\\u672c",)]
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").unionByName(spark.createDataFrame(odd, "text string"))
+    for r in df.select("text", normalize_atc(F.col("text")).alias("made")).collect():
+        assert r.made == normal_form(r.text)
