@@ -32,6 +32,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,7 +91,8 @@ def count_strings(df: DataFrame, text: str = "text") -> DataFrame:
         hashes, held = WordHashes(), {GRAM: [], WORD: []}
         for _, texts in slices(batches, text):
             for kind, keys in ((GRAM, byte_strings(texts)[0]), (WORD, words_of(texts, hashes)[0])):
-                held[kind].append(np.unique(keys, return_counts=True))
+                at, unique = pd.factorize(keys)
+                held[kind].append((unique, np.bincount(at, minlength=len(unique))))
                 if sum(len(x) for x, _ in held[kind]) > 2 * FLUSH:
                     held[kind][:] = [summed([x for x, _ in held[kind]], [x for _, x in held[kind]])]
                     if len(held[kind][0][0]) > FLUSH:
@@ -222,11 +224,11 @@ def unseen_logs(strings: Strings, wanted: DataFrame) -> DataFrame:
     return last.select("code", F.col("begun").alias("log"))
 
 
-def counted(keys: np.ndarray, doc: np.ndarray, docs: int) -> tuple[pa.Array, pa.Array]:
-    """The distinct keys of each document, and how often each occurs in it; doc is ascending."""
-    own = [np.unique(x, return_counts=True) for x in np.split(keys, np.cumsum(np.bincount(doc, minlength=docs))[:-1])]
-    offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k, _ in own])]).astype(np.int32))
-    return tuple(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in zip(*own, strict=True))
+def counted(at: np.ndarray, unique: np.ndarray, doc: np.ndarray, docs: int) -> tuple[pa.Array, pa.Array]:
+    """The distinct keys of each document, and how often each occurs in it; keys are places in unique."""
+    both, many = np.unique(doc * len(unique) + at, return_counts=True)
+    offsets = pa.array(np.searchsorted(both, np.arange(docs + 1) * len(unique)).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(unique[both % len(unique)] if len(both) else unique[:0])), pa.ListArray.from_arrays(offsets, pa.array(many))
 
 
 def pairs_of(table: DataFrame, row: str, keys: str, many: str) -> DataFrame:
@@ -246,18 +248,19 @@ def score(df: DataFrame, words: Words, rare: DataFrame, strings: Strings, text:
         for batch, texts in slices(batches, text):
             key, sizes = words_of(texts, hashes)
             doc = np.repeat(np.arange(len(texts)), sizes)
-            at = find(words.keys, key)
+            word, unique = pd.factorize(key)
+            at = find(words.keys, unique)[word]
             known = at >= 0
             c = np.where(known, words.counts[at] if len(words.counts) else 0, 0)
             base = np.log10((c + words.add) / words.all) if words.all else np.zeros(len(key))
-            names = counted(key[~known], doc[~known], len(texts))
+            names = counted(word[~known], unique, doc[~known], len(texts))
             strings_of, sizes_b = byte_strings(texts)
             place = np.repeat(np.arange(len(texts)), sizes_b)
-            unique, inverse = np.unique(strings_of, return_inverse=True)
+            string, unique = pd.factorize(strings_of)
             at = find(often, unique)
-            own = np.where(at >= 0, logs[at] if len(logs) else 0.0, 0.0)[inverse]
-            new = (at < 0)[inverse]
-            rest = counted(strings_of[new], place[new], len(texts))
+            own = np.where(at >= 0, logs[at] if len(logs) else 0.0, 0.0)[string]
+            new = (at < 0)[string]
+            rest = counted(string[new], unique, place[new], len(texts))
             made = {
                 "n_tokens": pa.array(sizes),
                 "n_known": pa.array(np.bincount(doc[known], minlength=len(texts)).astype(np.int64)),
