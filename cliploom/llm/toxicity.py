@@ -31,9 +31,11 @@ empty table scores no rows.
 from __future__ import annotations
 
 import itertools
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +47,7 @@ PART = 64
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 12, 8, 8
 INPUTS = WORD_DIM + CHAR_DIM + 1
 BUCKETS, FOLDS = 8192, 3
-SMOOTH, PRIOR = 0.05, 50
+SMOOTH, PRIOR, RECALL = 0.05, 50, 0.25
 PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 
 
@@ -137,12 +139,12 @@ class Network:
     def new(cls, words: list[str], seed: int = 0) -> Network:
         rnd = np.random.default_rng(seed)
         n = INPUTS
-        f = lambda *s, k=0.3: rnd.normal(0, k, s).astype(np.float32)
+        f = lambda *s, k=0.3: rnd.normal(0, k, s)
         w = {"E": f(len(words) + 1, WORD_DIM), "C": f(BUCKETS, CHAR_DIM)}
         for d in "fb":
             w |= {f"X{d}": f(n, 3 * HIDDEN), f"H{d}": f(HIDDEN, 3 * HIDDEN), f"B{d}": f(3 * HIDDEN, k=0.0)}
         w |= {"A": f(2 * HIDDEN, ATTENTION), "a": f(ATTENTION, k=0.0), "v": f(ATTENTION), "o": f(2 * HIDDEN), "c": f(1, k=0.0)}
-        return cls({x: i + 1 for i, x in enumerate(words)}, w, np.zeros(len(words) + 1, np.float32))
+        return cls({x: i + 1 for i, x in enumerate(words)}, w, np.zeros(len(words) + 1))
 
     def source(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Row of E of each word, the buckets of all n-grams, how many each word has, and its odds."""
@@ -348,6 +350,9 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 0) -> Network:
         net = learned(sample, np.ones(len(texts), bool), seed)
         best = unseen(net, sample, np.ones(len(texts), bool))
     net.cut, net.scale = cut_of(best, sample.toxic)
+    # fitted in double precision, so that the machine's order of sums decides nothing; scored in single precision
+    net.weights = {k: v.astype(np.float32) for k, v in net.weights.items()}
+    net.odds = net.odds.astype(np.float32)
     return net
 
 
@@ -373,7 +378,7 @@ def learned(sample: Sample, known: np.ndarray, seed: int, rounds: int = 3, passe
     row = np.zeros(len(names), np.int64)
     row[often] = 1 + np.arange(len(often))
     # a text's own share is taken off the counts that its windows see
-    own_odds = np.zeros((2, len(names)), np.float32)
+    own_odds = np.zeros((2, len(names)))
     for y in (0, 1):
         off = np.array([[1 - y], [y]])
         own_odds[y, often] = margin_odds(np.maximum(seen[:, often] - off, 0), texts - off[:, 0])
@@ -418,7 +423,7 @@ def learned(sample: Sample, known: np.ndarray, seed: int, rounds: int = 3, passe
                 out = net.forward(net.project(x), inverse, kept)
                 y = np.where(hot[part], 1 - SMOOTH, SMOOTH)
                 weigh = np.where(hot[part], 0.5 / share, 0.5 / (1 - share)) / len(part)
-                gradients = net.backward(((sigmoid(out[0]) - y) * weigh).astype(np.float32), kept, out, x, own)
+                gradients = net.backward((sigmoid(out[0]) - y) * weigh, kept, out, x, own)
                 step += 1
                 for k, g in gradients.items():
                     m, v = moments[k]
@@ -458,12 +463,12 @@ def scores(net: Network, sample: Sample, at: np.ndarray, rows_odds: tuple[np.nda
 def cut_of(best: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     """The middle of the logits between which the F value is highest, and the scale that fits the labels best there.
 
-    Precision counts twice as much as recall, as clean texts are many more. Both kinds weigh alike in training, so that a logit of 0 is the cut without any
+    Recall weighs RECALL of precision, as clean texts are many more. Both kinds weigh alike in training, so that a logit of 0 is the cut without any
     scores; it counts as PRIOR toxic texts, which softens a cut from few labels.
     """
     order = np.argsort(-best, kind="stable")
     falling = best[order]
-    f = 1.5 * np.cumsum(toxic[order]) / (np.arange(len(best)) + 1 + 0.5 * toxic.sum())
+    f = (1 + RECALL) * np.cumsum(toxic[order]) / (np.arange(len(best)) + 1 + RECALL * toxic.sum())
     top = np.nonzero(f >= f.max() - 1e-12)[0]
     k = int(top[len(top) // 2])
     low = falling[k + 1] if k + 1 < len(best) else falling[k] - 1
@@ -472,23 +477,29 @@ def cut_of(best: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return cut, min((0.25, 0.5, 1.0, 2.0), key=fit)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int, key: str = "doc_id", text: str = "text", label: str = "toxic"):
-    """Texts and labels of the sample, in a fixed order."""
+def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """key, text, __y (1 for toxic) and __h, by which the sample is ordered: at most max_toxic and max_clean rows."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max((F.col(label) != 0).cast("int")).alias("__y"))
     known = known.withColumn("__h", F.xxhash64(F.col(key).cast("string"), F.lit(7)))
     chosen = known.where("__y = 1").orderBy("__h", key).limit(max_toxic).unionByName(known.where("__y = 0").orderBy("__h", key).limit(max_clean))
-    rows = docs.select(key, text).join(F.broadcast(chosen), key).groupBy(key, "__y", "__h").agg(F.max(text).alias(text)).collect()
-    rows.sort(key=lambda r: (r["__h"], r[key]))
-    return [r[text] or "" for r in rows], np.array([r["__y"] for r in rows], bool)
+    return docs.select(key, text).join(F.broadcast(chosen), key).groupBy(key, "__y", "__h").agg(F.max(text).alias(text))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 800, max_clean: int = 1600, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Network:
-    texts, toxic = training_sample(docs, labels, max_toxic, max_clean, key, text, label)
-    if not toxic.any() or toxic.all():
+    """A network fitted to the sample, which one task holds; the driver gets the network alone."""
+
+    def learn(sample: pd.DataFrame) -> pd.DataFrame:
+        sample = sample.sort_values(["__h", key])
+        toxic = sample["__y"].to_numpy() == 1
+        made = pickle.dumps(fit(sample[text].fillna("").tolist(), toxic)) if toxic.any() and not toxic.all() else None
+        give_back()
+        return pd.DataFrame({"network": [made]})
+
+    sample = training_sample(docs, labels, max_toxic, max_clean, key, text, label)
+    row = sample.groupBy().applyInPandas(learn, "network binary").first()
+    if not row or row[0] is None:
         raise ValueError("labelled texts of both kinds are needed")
-    made = fit(texts, toxic)
-    give_back()
-    return made
+    return pickle.loads(row[0])
 
 
 def score(df: DataFrame, network: Network, text: str = "text", to: str = "score", threshold: float = 0.7) -> DataFrame:
