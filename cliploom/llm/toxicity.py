@@ -47,7 +47,7 @@ PART = 64
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 12, 8, 8
 INPUTS = WORD_DIM + CHAR_DIM + 1
 BUCKETS, FOLDS = 8192, 3
-SMOOTH, PRIOR, RECALL = 0.05, 50, 0.25
+SMOOTH, PRIOR, RECALL = 0.05, 20, 0.25
 PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 
 
