@@ -113,10 +113,10 @@ def smp7(spark, sf_dir):
     return P.mix_upsample(a.where("category <> 'P'"), a.where("category = 'P'")).select("row_idx", "copy")
 
 
-@query("SMP-8", V.with_sql(V.ATC, select=f"select row_idx, category as region from atc qualify row_number() over (partition by category order by {V.order('reg', 'row_idx')}, row_idx) <= 25"))
+@query("SMP-8", V.with_sql(V.ATC, select=f"select row_idx, category as region from atc qualify row_number() over (partition by category order by {V.order('reg', 'row_idx')}, row_idx) <= 200"))
 def smp8(spark, sf_dir):
     a = V.radio(spark, sf_dir)
-    return P.balanced_regions({c: a.where(F.col("category") == c) for c in "OFP"}, 25, "reg", "row_idx").select("row_idx", "region")
+    return P.balanced_regions({c: a.where(F.col("category") == c) for c in "OFP"}, 200, "reg", "row_idx").select("row_idx", "region")
 
 
 @query("SMP-9", V.with_sql(V.CLIPS, select=f"select row_idx from clips order by {V.order('s9', 'row_idx')}, row_idx limit 500"))
