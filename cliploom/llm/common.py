@@ -9,6 +9,7 @@ import itertools
 import re
 import tempfile
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -151,31 +152,34 @@ class PieceCache:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[str, int] = defaultdict(itertools.count().__next__)  # looking a new piece up numbers it
         self.flat = np.zeros(0, np.int32)
         self.start = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
 
     def _add(self, pieces: list) -> None:
-        made, count = self.encode_new(pieces)
-        self.index.update(zip(pieces, range(len(self.index), len(self.index) + len(pieces)), strict=True))
+        try:
+            made, count = self.encode_new(pieces)
+        except BaseException:
+            self._clear()  # the pieces have numbers, but no ids
+            raise
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
         self.flat = np.concatenate([self.flat, made])
 
+    def _numbers(self, words: list) -> np.ndarray:
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+
     def ids(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the lists of pieces, and the number of ids of each list."""
         words = list(itertools.chain.from_iterable(lists))
-        at = np.fromiter(map(self.index.get, words, itertools.repeat(-1)), np.int64, len(words))
-        missing = np.nonzero(at < 0)[0]
-        if len(missing):
-            new = {words[i] for i in missing}
-            if len(self.index) + len(new) > self.max_pieces:
-                self._clear()
-                new = set(words)
-                missing = np.arange(len(words))
-            self._add(list(new))
-            at[missing] = np.fromiter((self.index[words[i]] for i in missing), np.int64, len(missing))
+        known = len(self.index)
+        at = self._numbers(words)
+        if known and len(self.index) > max(known, self.max_pieces):
+            self._clear()
+            known, at = 0, self._numbers(words)
+        if len(self.index) > known:
+            self._add(list(itertools.islice(self.index, known, None)))
         sizes = np.array([len(x) for x in lists], np.int64)
         count = self.count[at]
         ends = np.concatenate([[0], np.cumsum(count)])

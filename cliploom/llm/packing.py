@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from cliploom.llm.common import PieceCache, joined, list_array, map_arrow, ragged, slices, written
 
 SHARD_PIECES = 16_384
+#: Distinct words, and parts of words, that a worker holds.
+MOST_WORDS = 600_000
 
 
 class WindowTree:
@@ -99,7 +101,7 @@ class WordEncoder:
     of pieces; where that gives more pieces than parts, each is encoded alone.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = MOST_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -141,7 +143,7 @@ class WordEncoder:
 
 @functools.lru_cache(maxsize=2)
 def _cache(path: str) -> PieceCache:
-    return PieceCache(WordEncoder(path), 400_000)
+    return PieceCache(WordEncoder(path), MOST_WORDS)
 
 
 def words_of(text: str) -> list[bytes]:
