@@ -34,16 +34,18 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cliploom.llm.common import forget, give_back, map_arrow, slices, unused, with_columns, written
-from cliploom.llm.neardup import WordHashes
 
 ORDER = 5
 MAX_WORDS = 1 << 20
 MAX_CODES = 1 << 21
 FLUSH = 1_000_000
+#: Bytes up to which words are hashed together.
+LONG_WORD = 64
 GRAM, WORD = 0, 1
 
 
@@ -54,19 +56,51 @@ def byte_strings(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     pad = b"\0" * ORDER
     data = np.frombuffer(pad + pad.join(raw), np.uint8)
     at = np.arange(int(sizes.sum())) + np.repeat(ORDER * np.arange(1, len(raw) + 1), sizes)
-    codes = np.zeros(len(at), np.int64)
-    for back in range(ORDER, -1, -1):
-        codes = codes << 8 | data[at - back]
-    return codes, sizes
+    wide = data.astype(np.int64)
+    codes = wide[ORDER:].copy()
+    for back in range(1, ORDER + 1):
+        codes |= wide[ORDER - back : len(wide) - back] << 8 * back
+    return codes[at - ORDER], sizes
 
 
-def words_of(texts: list[str], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens (each text ends with that of the empty word), and their numbers."""
-    lists = [t.encode("utf-8", "replace").lower().split() for t in texts]
-    for x in lists:
-        x.append(b"")
-    sizes = np.array([len(x) for x in lists], np.int64)
-    return np.fromiter((hashes[w] for x in lists for w in x), np.uint64, int(sizes.sum())).view(np.int64), sizes
+def word_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Random numbers of the bytes (of A-Z those of a-z), powers of an odd number, and which bytes are white space."""
+    of_byte = np.random.default_rng(0).integers(0, 1 << 64, 256, np.uint64)
+    of_byte[65:91] = of_byte[97:123]
+    powers = np.multiply.accumulate(np.full(LONG_WORD + 1, 0x9E3779B97F4A7C15, np.uint64))
+    blank = np.zeros(256, bool)
+    blank[[9, 10, 11, 12, 13, 32]] = True
+    return of_byte, powers, blank
+
+
+OF_BYTE, POWERS, BLANKS = word_tables()
+
+
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens (each text ends with that of the empty word, 0), and their numbers.
+
+    A word's hash sums a random number of each byte times a power for its place; that of a word of over LONG_WORD bytes is xxh3.
+    """
+    raw = [t.encode("utf-8", "replace") + b" " for t in texts]
+    whole = b"".join(raw)
+    data = np.frombuffer(whole, np.uint8)
+    inside = np.concatenate([[False], ~BLANKS[data]])
+    edges = np.nonzero(inside[1:] != inside[:-1])[0]  # the last byte is a blank, so every word ends
+    start, end = edges[::2], edges[1::2]
+    size = end - start
+    spread = np.diff(start, append=len(data))  # a word and the blanks behind it, which count for nothing
+    first = int(start[0]) if len(start) else len(data)
+    place = np.concatenate([np.zeros(first, np.int64), np.arange(first, len(data)) - np.repeat(start, spread)])
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(OF_BYTE[data] * POWERS[np.minimum(place, LONG_WORD)], out=sums[1:])
+    key = sums[end] - sums[start]
+    key ^= key >> np.uint64(32)
+    key *= np.uint64(0xD6E8FEB86659FD93)
+    key ^= key >> np.uint64(32)
+    for i in np.nonzero(size > LONG_WORD)[0]:
+        key[i] = xxhash.xxh3_64_intdigest(whole[start[i] : end[i]].lower())
+    before = np.searchsorted(start, np.cumsum([len(x) for x in raw])) if raw else np.zeros(0, np.int64)
+    return np.insert(key, before, 0).view(np.int64), np.diff(before, prepend=0) + 1
 
 
 def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,9 +122,9 @@ def count_strings(df: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part), pa.array(n[i : i + 100_000])], names=["kind", "key", "n"])
 
     def run(batches):
-        hashes, held = WordHashes(), {GRAM: [], WORD: []}
+        held = {GRAM: [], WORD: []}
         for _, texts in slices(batches, text):
-            for kind, keys in ((GRAM, byte_strings(texts)[0]), (WORD, words_of(texts, hashes)[0])):
+            for kind, keys in ((GRAM, byte_strings(texts)[0]), (WORD, words_of(texts)[0])):
                 at, unique = pd.factorize(keys)
                 held[kind].append((unique, np.bincount(at, minlength=len(unique))))
                 if sum(len(x) for x, _ in held[kind]) > 2 * FLUSH:
@@ -244,9 +278,8 @@ def score(df: DataFrame, words: Words, rare: DataFrame, strings: Strings, text:
 
     def run(batches):
         often, logs, words = both.value
-        hashes = WordHashes()
         for batch, texts in slices(batches, text):
-            key, sizes = words_of(texts, hashes)
+            key, sizes = words_of(texts)
             doc = np.repeat(np.arange(len(texts)), sizes)
             word, unique = pd.factorize(key)
             at = find(words.keys, unique)[word]

@@ -133,3 +133,15 @@ def test_query_keeps_every_context(spark, sf_dir, monkeypatch):
     model, _ = plain_model([t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10], 1 << 40)
     for r in op6_lm(spark, sf_dir).collect()[:25]:
         assert math.isclose(r.score, model(texts[r.doc_id]), rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_words_hashed_together_are_told_apart_as_split_words():
+    rng = np.random.default_rng(1)
+    letters = np.array(list("abABzé\u0085\x1c .\t\n\x0b\x0c\r"))
+    texts = ["", " \n", "a", "Q" * 64 + " " + "q" * 65 + " " + "Q" * 65, *("".join(rng.choice(letters, n)) for n in range(1, 400))]
+    want = [[*t.encode().lower().split(), b""] for t in texts]
+    keys, sizes = ppm.words_of(texts)
+    assert sizes.tolist() == list(map(len, want))
+    pairs = set(zip((w for x in want for w in x), keys.tolist(), strict=True))
+    assert len(pairs) == len({w for w, _ in pairs}) == len({k for _, k in pairs})
+    assert [len(x) for x in ppm.words_of([])] == [0, 0]
