@@ -193,7 +193,8 @@ class Probes:
                 for k in range(n):
                     own = of(k, x[:, k], known, y, fold)
                     total[k] = own if total[k] is None else total[k] + own
-            yield pd.DataFrame({"layer": [k for k in range(n) if total[k] is not None], "total": [t.ravel() for t in total if t is not None]})
+            if any(t is not None for t in total):  # a task without rows has nothing to add
+                yield pd.DataFrame({"layer": [k for k in range(n) if total[k] is not None], "total": [t.ravel() for t in total if t is not None]})
 
         def add(pdf: pd.DataFrame) -> pd.DataFrame:  # a row for each task that has rows
             return pd.DataFrame({"layer": [int(pdf["layer"].iloc[0])], "total": [np.sum(np.stack(pdf["total"].to_numpy()), axis=0)]})
