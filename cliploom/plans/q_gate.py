@@ -95,8 +95,8 @@ def calls(spark, sf_dir):
 
 def gated(spark, sf_dir):
     """Transmissions with their slots, both teachers', the verdicts and totals; all by row."""
-    a = calls(spark, sf_dir).withColumns({"entities": E.extract_entities(AIRLINES)(F.col("text")), "w1": V.draw("wa", F.col("row_idx")), "w2": V.draw("wb", F.col("row_idx"))})
-    return G.verify_entities(G.teacher_slots(a, {"t1": "t1", "t2": "t2"}, AIRLINES, {"t1": "w1", "t2": "w2"}))
+    a = calls(spark, sf_dir).withColumns({"w1": V.draw("wa", F.col("row_idx")), "w2": V.draw("wb", F.col("row_idx"))})
+    return G.verify_entities(G.teacher_slots(a, {"t1": "t1", "t2": "t2"}, AIRLINES, {"t1": "w1", "t2": "w2"}, {"text": "entities"}))
 
 
 def panel(spark, sf_dir):

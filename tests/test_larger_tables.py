@@ -1,8 +1,12 @@
 """Jobs that failed or took too long on larger tables."""
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
+from cliploom.functions import entities as E
 from cliploom.operators import fidelity as D
+from cliploom.plans.catalog import QUERIES
 
 
 def test_probe_with_tasks_that_have_no_rows(spark):
@@ -19,3 +23,22 @@ def test_probe_with_tasks_that_have_no_rows(spark):
         for k, v in held.items():
             spark.conf.set(k, v)
     assert got == want and got[0].accuracy > 0.65
+
+
+def optimized(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["AGG-7"])
+def test_slots_and_verdicts_are_worked_out_once(spark, sf_dir, name):
+    plan = optimized(QUERIES[name](spark, sf_dir))
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("run(") == 1 and "Filter" not in plan
+
+
+def test_texts_of_the_same_words_are_read_once(monkeypatch):
+    read = []
+    init = E.Transmission.__init__
+    monkeypatch.setattr(E.Transmission, "__init__", lambda self, words, airlines: (read.append(words), init(self, words, airlines))[1])
+    texts = ["turn heading zero nine zero", None, "Turn heading zero, nine zero", "roger", "roger", "turn heading zero nine zero"]
+    got = E.read_all(pa.array(texts), E.Airlines({})).to_pylist()
+    assert len(read) == 2 and got[1] == got[3] == got[4] == [] and got[0] == got[2] == got[5] and got[0][0]["value"] == "090"
