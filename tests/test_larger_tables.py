@@ -29,7 +29,7 @@ def optimized(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["AGG-7"])
+@pytest.mark.parametrize("name", ["AGG-7", "GATE-3"])
 def test_slots_and_verdicts_are_worked_out_once(spark, sf_dir, name):
     plan = optimized(QUERIES[name](spark, sf_dir))
     assert plan.count("ArrowEvalPython") == 1 and plan.count("run(") == 1 and "Filter" not in plan
