@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def draw(*parts) -> Column:
     return F.conv(F.substring(order_key(*parts), 1, 13), 16, 10).cast("double") / float(2**52)
 
 
+def drawn_below(share: float, *parts) -> Column:
+    """draw(*parts) < share: hex digits compare as their numbers do, and digits that equal the bound's are followed by more."""
+    return order_key(*parts) < F.lit(f"{math.ceil(share * 2**52):013x}")
+
+
 def order_sql(*parts: str) -> str:
     return f"md5(concat_ws(':', {', '.join(parts)}))"
 

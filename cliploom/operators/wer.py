@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -62,15 +65,27 @@ def align(ref: list[str], hyp: list[str]) -> tuple[int, int, int, int]:
     shortest. Else a shortest edit of d errors lies within d places of the diagonal, so a
     band is doubled until it holds one: time grows with words times errors.
     """
-    codes: dict[str, int] = {}
-    r, h = (np.array([codes.setdefault(w, len(codes)) for w in x], np.int64) for x in (ref, hyp))
+    codes = numbers()
+    return align_numbers(numbered(ref, codes), numbered(hyp, codes), len(codes))
+
+
+def numbers() -> defaultdict[str, int]:
+    """Gives each new word the next number."""
+    return defaultdict(count().__next__)
+
+
+def numbered(said: list[str], codes: dict[str, int]) -> np.ndarray:
+    return np.array([*map(codes.__getitem__, said)], np.int64)
+
+
+def align_numbers(r: np.ndarray, h: np.ndarray, known: int) -> tuple[int, int, int, int]:
+    """align of words that have numbers below known."""
     n = min(len(r), len(h))
     unlike = np.nonzero(r[len(r) - n :][::-1] != h[len(h) - n :][::-1])[0]
     end = int(unlike[0]) if len(unlike) else n
     r, h = r[: len(r) - end], h[: len(h) - end]
     if not len(r) or not len(h):
         return end, 0, len(r), len(h)
-    known = len(codes)
     least = max(len(r), len(h)) - int(np.minimum(np.bincount(r, minlength=known), np.bincount(h, minlength=known)).sum())
     if len(r) == len(h):
         if (sub := int((r != h).sum())) == least:
@@ -95,8 +110,9 @@ def aligned(ref: pd.Series, *hypotheses: pd.Series) -> list[tuple[int, ...]]:
     rows = []
     for texts in zip(ref.fillna(""), *(h.fillna("") for h in hypotheses), strict=True):
         if texts not in known:
-            r = texts[0].split()
-            known[texts] = sum((align(r, h.split()) for h in texts[1:]), ())
+            codes = numbers()
+            r, *others = (numbered(t.split(), codes) for t in texts)
+            known[texts] = sum((align_numbers(r, h, len(codes)) for h in others), ())
         rows.append(known[texts])
     return rows
 
@@ -113,6 +129,10 @@ def _pairs(ref: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"errors_a": errors[:, 0], "errors_b": errors[:, 1], "ref_words": x[:, 0, :3].sum(1)})
 
 
+# as a nondeterministic function it is called once a row: a filter on its counts isn't moved below the call with another one
+_pairs = _pairs.asNondeterministic()
+
+
 def wer_counts(df: DataFrame, ref: str = "reference", hyp: str = "hypothesis", raw: bool = False) -> DataFrame:
     """df with hits, substitutions, deletions, insertions, errors and ref_words."""
     text = (lambda c: F.col(c)) if raw else (lambda c: normalize_atc(F.col(c)))

@@ -3,8 +3,11 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cliploom.functions import entities as E
+from cliploom.functions.draws import draw, drawn_below
+from cliploom.functions.text import normalize_atc
 from cliploom.operators import fidelity as D
 from cliploom.plans.catalog import QUERIES
 
@@ -42,3 +45,20 @@ def test_texts_of_the_same_words_are_read_once(monkeypatch):
     texts = ["turn heading zero nine zero", None, "Turn heading zero, nine zero", "roger", "roger", "turn heading zero nine zero"]
     got = E.read_all(pa.array(texts), E.Airlines({})).to_pylist()
     assert len(read) == 2 and got[1] == got[3] == got[4] == [] and got[0] == got[2] == got[5] and got[0][0]["value"] == "090"
+
+
+@pytest.mark.parametrize("name, call", [("STA-3", "_pairs(")])
+def test_texts_are_aligned_once(spark, sf_dir, name, call):
+    assert optimized(QUERIES[name](spark, sf_dir)).count(call) == 1
+
+
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.15, 0.5, 1 / 3])
+def test_draws_below_a_share(spark, share):
+    i = F.col("id")
+    df = spark.range(20_000).select(draw("b", i, i + 1).alias("u"), drawn_below(share, "b", i, i + 1).alias("below"))
+    assert df.where(F.col("below") != (F.col("u") < share)).count() == 0
+
+
+def test_only_whole_words_are_variants(spark):
+    df = spark.createDataFrame([("Street trees,  fifer",), ("tree -Okay",), ("x\ttree2 fife",)], "text string")
+    assert [r[0] for r in df.select(normalize_atc(F.col("text"))).collect()] == ["street trees fifer", "three ok", "x t r e e two five"]
