@@ -129,8 +129,8 @@ def _pairs(ref: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"errors_a": errors[:, 0], "errors_b": errors[:, 1], "ref_words": x[:, 0, :3].sum(1)})
 
 
-# as a nondeterministic function it is called once a row: a filter on its counts isn't moved below the call with another one
-_pairs = _pairs.asNondeterministic()
+# as nondeterministic functions they are called once a row: a filter on their counts isn't moved below the call with another one
+_counts, _pairs = _counts.asNondeterministic(), _pairs.asNondeterministic()
 
 
 def wer_counts(df: DataFrame, ref: str = "reference", hyp: str = "hypothesis", raw: bool = False) -> DataFrame:

@@ -47,7 +47,7 @@ def test_texts_of_the_same_words_are_read_once(monkeypatch):
     assert len(read) == 2 and got[1] == got[3] == got[4] == [] and got[0] == got[2] == got[5] and got[0][0]["value"] == "090"
 
 
-@pytest.mark.parametrize("name, call", [("STA-3", "_pairs(")])
+@pytest.mark.parametrize("name, call", [("STA-3", "_pairs("), ("WER-3", "_counts(")])
 def test_texts_are_aligned_once(spark, sf_dir, name, call):
     assert optimized(QUERIES[name](spark, sf_dir)).count(call) == 1
 
