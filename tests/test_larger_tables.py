@@ -9,7 +9,9 @@ from cliploom.functions import entities as E
 from cliploom.functions.draws import draw, drawn_below
 from cliploom.functions.text import normalize_atc
 from cliploom.operators import fidelity as D
+from cliploom.operators.gate import tier_rows
 from cliploom.plans.catalog import QUERIES
+from cliploom.plans.q_gate import gate_rows
 
 
 def test_probe_with_tasks_that_have_no_rows(spark):
@@ -62,3 +64,8 @@ def test_draws_below_a_share(spark, share):
 def test_only_whole_words_are_variants(spark):
     df = spark.createDataFrame([("Street trees,  fifer",), ("tree -Okay",), ("x\ttree2 fife",)], "text string")
     assert [r[0] for r in df.select(normalize_atc(F.col("text"))).collect()] == ["street trees fifer", "three ok", "x t r e e two five"]
+
+
+def test_tiers_parse_the_texts_of_a_row_in_one_call(spark, sf_dir):
+    plan = optimized(tier_rows(gate_rows(spark, sf_dir)))
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("run(") == 1
